@@ -1,2 +1,419 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries by operator over the driver's tables, and SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions import text as X
+from ..operators import corpus, documents, model
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: A fixed linear model, so that scoring can be held against SQL: coefficient, mean, scale.
+WEIGHTS = {"surface_ttr": (-0.8, 0.6, 0.12), "surface_word_entropy": (0.5, 6.5, 1.1), "surface_stopword_ratio": (-0.4, 0.25, 0.08), "surface_comma_rate": (0.3, 6.0, 3.0), "surface_hapax_ratio": (0.7, 0.7, 0.1)}
+INTERCEPT = 0.2
+SCALARS = list(WEIGHTS)
+
+
+def docs(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys))
+
+
+_W = r"[\p{L}\p{N}_]+"
+_TOK = f"regexp_extract_all(lower(text), '{_W}(?:''{_W})?')"
+_T = f"WITH t AS (SELECT doc_id, text, lower(text) AS low, {_TOK} AS w, len({_TOK}) AS n FROM documents), x AS (SELECT doc_id, unnest(w) AS tok FROM t), c AS (SELECT doc_id, tok, count(*) AS k FROM x GROUP BY ALL)"
+
+
+def _list(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _padded(pattern: str) -> str:
+    """The pattern over text in which every sign stands between spaces, so that word edges are spaces."""
+    body = pattern.replace(r"\b", "").replace(",? ", "\1").replace(" )?", "\3").replace(", ", "\2").replace(" ", "   ")
+    return f" {body} ".replace("\1", "(?: , )?   ").replace("\2", " ,    ").replace("\3", "   )?")
+
+
+_PAD = r"' ' || regexp_replace(low, '([^\p{L}\p{N}_])', ' \1 ', 'g') || ' '"
+
+
+def _n(patterns) -> str:
+    return " + ".join(f"len(regexp_extract_all(p, '{_padded(x)}'))" for x in patterns)
+
+
+@query(f"SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens, CAST(len(regexp_extract_all(text, '{_W}')) AS BIGINT) AS n_words, md5(array_to_string({_TOK}, ' ')) AS tokens_md5 FROM documents")
+def word_tokens(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.tokens("text")).cast("long").alias("n_tokens"), F.size(X.words("text")).cast("long").alias("n_words"), F.md5(F.array_join(X.tokens("text"), " ")).alias("tokens_md5"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+')) AS BIGINT) AS word_count FROM documents")
+def whitespace_word_count(spark, d):
+    return docs(spark, d).select("doc_id", X.n_whitespace_words("text").alias("word_count"))
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_W}(?:''{_W})?|[.,!?;:\"''—–-]')) AS BIGINT) AS n_span_tokens, CAST(len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS BIGINT) AS n_integers FROM documents")
+def span_tokens(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.span_tokens("text")).cast("long").alias("n_span_tokens"), X.n_integers("text").alias("n_integers"))
+
+
+@query()
+def clean_audit(spark, d):
+    return documents.clean(docs(spark, d)).select("doc_id", "cleaned", "is_empty", "raw_char_count", "cleaned_char_count", "paragraph_count", "removed_prefixes", "removed_suffixes")
+
+
+_EOL = r"replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query(r"WITH a AS (SELECT doc_id, regexp_replace(" + _EOL + r", '^#+\s+[^\n]+\n+', '') AS t FROM documents) SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: regexp_replace(x, '^[\s\x{a0}\x{85}]+|[\s\x{a0}\x{85}]+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) AS cleaned FROM a")
+def header_and_paragraphs(spark, d):
+    t = X.without_header(X.end_of_lines(F.col("text")))
+    return docs(spark, d).select("doc_id", F.array_join(X.paragraphs(t), "\n\n").alias("cleaned"))
+
+
+def _strip_sql() -> str:
+    sql = f"SELECT doc_id, {_EOL} AS t0, 0 AS n0 FROM documents"
+    steps = [("(?i)" + p, "n") for p in L.PREFIXES] + [("(?i)" + p, "m") for p in L.SUFFIXES]
+    cte, n, m = [f"s0 AS ({sql})"], [], []
+    for i, (p, k) in enumerate(steps, 1):
+        q = p.replace("'", "''").replace("$", r"\z")
+        cte.append(f"s{i} AS (SELECT * EXCLUDE (t{i - 1}), CASE WHEN regexp_matches(t{i - 1}, '{q}') THEN 1 ELSE 0 END AS n{i}, regexp_replace(t{i - 1}, '{q}', '') AS t{i} FROM s{i - 1})")
+        (n if k == "n" else m).append(f"n{i}")
+    return f"WITH {', '.join(cte)} SELECT doc_id, md5(t{len(steps)}) AS stripped_md5, CAST({' + '.join(n)} AS BIGINT) AS removed_prefixes, CAST({' + '.join(m)} AS BIGINT) AS removed_suffixes FROM s{len(steps)}"
+
+
+@query(_strip_sql())
+def prefix_suffix_strip(spark, d):
+    t, before, after = X.stripped(X.end_of_lines(F.col("text")))
+    return docs(spark, d).select("doc_id", F.md5(t).alias("stripped_md5"), before.alias("removed_prefixes"), after.alias("removed_suffixes"))
+
+
+_PARA = r"WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]+(?:\n[^\n]+)*|\n+') AS p FROM documents), b AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM a), s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b), q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para, start, piece FROM s WHERE piece[1] <> chr(10))"
+
+
+@query(_PARA + " SELECT doc_id, CAST(para AS BIGINT) AS paragraph_idx, CAST(start AS BIGINT) AS start_char, CAST(start + length(piece) AS BIGINT) AS end_char, piece AS text FROM q")
+def paragraph_spans(spark, d):
+    return documents.paragraph_spans(docs(spark, d))
+
+
+_SPACES = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SENT = _PARA + rf", e AS (SELECT *, regexp_extract_all(piece, '(?s).+?(?:[.!?][\"''”’]?{_SPACES}+|\z)') AS z FROM q), f AS (SELECT doc_id, para, start AS ps, unnest(z) AS one, generate_subscripts(z, 1) AS i FROM e), g AS (SELECT *, ps + coalesce(sum(length(one)) OVER (PARTITION BY doc_id, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, CASE WHEN regexp_matches(one, '[.!?][\"''”’]?{_SPACES}+$') THEN regexp_replace(one, '{_SPACES}+$', '') ELSE one END AS body FROM f), sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, st) - 1 AS BIGINT) AS sentence_idx, CAST(para AS BIGINT) AS paragraph_idx, CAST(st AS BIGINT) AS start_char, CAST(st + length(body) AS BIGINT) AS end_char, body AS text FROM g WHERE regexp_replace(body, '{_SPACES}+', '', 'g') <> '')"
+
+
+@query(_SENT + " SELECT * FROM sent")
+def sentence_spans(spark, d):
+    return documents.sentence_spans(docs(spark, d))
+
+
+@query(_SENT + " SELECT d.doc_id, CAST(d.n_chars // 2 AS BIGINT) AS \"offset\", s.sentence_idx FROM documents d LEFT JOIN sent s ON s.doc_id = d.doc_id AND d.n_chars // 2 >= s.start_char AND d.n_chars // 2 < s.end_char")
+def sentence_at_offset(spark, d):
+    t = docs(spark, d)
+    return documents.sentence_at(documents.sentence_spans(t), t.select("doc_id", F.expr("n_chars div 2").alias("offset")))
+
+
+@query(_SENT + " SELECT s.doc_id, count(DISTINCT paragraph_idx) AS paragraphs, count(*) AS sentences, CAST(count_if(substr(d.text, CAST(start_char + 1 AS BIGINT), CAST(end_char - start_char AS BIGINT)) <> s.text) AS BIGINT) AS unfaithful FROM sent s JOIN documents d USING (doc_id) GROUP BY s.doc_id")
+def span_totals(spark, d):
+    s = documents.sentence_spans(docs(spark, d)).join(docs(spark, d).select("doc_id", F.col("text").alias("raw")), "doc_id")
+    return s.groupBy("doc_id").agg(F.countDistinct("paragraph_idx").alias("paragraphs"), F.count("*").alias("sentences"), F.count_if(F.expr("substring(raw, cast(start_char as int) + 1, cast(end_char - start_char as int)) <> text")).alias("unfaithful"))
+
+
+def _surface(name: str, *cols: str, sql: str):
+    """A query of some of the surface measurements; unused ones are pruned."""
+
+    def f(spark, d):
+        return rounded(documents.surface(docs(spark, d)).select("doc_id", *(F.col(f"surface_{c}").alias(c) for c in cols)), "doc_id")
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_H = "round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6)"
+_surface("char_entropy", "char_entropy", sql="WITH x AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), c AS (SELECT doc_id, ch, count(*) AS k FROM x WHERE ch <> '' GROUP BY ALL) SELECT doc_id, " + _H + " AS char_entropy FROM c GROUP BY doc_id")
+_surface("word_entropy", "word_entropy", sql=f"{_T} SELECT doc_id, {_H} AS word_entropy FROM c GROUP BY doc_id")
+_surface("bigram_entropy", "bigram_entropy", sql=f"{_T}, b AS (SELECT doc_id, unnest(list_zip(w[1:n - 1], w[2:n])) AS g FROM t WHERE n > 1), bc AS (SELECT doc_id, g, count(*) AS k FROM b GROUP BY ALL), h AS (SELECT doc_id, {_H} AS v FROM bc GROUP BY doc_id) SELECT t.doc_id, coalesce(v, 0.0) AS bigram_entropy FROM t LEFT JOIN h USING (doc_id)")
+_surface("lexical_richness", "ttr", "root_ttr", "hapax_ratio", sql=f"{_T} SELECT doc_id, round(count(*) / sum(k), 6) AS ttr, round(count(*) / sqrt(sum(k)), 6) AS root_ttr, round(count_if(k = 1) / count(*), 6) AS hapax_ratio FROM c GROUP BY doc_id")
+_surface("stopword_ratio", "stopword_ratio", sql=f"{_T} SELECT doc_id, round(count_if(tok IN {_list(L.STOPWORDS)}) / count(*), 6) AS stopword_ratio FROM x GROUP BY doc_id")
+_surface("top10_concentration", "top10_concentration", sql=f"{_T}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS i, sum(k) OVER (PARTITION BY doc_id) AS n FROM c) SELECT doc_id, round(sum(k) / any_value(n), 6) AS top10_concentration FROM r WHERE i <= 10 GROUP BY doc_id")
+_TAG = f"CASE WHEN v IN {_list(L.PRONOUNS)} THEN 'PRP' WHEN v IN {_list(L.PREPOSITIONS)} THEN 'IN' WHEN v IN {_list(L.BE_VERBS)} THEN 'VB' WHEN v LIKE '%ly' THEN 'RB' WHEN v LIKE '%ing' OR v LIKE '%ed' THEN 'VB' WHEN regexp_matches(v, '(tion|ment|ness)$') THEN 'NN' WHEN regexp_matches(v, '(ous|ful|ive|al)$') THEN 'JJ' ELSE 'NN' END"
+_surface("pos_ratios", *(f"pos_{k}_ratio" for k in ("noun", "verb", "adj", "adv", "pronoun", "prep")), sql=f"WITH v AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{_W}'), lambda x: lower(x))) AS v FROM documents), g AS (SELECT doc_id, {_TAG} AS g FROM v) SELECT doc_id, " + ", ".join(f"round(count_if(g = '{t}') / count(*), 6) AS pos_{k}_ratio" for k, t in (("noun", "NN"), ("verb", "VB"), ("adj", "JJ"), ("adv", "RB"), ("pronoun", "PRP"), ("prep", "IN"))) + " FROM g GROUP BY doc_id")
+_chars = lambda chars: " + ".join("length(text) - length(replace(text, '" + c.replace("'", "''") + "', ''))" for c in chars)
+_surface("punctuation_rates", "comma_rate", "semicolon_rate", "colon_rate", "emdash_rate", "quote_rate", "parentheses_rate", sql=f"{_T} SELECT doc_id, " + ", ".join(f"round(CASE WHEN n = 0 THEN 0.0 ELSE ({_chars(c)}) / n * 100.0 END, 6) AS {k}_rate" for k, c in (("comma", ","), ("semicolon", ";"), ("colon", ":"), ("emdash", "—–-"), ("quote", "\"'"), ("parentheses", "()"))) + " FROM t")
+
+
+@query()
+def compression_ratio(spark, d):
+    return rounded(documents.compression(docs(spark, d)).select("doc_id", "surface_compression_ratio"), "doc_id")
+
+
+_LEN = _SENT + f", l AS (SELECT doc_id, sentence_idx, CAST(len(regexp_extract_all(text, '{_W}')) AS DOUBLE) AS v FROM sent), dd AS (SELECT doc_id, v, v - lag(v) OVER (PARTITION BY doc_id ORDER BY sentence_idx) AS dv FROM l)"
+
+
+@query(_LEN + " SELECT doc_id, round(avg(v), 6) AS surface_sent_len_mean, round(median(v), 6) AS surface_sent_len_median, round(stddev_pop(v), 6) AS surface_sent_len_std, round(stddev_pop(v) / greatest(avg(v), 1e-5), 6) AS surface_sent_len_cv, round(coalesce(var_pop(dv), 0.0), 6) AS surface_sent_delta_variance, round(coalesce(avg(abs(dv)), 0.0), 6) AS surface_delta_mean_abs FROM dd GROUP BY doc_id")
+def sentence_rhythm(spark, d):
+    names = ("sent_len_mean", "sent_len_median", "sent_len_std", "sent_len_cv", "sent_delta_variance", "delta_mean_abs")
+    return rounded(documents.rhythm(docs(spark, d)).select("doc_id", *(f"surface_{c}" for c in names)), "doc_id")
+
+
+@query(_PARA + f", l AS (SELECT doc_id, CAST(len(regexp_extract_all(piece, '{_W}')) AS DOUBLE) AS v FROM q) SELECT doc_id, round(avg(v), 6) AS surface_para_len_mean, round(stddev_pop(v), 6) AS surface_para_len_std FROM l GROUP BY doc_id")
+def paragraph_profile(spark, d):
+    return rounded(documents.rhythm(docs(spark, d)).select("doc_id", "surface_para_len_mean", "surface_para_len_std"), "doc_id")
+
+
+def _discourse(name: str, *cols: str, sql: str):
+    def f(spark, d):
+        return rounded(documents.discourse(docs(spark, d)).select("doc_id", *(F.col(f"discourse_{c}").alias(c) for c in cols)), "doc_id")
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_NEAR = lambda v: f"len(list_filter(range(1, n + 1), lambda i: list_contains({'[' + _list(L.FIRST_PERSON)[1:-1] + ']'}, w[i]) AND list_has_any(w[i:i + 3], {'[' + _list(v)[1:-1] + ']'})))"
+_discourse("agency", "agency_action_density", "agency_passive_density", "agency_ratio", sql=f"{_T}, a AS (SELECT doc_id, greatest(n, 1) AS n, {_NEAR(L.ACTION_VERBS)} AS a, {_NEAR(L.PASSIVE_STATE_VERBS)} AS p FROM t) SELECT doc_id, round(a / n * 100.0, 6) AS agency_action_density, round(p / n * 100.0, 6) AS agency_passive_density, round((a / n * 100.0) / greatest((a + p) / n * 100.0, 1e-5), 6) AS agency_ratio FROM a")
+_P = f"{_T}, p AS (SELECT doc_id, greatest(n, 1) AS n, {_PAD} AS p FROM t)"
+_discourse("reflection_density", "reflection_density", sql=f"{_P} SELECT doc_id, round(({_n(L.REFLECTION)}) / n * 100.0, 6) AS reflection_density FROM p")
+_discourse("formulaic", "formulaic_moral_density", sql=f"{_P} SELECT doc_id, round(({_n(L.FORMULAIC)}) / n * 100.0, 6) AS formulaic_moral_density FROM p")
+_discourse("causal_temporal", "causal_density", "temporal_density", sql=f"{_P} SELECT doc_id, round(({_n(L.CAUSAL)}) / n * 100.0, 6) AS causal_density, round(({_n(L.TEMPORAL)}) / n * 100.0, 6) AS temporal_density FROM p")
+_discourse("abstract_concrete", "abstract_vocab_density", "concrete_density", "concrete_abstract_ratio", sql=f"{_T}, k AS (SELECT doc_id, greatest(n, 1) AS n, len(list_filter(w, lambda x: x IN {_list(L.ABSTRACT)})) AS a, len(list_filter(w, lambda x: x IN {_list(L.CONCRETE)})) + len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS c FROM t) SELECT doc_id, round(a / n * 100.0, 6) AS abstract_vocab_density, round(c / n * 100.0, 6) AS concrete_density, round((c / n * 100.0) / greatest((a + c) / n * 100.0, 1e-5), 6) AS concrete_abstract_ratio FROM k")
+
+
+@query()
+def reflection_position(spark, d):
+    return rounded(documents.discourse(docs(spark, d)).select("doc_id", *(f"discourse_reflection_{k}" for k in ("intro_ratio", "body_ratio", "conclusion_ratio", "mean_pos"))), "doc_id")
+
+
+def scalars(spark, d) -> DataFrame:
+    return documents.surface(docs(spark, d)).select("doc_id", "text", "lang", "source", "n_chars", *SCALARS)
+
+
+_S = f"{_T}, agg AS (SELECT doc_id, count(*) / sum(k) AS surface_ttr, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS surface_word_entropy, count_if(k = 1) / count(*) AS surface_hapax_ratio, sum(CASE WHEN tok IN {_list(L.STOPWORDS)} THEN k ELSE 0 END) / sum(k) AS surface_stopword_ratio FROM c GROUP BY doc_id), f AS (SELECT t.doc_id, coalesce(surface_ttr, 0.0) AS surface_ttr, coalesce(surface_word_entropy, 0.0) AS surface_word_entropy, coalesce(surface_stopword_ratio, 0.0) AS surface_stopword_ratio, CASE WHEN n = 0 THEN 0.0 ELSE ({_chars(',')}) / n * 100.0 END AS surface_comma_rate, coalesce(surface_hapax_ratio, 0.0) AS surface_hapax_ratio FROM t LEFT JOIN agg USING (doc_id))"
+
+
+@query(f"{_S}, m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALARS) + " FROM f) SELECT doc_id, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 4) AS {c}" for c in SCALARS) + " FROM f, m")
+def standardise(spark, d):
+    out = model.standardise(scalars(spark, d), SCALARS)
+    return out.select("doc_id", *(F.round(c, 4).alias(c) for c in SCALARS))
+
+
+_LOGIT = " + ".join(f"greatest(-3.5, least(3.5, ({c} - {m}) / {s})) * {k}" for c, (k, m, s) in WEIGHTS.items()) + f" + {INTERCEPT}"
+_SCORED = f"{_S}, z AS (SELECT doc_id, {_LOGIT} AS logit FROM f), y AS (SELECT doc_id, logit, greatest(0.01, least(0.99, 1 / (1 + exp(-logit)))) AS p FROM z)"
+
+
+def scored(spark, d) -> DataFrame:
+    return model.score(scalars(spark, d), WEIGHTS, INTERCEPT)
+
+
+@query(f"{_SCORED} SELECT doc_id, round(logit, 6) AS logit, round(p, 6) AS probability FROM y")
+def logit_score(spark, d):
+    return rounded(scored(spark, d).select("doc_id", "logit", "probability"), "doc_id")
+
+
+@query(rf"{_SCORED}, q AS (SELECT doc_id, p, len(regexp_extract_all(text, '[^\s]+')) AS n FROM y JOIN documents USING (doc_id)) SELECT doc_id, CASE WHEN p < 0.35 THEN 'LIKELY_HUMAN' WHEN p < 0.65 THEN 'UNCERTAIN' WHEN p < 0.85 THEN 'LIKELY_AI_ASSISTED' ELSE 'LIKELY_AI_GENERATED' END AS verdict, CASE WHEN p < 0.15 AND n >= 120 THEN 'High' WHEN p < 0.35 THEN 'Moderate' WHEN p < 0.65 THEN 'Low' WHEN p > 0.9 AND n >= 120 THEN 'High' ELSE 'Moderate' END AS confidence FROM q")
+def verdict(spark, d):
+    return documents.verdict(scored(spark, d).withColumn("word_count", X.n_whitespace_words("text"))).select("doc_id", "verdict", "confidence")
+
+
+@query()
+def gates(spark, d):
+    return documents.gate(docs(spark, d)).select("doc_id", "word_count", "status", "code")
+
+
+_LONG = f"{_S}, u AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{c}' AS feature, {c} AS observed, round(greatest(-3.5, least(3.5, ({c} - {m}) / {s})) * {k}, 4) AS impact FROM f" for i, (c, (k, m, s)) in enumerate(WEIGHTS.items())) + ")"
+
+
+@query(f"{_LONG}, v AS (SELECT *, CASE WHEN impact > 0 THEN 'AI-skewed' ELSE 'Human-skewed' END AS direction FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, direction ORDER BY abs(impact) DESC, ord) AS rank FROM v) SELECT doc_id, feature, round(observed, 6) AS observed, impact, direction, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5")
+def contributions_topk(spark, d):
+    return model.contributions(scalars(spark, d), WEIGHTS).withColumn("observed", F.round("observed", 6)).select("doc_id", "feature", "observed", "impact", "direction", "rank")
+
+
+@query()
+def evidence_spans(spark, d):
+    return documents.evidence(docs(spark, d))
+
+
+@query()
+def severity_counts(spark, d):
+    s = F.col("overall_severity")
+    return documents.evidence(docs(spark, d)).groupBy("doc_id").agg(F.count_if(s.isin("high", "medium")).alias("flagged"), F.count_if(s == "high").alias("high"), F.count_if(s == "medium").alias("medium"), F.count("*").alias("sentences"))
+
+
+def _cleaned(spark, d) -> DataFrame:
+    return docs(spark, d).withColumn("cleaned", X.strip(F.coalesce("text", F.lit(""))))
+
+
+_CLEANED = rf"SELECT doc_id, regexp_replace(coalesce(text, ''), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS cleaned FROM documents"
+
+
+@query(f"WITH a AS ({_CLEANED}) SELECT min(doc_id) AS doc_id, sha256(cleaned) AS text_hash FROM a GROUP BY cleaned")
+def exact_dedupe(spark, d):
+    return corpus.exact_dedupe(_cleaned(spark, d)).select("doc_id", "text_hash")
+
+
+_NEARSQL = rf"WITH a AS ({_CLEANED}), b AS (SELECT min(doc_id) AS doc_id, cleaned FROM a GROUP BY cleaned), c AS (SELECT doc_id, regexp_replace(lower(substr(cleaned, 1, 60)), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS k FROM b), e AS (SELECT min(doc_id) AS doc_id FROM c WHERE length(k) >= 30 GROUP BY k UNION ALL SELECT doc_id FROM c WHERE length(k) < 30)"
+
+
+@query(f"{_NEARSQL} SELECT doc_id FROM e")
+def near_dedupe(spark, d):
+    return corpus.near_dedupe(corpus.exact_dedupe(_cleaned(spark, d))).select("doc_id")
+
+
+@query()
+def audit(spark, d):
+    return corpus.audit(docs(spark, d))
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(count_if(length(text) < 350) AS BIGINT) AS short, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY lang, source")
+def audit_tallies(spark, d):
+    return rounded(docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 350).alias("short"), F.avg("n_chars").alias("mean_chars")), "lang", "source")
+
+
+@query()
+def grouped_split(spark, d):
+    return corpus.grouped_split(docs(spark, d)).select("doc_id", "source", "split")
+
+
+@query("SELECT 'x' AS source, CAST(0 AS BIGINT) AS splits WHERE false")
+def leakage_check(spark, d):
+    return corpus.leaks(corpus.grouped_split(docs(spark, d)))
+
+
+def judged(spark, d) -> DataFrame:
+    """Labelled documents: y (not of quality), a score and the prediction from it."""
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    p = (F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0).alias("p")
+    return docs(spark, d).join(labels, "doc_id").select("doc_id", "text", "lang", "source", "toxic", (1 - F.col("quality")).alias("y"), F.expr("(size(split(text, '[ \\n]+')))").alias("words"), p).withColumn("pred", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+
+
+_J = r"WITH j AS (SELECT d.doc_id, d.text, lang, source, toxic, 1 - quality AS y, len(string_split_regex(d.text, '[ \n]+')) AS words, (d.doc_id * 37 % 101) / 100.0 AS p, CASE WHEN (d.doc_id * 37 % 101) / 100.0 >= 0.5 THEN 1 ELSE 0 END AS pred FROM documents d JOIN labels USING (doc_id))"
+_METRICS = "count(*) AS n, CAST(count_if(y = 0 AND pred = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND pred = 1) AS BIGINT) AS fp, CAST(count_if(y = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count_if(y = 1 AND pred = 1) AS BIGINT) AS tp, round(avg((p - y) * (p - y)), 6) AS brier_score, round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(coalesce(count_if(y = 1 AND pred = 1) / nullif(count_if(pred = 1), 0), 0.0), 6) AS precision, round(coalesce(count_if(y = 1 AND pred = 1) / nullif(count_if(y = 1), 0), 0.0), 6) AS recall, round(coalesce(2 * count_if(y = 1 AND pred = 1) / nullif(count_if(pred = 1) + count_if(y = 1), 0), 0.0), 6) AS f1, round(coalesce(count_if(y = 0 AND pred = 1) / nullif(count_if(y = 0), 0), 0.0), 6) AS false_positive_rate, round(coalesce(count_if(y = 1 AND pred = 0) / nullif(count_if(y = 1), 0), 0.0), 6) AS false_negative_rate"
+
+
+def _metrics_sql(by: str, expr: str | None = None) -> str:
+    g = f"g AS (SELECT *, {expr or by} AS slice FROM j)"
+    auc = "a AS (SELECT x.slice, avg(CASE WHEN x.p > z.p THEN 1.0 WHEN x.p = z.p THEN 0.5 ELSE 0.0 END) AS auc FROM g x JOIN g z ON x.slice = z.slice AND x.y = 1 AND z.y = 0 GROUP BY x.slice)"
+    return f"{_J}, {g}, {auc}, m AS (SELECT slice, {_METRICS} FROM g WHERE slice IS NOT NULL GROUP BY slice) SELECT m.slice AS {by}, m.* EXCLUDE (slice), round(coalesce(auc, 0.5), 6) AS roc_auc FROM m LEFT JOIN a ON a.slice = m.slice"
+
+
+@query(_metrics_sql("whole", "1").replace("m.slice AS whole, ", ""))
+def confusion_metrics(spark, d):
+    return rounded(model.evaluate(judged(spark, d)))
+
+
+_BUCKET = "CASE WHEN words < 350 THEN 'short' WHEN words < 550 THEN 'medium' WHEN words < 10000 THEN 'long' END"
+
+
+@query(_metrics_sql("bucket", _BUCKET))
+def length_slices(spark, d):
+    return rounded(model.evaluate(judged(spark, d).withColumn("bucket", F.expr(_BUCKET)).where("bucket is not null"), ["bucket"]), "bucket")
+
+
+@query(_metrics_sql("lang"))
+def topic_slices(spark, d):
+    return rounded(model.evaluate(judged(spark, d), ["lang"]), "lang")
+
+
+@query(f"{_J} SELECT source, count(*) AS n, round(avg(pred), 6) AS recall, round(avg(p), 6) AS mean_probability FROM j WHERE y = 1 AND source IS NOT NULL GROUP BY source")
+def family_recall(spark, d):
+    return rounded(judged(spark, d).where("y = 1 and source is not null").groupBy("source").agg(F.count("*").alias("n"), F.avg("pred").alias("recall"), F.avg("p").alias("mean_probability")), "source")
+
+
+@query(f"{_J} SELECT y AS label, count(*) AS n, round(avg(pred), 6) AS predicted_ratio, round(avg(p), 6) AS mean_confidence FROM j GROUP BY y")
+def label_slices(spark, d):
+    return rounded(judged(spark, d).groupBy(F.col("y").alias("label")).agg(F.count("*").alias("n"), F.avg("pred").alias("predicted_ratio"), F.avg("p").alias("mean_confidence")), "label")
+
+
+@query(f"{_J}, r AS (SELECT CAST(count_if(y = 0 AND toxic = 1) AS BIGINT) AS a, CAST(count_if(y = 0 AND toxic = 0) AS BIGINT) AS b, avg(CASE WHEN y = 0 AND toxic = 1 THEN pred END) AS ra, avg(CASE WHEN y = 0 AND toxic = 0 THEN pred END) AS rb FROM j) SELECT CASE WHEN a > 0 AND b > 0 THEN 'EVALUATED' ELSE 'INSUFFICIENT_METADATA' END AS status, round(CASE WHEN a > 0 AND b > 0 THEN ra END, 6) AS fpr_a, round(CASE WHEN a > 0 AND b > 0 THEN rb END, 6) AS fpr_b, round(CASE WHEN a > 0 AND b > 0 THEN ra / greatest(rb, 1e-5) END, 6) AS ratio FROM r")
+def subgroup_disparity(spark, d):
+    return rounded(model.disparity(judged(spark, d), "toxic", 1, 0))
+
+
+@query(f"{_J}, a AS (SELECT 'false_positive' AS kind, doc_id, p, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 0 AND pred = 1 ORDER BY p DESC, doc_id LIMIT 10), b AS (SELECT 'false_negative' AS kind, doc_id, p, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 1 AND pred = 0 ORDER BY p, doc_id LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b")
+def failure_topk(spark, d):
+    return model.failures(judged(spark, d))
+
+
+@query(f"{_S} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.1), 6) AS p10, round(quantile_cont({c}, 0.9), 6) AS p90 FROM f" for c in SCALARS))
+def human_quantiles(spark, d):
+    return rounded(model.quantiles(scalars(spark, d), SCALARS), "feature")
+
+
+@query()
+def anomaly_topk(spark, d):
+    t = scalars(spark, d)
+    return model.anomalies(t, t.where("lang = 'en'"), WEIGHTS)
+
+
+@query()
+def mahalanobis(spark, d):
+    t = scalars(spark, d)
+    return rounded(model.distances(t, SCALARS, model.fit_baseline(t, SCALARS)).select("doc_id", "dist_mahalanobis"), "doc_id")
+
+
+@query(f"{_S}, m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALARS) + f" FROM f) SELECT doc_id, round(sqrt({' + '.join(f'pow(({c} - m_{c}) / s_{c}, 2)' for c in SCALARS)}), 5) AS dist_euclidean, round(CASE WHEN sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) < 1e-9 THEN 1.0 ELSE ({' + '.join(f'{c} * m_{c}' for c in SCALARS)}) / sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) / sqrt({' + '.join(f'm_{c} * m_{c}' for c in SCALARS)}) END, 5) AS dist_cosine FROM f, m")
+def euclid_cosine(spark, d):
+    t = scalars(spark, d)
+    return model.distances(t, SCALARS, model.fit_baseline(t, SCALARS)).select("doc_id", F.round("dist_euclidean", 5).alias("dist_euclidean"), F.round("dist_cosine", 5).alias("dist_cosine"))
+
+
+@query()
+def dispersion(spark, d):
+    return rounded(model.dispersion(documents.surface(documents.paragraph_spans(docs(spark, d))), SCALARS), "doc_id")
+
+
+def _labelled(spark, d) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("label"))
+    return scalars(spark, d).join(labels, "doc_id")
+
+
+@query()
+def lr_fit(spark, d):
+    weights, _ = model.fit_logistic(_labelled(spark, d), SCALARS)
+    return model.weights_table(spark, weights)
+
+
+@query()
+def rf_fit(spark, d):
+    m = model.fit_forest(_labelled(spark, d), SCALARS)
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(SCALARS, m.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+@query()
+def ablation(spark, d):
+    """Each family of measurements alone and both, fitted and evaluated on all labelled rows."""
+    rows = _labelled(spark, d).withColumn("y", F.col("label"))
+    out = None
+    for name, cols in (("richness", SCALARS[:3]), ("punctuation", SCALARS[3:]), ("all", SCALARS)):
+        weights, b = model.fit_logistic(rows, cols)
+        p = model.score(rows, weights, b).withColumns({"p": F.col("probability"), "pred": F.when(F.col("probability") >= 0.5, 1).otherwise(0)})
+        one = model.evaluate(p).select(F.lit(name).alias("family"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "family")
+
+
+@query()
+def features(spark, d):
+    """All 44 base measurements of every document."""
+    t = documents.features(docs(spark, d).select("doc_id", "text"))
+    return rounded(t.select("doc_id", *(c for c in t.columns if c.startswith(("surface_", "discourse_")))), "doc_id")
+
+
+@query()
+def analysis(spark, d):
+    """The flagship: gate, measurements, score, verdict and confidence of every document, in one projection."""
+    out = model.score(documents.surface(documents.gate(docs(spark, d))), WEIGHTS, INTERCEPT)
+    return documents.verdict(out).select("doc_id", "status", "code", "word_count", F.round("probability", 6).alias("probability"), F.when(F.col("code").isNull(), F.col("verdict")).otherwise(F.col("code")).alias("verdict"), "category", "colour", "confidence")
