@@ -51,7 +51,7 @@ def _grams(codes: np.ndarray, starts: np.ndarray, n: int, base: int) -> tuple[np
     return np.unique(value[inside], return_counts=True)
 
 
-def fit_bytes(texts: list[str], labels: list[str], max_order: int = 4, min_count: int = 16) -> ByteModel:
+def fit_bytes(texts: list[str], labels: list[str], max_order: int = 3, min_count: int = 16) -> ByteModel:
     """Context trees of every language. A context is kept where some language has seen it ``min_count`` times."""
     languages = sorted(set(labels))
     blobs = {k: b"\0".join(t.encode("utf-8", "replace").replace(b"\0", b" ") for t, k2 in zip(texts, labels) if k2 == k) for k in languages}
@@ -170,7 +170,7 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 400, max_order: int = 4, min_count: int = 16) -> ByteModel | None:
+def fit(docs: DataFrame, per_language: int = 400, max_order: int = 3, min_count: int = 16) -> ByteModel | None:
     rows = training_rows(docs, per_language).orderBy("lang", "text").collect()  # bounded by per_language and longest
     return fit_bytes([r.text for r in rows], [r.lang for r in rows], max_order, min_count) if rows else None
 
