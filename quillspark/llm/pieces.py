@@ -27,7 +27,7 @@ from .shared import rows_of
 SPACE = "▁"
 TOKENIZERS = os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-MEMO = 200_000
+MEMO = 250_000
 
 
 class Pieces:
@@ -37,9 +37,9 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.root: dict = {}
+        self.root: list = [{}, None]  # children and (id, score) of a piece that ends here
         self.bytes, self.table = [0] * 256, []
-        lowest, alphabet = 0.0, set()
+        lowest, alphabet, found = 0.0, set(), []
         for i in range(sp.get_piece_size()):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
@@ -50,18 +50,24 @@ class Pieces:
             else:
                 node = self.root
                 for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, score)
+                    node = node[0].setdefault(c, [{}, None])
+                node[1] = (i, score)
                 alphabet.update(piece)
+                found.append(piece)
                 if score > -1e8:
                     lowest = min(lowest, score)
                 self.table.append(piece.replace(SPACE, " ").encode())
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"the piece {piece!r} holds a space after another character")
         self.alone = lowest - 10
-        #: Chunks: a run of spaces and what follows it, or a line end, which no piece holds.
-        self.cut = re.compile(r" *[^ \n]+|\n| +" if "\n" not in alphabet else r" *[^ ]+| +")
+        # Signs that no piece has after a letter: between the two every path must pass.
+        joined = {b for p in found for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.signs = re.escape("".join(c for c in ".,;:!?|'\"()*#$%&" if c not in joined)) or "\n"
+        letters = r"[^\W\d_]+"
+        #: Chunks: a run of spaces and what follows it, cut where a sign follows letters, or a line end, which no piece holds.
+        self.cut = re.compile(rf" *{letters}(?=[{self.signs}])|[{self.signs}][^ \n]*| *[^ \n]+|\n| +" if "\n" not in alphabet else r" *[^ ]+| +")
         self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}  # the memo before this one; what is still in use moves over
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk, best first."""
@@ -74,22 +80,25 @@ class Pieces:
         for i in range(size):
             b, node, j, covered = best[i], self.root, i, False
             while j < size:
-                node = node.get(s[j])
+                node = node[0].get(s[j])
                 if node is None:
                     break
                 j += 1
-                leaf = node.get("")
+                leaf = node[1]
                 if leaf is not None:
-                    covered |= j == i + 1
+                    covered = covered or j == i + 1
                     coming[j].append((i, leaf))
-                    if b + leaf[1] > best[j]:
-                        best[j] = b + leaf[1]
+                    total = b + leaf[1]
+                    if total > best[j]:
+                        best[j] = total
             if not covered:
                 ids = tuple(self.bytes[x] for x in (s[i] or SPACE).encode("utf-8", "replace"))
                 coming[i + 1].append((i, (ids, self.alone)))
                 best[i + 1] = max(best[i + 1], b + self.alone)
         out, tie = [], count()
         queue = [(-best[size], 0, size, 0.0, None)]
+        # Every queue entry ends in one path of its own of exactly its total, so an entry worse than n others is not kept.
+        worst = [float("inf")] * n
         while queue and len(out) < n:
             _, _, at, score, path = heapq.heappop(queue)
             if at == 0:
@@ -99,20 +108,31 @@ class Pieces:
                     path = path[1]
                 out.append((score, tuple(ids)))
                 continue
+            top, own_best = best[at], False
             for start, (piece, own) in coming[at]:
-                heapq.heappush(queue, (-(best[start] + own + score), next(tie), start, own + score, (piece, path)))
+                lost = best[start] + own
+                f = -(lost + score)
+                if lost == top and not own_best:
+                    own_best = True  # goes on with the path of the entry itself
+                elif f >= worst[-1]:
+                    continue
+                else:
+                    worst.append(f)
+                    worst.sort()
+                    worst.pop()
+                heapq.heappush(queue, (f, next(tie), start, own + score, (piece, path)))
         return out
 
     def chunk(self, chunk: str, n: int) -> tuple:
-        """Memo entry of a chunk: ids as int32 bytes, score, loss of the second best, all n best."""
-        got = self.memo.get(chunk)
+        """Memo entry of a chunk: ids as int32 bytes, score, loss of the second best."""
+        got = self.older.get(chunk)
         if got is None:
-            ranked = self.nbest(chunk, n)
-            got = (np.array(ranked[0][1], np.int32).tobytes(), ranked[0][0], ranked[0][0] - ranked[1][0] if len(ranked) > 1 else None, ranked[1:])
+            ranked = self.nbest(chunk, min(n, 2))
+            got = (np.array(ranked[0][1], np.int32).tobytes(), ranked[0][0], ranked[0][0] - ranked[1][0] if len(ranked) > 1 else None)
+        if len(chunk) <= 64:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(chunk) <= 64:
-                self.memo[chunk] = got
+                self.memo, self.older = {}, self.memo
+            self.memo[chunk] = got
         return got
 
     def encode(self, text: str, n: int = 2) -> tuple[bytes, list[float], list[list[tuple[int, int, list[int]]]]]:
@@ -122,16 +142,15 @@ class Pieces:
         """
         if not text:
             return b"", [0.0], [[]]
-        memo = self.memo
         parts = self.cut.findall(" " + text)
-        rows = [memo.get(p) or self.chunk(p, n) for p in parts]
+        rows = [self.memo.get(p) or self.chunk(p, n) for p in parts]
         total = sum([r[1] for r in rows])
         # Only the n - 1 chunks that lose least can change in the n best.
         open_ = heapq.nsmallest(n - 1, ((r[2], k) for k, r in enumerate(rows) if r[2] is not None)) if n > 1 else []
         plans: list[tuple[float, tuple]] = [(0.0, ())]
         for _, k in open_:
             best = rows[k][1]
-            options = [(0.0, None), *((best - s, ids) for s, ids in rows[k][3])]
+            options = [(0.0, None), *((best - s, ids) for s, ids in self.nbest(parts[k], n)[1:])]
             plans = heapq.nsmallest(n, ((loss + more, done if ids is None else (*done, (k, ids))) for loss, done in plans for more, ids in options), key=lambda x: (x[0], len(x[1]), [k for k, _ in x[1]]))
         changes = []
         for _, done in plans:
