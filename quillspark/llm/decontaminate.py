@@ -23,7 +23,7 @@ from .shared import rows_of, staged
 
 FEATURES = 1 << 14
 PASSAGE = 64
-RANK, OVERSAMPLE = 40, 8
+RANK, OVERSAMPLE = 24, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.35
 BLOCK = 96
@@ -164,7 +164,7 @@ class Items:
     """The benchmark by length class: latent vectors, and what verification needs. Its size must be bounded."""
 
     def __init__(self, rows: list[tuple[int, str]], project: np.ndarray, mean: np.ndarray):
-        self.project, self.mean = project, mean
+        self.project, self.mean, self.centred = project, mean, project - mean
         self.rows, by = [], {}
         for item, text in rows:
             words = hashed_words(text.encode("utf-8", "replace")).astype(np.uint16)
@@ -210,7 +210,8 @@ class Items:
         end = np.cumsum(sizes)
         begin = end - sizes
         found: dict[tuple, tuple] = {}
-        cum = np.concatenate([np.zeros((1, self.project.shape[1])), np.cumsum(self.project[words & (FEATURES - 1)] - self.mean, axis=0, dtype=np.float64)])
+        cum = np.zeros((len(words) + 1, self.project.shape[1]), np.float32)
+        np.cumsum(self.centred[words & (FEATURES - 1)], axis=0, out=cum[1:])
         place = np.arange(len(words)) - begin[owner]
         left = end[owner] - np.arange(len(words))
         for cls, (length, (index, vectors)) in enumerate(self.classes.items()):
@@ -218,7 +219,7 @@ class Items:
             step, half = max(1, length // 8), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
             stop = np.minimum(start + length, end[owner[start]])
-            x = (cum[stop] - cum[start]).astype(np.float32)
+            x = cum[stop] - cum[start]
             x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             # Windows of a document that begin in the same half window are verified together.
             cell = owner[start] * (len(words) // half + 2) + place[start] // half
