@@ -26,7 +26,7 @@ PASSAGE = 64
 RANK, OVERSAMPLE = 24, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.35
-BLOCK = 96
+BLOCK = 192
 COPY, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
 #: ASCII letters in lower case; other ASCII characters but digits separate words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -216,7 +216,7 @@ class Items:
         left = end[owner] - np.arange(len(words))
         for cls, (length, (index, vectors)) in enumerate(self.classes.items()):
             possible = self.possible(words, cls)
-            step, half = max(1, length // 8), max(1, length // 2)
+            step, half = max(1, length // 6), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
             stop = np.minimum(start + length, end[owner[start]])
             x = cum[stop] - cum[start]
