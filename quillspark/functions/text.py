@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicon as L
 
@@ -86,13 +87,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no such function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def deflated(text: pd.Series) -> pd.Series:
     """Bytes of the text's UTF-8 compressed by zlib; Spark has no such function."""
     return text.map(lambda t: 0 if not t else len(zlib.compress(t.encode("utf-8", "replace"))))
