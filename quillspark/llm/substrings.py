@@ -1,8 +1,8 @@
 """Substring deduplication by hashing of lines and paragraphs.
 
 A text is cut in units at line ends, after sentence ends and where a capitalised word follows a lower-case one, so that
-a passage is cut alike wherever it stands. From every unit the shortest run of whole units of at least ``min_words``
-words, taken over line ends, is normalised (lower case, single spaces) and digested. Digests are grouped over all
+a passage is cut alike wherever it stands. From every unit, and up to every unit, the shortest run of whole units of
+at least ``min_words`` words, taken over line ends, is normalised (lower case, single spaces) and digested. Digests are grouped over all
 documents; the occurrence of the least (doc_id, start) stays and the others go. Offsets are code points of the
 original text.
 """
@@ -38,16 +38,24 @@ def units(text: str) -> tuple[list[int], list[int], list[str]]:
 
 
 def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(digest high, digest low, start, end) of the shortest run of enough words from each unit; the end is the next unit's start."""
+    """(digest high, digest low, start, end) of the shortest runs of enough words from and up to each unit; the end is the next unit's start."""
     starts, first, words = units(text)
     first.append(len(words))
     starts.append(len(text))
-    j = 0
-    for i in range(len(first) - 1):
-        while j < len(first) - 1 and first[j] - first[i] < min_words:
+    found, n, j = set(), len(first) - 1, 0
+    for i in range(n):
+        while j < n and first[j] - first[i] < min_words:
             j += 1
         if first[j] - first[i] < min_words:
-            return
+            break
+        found.add((i, j))
+    i = 0
+    for j in range(1, n + 1):  # and the shortest run that ends at each unit, so that a short last unit isn't left over
+        while i + 1 < j and first[j] - first[i + 1] >= min_words:
+            i += 1
+        if first[j] - first[i] >= min_words:
+            found.add((i, j))
+    for i, j in sorted(found):
         d = xxhash.xxh3_128_intdigest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))
         yield (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), starts[i], starts[j]
 
