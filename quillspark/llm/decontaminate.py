@@ -27,6 +27,7 @@ RANK, OVERSAMPLE = 24, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.35
 BLOCK = 192
+GROUP = 256
 COPY, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
 #: ASCII letters in lower case; other ASCII characters but digits separate words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -178,24 +179,35 @@ class Items:
             by.setdefault(length, []).append(len(self.rows))
             self.rows.append((item, len(words), masks_of(words.tolist()), len(answer), masks_of(answer), v / max(np.linalg.norm(v), 1e-12)))
         self.classes = {k: (np.array(i), np.stack([self.rows[j][5] for j in i]).T.astype(np.float32)) for k, i in by.items()}
-        self.words = [np.concatenate([np.repeat(*zip(*((w, m.bit_count()) for w, m in self.rows[j][2].items()))) for j in i]) for i, _ in self.classes.values()]
-        self.cuts = [np.cumsum([0, *(self.rows[j][1] for j in i[:-1])]) for i, _ in self.classes.values()]
+        self.words = [np.concatenate([np.repeat(np.fromiter(m, np.int64), [x.bit_count() for x in m.values()]) for m in (self.rows[j][2] for j in i)]) for i, _ in self.classes.values()]
+        self.cuts = [np.cumsum([0, *(self.rows[j][1] for j in i)]) for i, _ in self.classes.values()]
         self.needs = [np.array([PARAPHRASE * self.rows[j][1] for j in i]) for i, _ in self.classes.values()]
         self.reach = [max(k, *(self.rows[j][1] for j in i)) // 2 + 1 for k, (i, _) in self.classes.items()]
 
     def possible(self, words: np.ndarray, cls: int) -> np.ndarray:
         """(block, item): whether enough of the item's words are among those that windows of the block are verified on.
 
-        This bounds the common subsequence from above, so nothing that could be found is passed over.
+        All blocks are counted in one product for each group of items, over the words of that group. This bounds the
+        common subsequence from above, so nothing that could be found is passed over.
         """
-        there, reach = np.zeros(1 << 16, np.uint8), self.reach[cls]
-        out = np.zeros((len(words) // BLOCK + 1, len(self.needs[cls])), bool)
-        for b in range(len(out)):
-            part = words[max(0, b * BLOCK - reach) : (b + 1) * BLOCK + 4 * reach]
-            there[part] = 1
-            out[b] = np.add.reduceat(there[self.words[cls]], self.cuts[cls], dtype=np.int64) >= self.needs[cls]
-            there[part] = 0
-        return out
+        reach, n = self.reach[cls], len(words) // BLOCK + 1
+        parts = words[np.clip(np.arange(-reach, BLOCK + 4 * reach) + BLOCK * np.arange(n)[:, None], 0, len(words) - 1)]
+        cuts, needs, out = self.cuts[cls], self.needs[cls], []
+        number = np.zeros(1 << 16, np.int32)
+        for lo in range(0, len(needs), GROUP):
+            size = min(GROUP, len(needs) - lo)
+            own = self.words[cls][cuts[lo] : cuts[lo + size]]
+            number[own] = 1
+            known = np.nonzero(number)[0]
+            number[known] = np.arange(1, len(known) + 1)
+            there = np.zeros((n, len(known) + 1), np.float32)
+            there[np.arange(n)[:, None], number[parts]] = 1
+            there[:, 0] = 0
+            item = np.repeat(np.arange(size), np.diff(cuts[lo : lo + size + 1]))
+            counts = np.bincount(number[own] * size + item, minlength=(len(known) + 1) * size).reshape(-1, size).astype(np.float32)
+            out.append(there @ counts >= needs[lo : lo + size])
+            number[known] = 0
+        return np.concatenate(out, axis=1)
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple]:
         """(document's place, item, overlap, cosine, kind, first word, end) of each item found in each document.
@@ -218,15 +230,22 @@ class Items:
             possible = self.possible(words, cls)
             step, half = max(1, length // 6), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
-            stop = np.minimum(start + length, end[owner[start]])
-            x = cum[stop] - cum[start]
-            x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             # Windows of a document that begin in the same half window are verified together.
             cell = owner[start] * (len(words) // half + 2) + place[start] // half
             edge = np.concatenate([[0], np.nonzero(np.diff(cell))[0] + 1])
+            count = np.diff(np.append(edge, len(start)))
+            block = start[edge] // BLOCK
+            some = possible.any(1)[block]  # no vectors are needed where no item is possible
+            if not some.any():
+                continue
+            start, block, count = start[np.repeat(some, count)], block[some], count[some]
+            edge = np.cumsum(count) - count
+            stop = np.minimum(start + length, end[owner[start]])
+            x = cum[stop] - cum[start]
+            x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             near = np.maximum.reduceat(x @ vectors, edge, axis=0)
             first = start[edge]
-            for w, i in zip(*(v.tolist() for v in np.nonzero((near > COSINE) & possible[first // BLOCK]))):
+            for w, i in zip(*(v.tolist() for v in np.nonzero((near > COSINE) & possible[block]))):
                 item, size, masks, n_answer, answer, _ = self.rows[index[i]]
                 doc, at, slack = int(owner[first[w]]), int(first[w]), max(length, size) // 2
                 a, b = max(int(begin[doc]), at - slack), min(int(end[doc]), at + half + length + slack)
