@@ -105,17 +105,15 @@ def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     shipped = words.sparkSession.sparkContext.broadcast(weighted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, z = shipped.value, np.zeros((FEATURES + 1, k))
+        table, z, ones = shipped.value, np.zeros((k, FEATURES + 1)), np.ones((1, PASSAGE), np.float32)
         for batch in batches:
             for block in _passages(batch, 1 << 11):
-                y = np.concatenate([table[block[lo : lo + 256].ravel()].reshape(-1, PASSAGE, k).sum(1) for lo in range(0, len(block), 256)])
+                y = np.concatenate([ones @ table[block[lo : lo + 256].ravel()].reshape(-1, PASSAGE, k) for lo in range(0, len(block), 256)])[:, 0].astype(float)
                 flat = block.ravel()
-                order = np.argsort(flat, kind="stable")
-                terms = flat[order]
-                edge = np.concatenate([[0], np.nonzero(np.diff(terms))[0] + 1])
-                z[terms[edge]] += np.add.reduceat(y[order // PASSAGE], edge, axis=0)
-        some = np.nonzero(z[:FEATURES].any(1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(z[some, i]) for i in range(k))], names=["term", *(f"v{i}" for i in range(k))])
+                for i in range(k):
+                    z[i] += np.bincount(flat, np.repeat(y[:, i], PASSAGE), FEATURES + 1)
+        some = np.nonzero(z[:, :FEATURES].any(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(z[i, some]) for i in range(k))], names=["term", *(f"v{i}" for i in range(k))])
 
     schema = "term bigint, " + ", ".join(f"v{i} double" for i in range(k))
     sums = words.select("words").mapInArrow(run, schema).groupBy("term").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(k)))
