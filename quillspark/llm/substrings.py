@@ -38,7 +38,7 @@ def units(text: str) -> tuple[list[int], list[int], list[str]]:
 
 
 def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(digest high, digest low, start, end) of the shortest runs of enough words from and up to each unit; the end is the next unit's start."""
+    """(64 and 32 bits of a digest, start, end) of the shortest runs of enough words from and up to each unit; the end is the next unit's start."""
     starts, first, words = units(text)
     first.append(len(words))
     starts.append(len(text))
@@ -57,18 +57,18 @@ def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int,
             found.add((i, j))
     for i, j in sorted(found):
         d = xxhash.xxh3_128_intdigest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))
-        yield (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), starts[i], starts[j]
+        yield (d >> 64) - (1 << 63), (d & (1 << 32) - 1) - (1 << 31), starts[i], starts[j]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return rows_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "doc_id", "text")
+    return rows_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.coalesce(F.hash("text"), F.lit(0)).alias("th"), "doc_id", "text")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k, th (what names a document), start, end of every occurrence but the earliest of each repeated run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         names = ["k", "th", "h1", "h2", "start", "end"]
         for batch in batches:
             out: list[tuple] = []
@@ -80,7 +80,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    found = staged(_keyed(docs).select("k", "th", "text").mapInArrow(run, "k bigint, th bigint, h1 bigint, h2 bigint, start bigint, end bigint"), "runs")
+    found = staged(_keyed(docs).select("k", "th", "text").mapInArrow(run, "k bigint, th int, h1 bigint, h2 int, start int, end int"), "runs")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "start", "th", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     own = (F.col("k") == F.col("first.k")) & (F.col("th") == F.col("first.th"))
     # An occurrence that overlaps the first one of its own document goes only from where that ends.
