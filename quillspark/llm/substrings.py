@@ -21,6 +21,8 @@ from .shared import rows_of, staged
 
 WORD = re.compile(r"\S+")
 MIN_WORDS = 25
+#: Digests, commonest first, whose first occurrence is broadcast; the bound of that broadcast in rows.
+HEAVY = 1000
 
 
 def units(text: str) -> tuple[list[int], list[int], list[str]]:
@@ -80,12 +82,19 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    found = staged(_keyed(docs).select("k", "th", "text").mapInArrow(run, "k bigint, th int, h1 bigint, h2 int, start int, end int"), "runs")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "start", "th", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    found = _keyed(docs).select("k", "th", "text").mapInArrow(run, "k bigint, th int, h1 bigint, h2 int, start int, end int")
+    grouped = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "start", "th", "end")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = staged(grouped, "repeated")  # repeated digests alone; the runs themselves are cut again rather than written
+    # The commonest digests come by broadcast, so that no digest left to the shuffle holds more than 1/HEAVY of all runs.
+    heavy = first.orderBy(F.desc("n"), "h1", "h2").limit(HEAVY).select("h1", "h2", F.col("first").alias("common"))
+    dealt = found.join(F.broadcast(heavy), ["h1", "h2"], "left")
+    # A run that has its answer is dealt by its place; whatever it might meet there is ignored.
+    dealt = dealt.withColumn("h1", F.when(F.col("common").isNull(), F.col("h1")).otherwise(F.xxhash64("k", "th", "start", "end")))
+    met = dealt.join(first.select("h1", "h2", "first"), ["h1", "h2"], "left").withColumn("first", F.coalesce("common", "first")).where("first is not null")
     own = (F.col("k") == F.col("first.k")) & (F.col("th") == F.col("first.th"))
     # An occurrence that overlaps the first one of its own document goes only from where that ends.
     start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
-    return found.join(first, ["h1", "h2"]).where(~(own & (F.col("start") == F.col("first.start")))).select("k", "th", start.alias("start"), "end").where("start < end")
+    return met.where(~(own & (F.col("start") == F.col("first.start")))).select("k", "th", start.alias("start"), "end").where("start < end")
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
