@@ -10,6 +10,7 @@ original text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 import re
 
 import pyarrow as pa
@@ -27,15 +28,25 @@ HEAVY = 1000
 
 def units(text: str) -> tuple[list[int], list[int], list[str]]:
     """Start of each unit, the place of its first word, and the words in lower case."""
-    starts, first, words = [], [], []
-    before, stop = "", -1
-    for m in WORD.finditer(text):
-        w = m[0]
-        if not before or before[-1] in ".!?" or "\n" in text[stop : m.start()] or w[0].isupper() and (before[-1].islower() or before[-1] == ","):
-            starts.append(m.start())
-            first.append(len(words))
-        before, stop = w, m.end()
-        words.append(w)
+    starts: list[int] = []
+    first: list[int] = []
+    words: list[str] = []
+    line_at = 0
+    for line in text.split("\n"):
+        own = line.split()
+        if own:
+            # A unit begins the line, follows a sentence's end, or is a capitalised word after a lower-case letter or comma.
+            cuts = [0]
+            cuts += [i for i, (a, b) in enumerate(pairwise(own), 1) if a[-1] in ".!?" or b[0].isupper() and (a[-1].islower() or a[-1] == ",")]
+            sizes = list(map(len, own))
+            if sum(sizes) + len(own) - 1 == len(line):  # single spaces, so that lengths give the places
+                places = [0, *accumulate(n + 1 for n in sizes[:-1])]
+            else:
+                places = [m.start() for m in WORD.finditer(line)]
+            starts += [line_at + places[i] for i in cuts]
+            first += [len(words) + i for i in cuts]
+            words += own
+        line_at += len(line) + 1
     return starts, first, " ".join(words).lower().split(" ") if words else words
 
 
