@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secret_scan
 from .chroma import op8_chroma
 from .decontaminate import op7_decontaminate
 from .html_blocks import op6_html
@@ -15,4 +16,4 @@ from .url_filter import op5_urls
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_substring, op5_urls, op6_html, op7_decontaminate, op8_chroma, op9_pieces, op10_langid)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secret_scan.ORACLE_SQL}

@@ -103,3 +103,24 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", many("assign"), many("access"), many("hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def _spans_sql(kind: str, pattern: str) -> str:
+    """DuckDB SQL of the matches of a pattern in t.text with offsets, from the lengths of gaps and matches before each."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc, '{kind}' AS kind, hit AS value, (pos + before)::BIGINT AS start, (pos + before + length(hit))::BIGINT AS "end" FROM (
+        SELECT doc, hit, length(gap) AS own, sum(length(gap)) OVER w AS pos, coalesce(sum(length(hit)) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+            SELECT doc, generate_subscripts(h, 1) AS i, unnest(h) AS hit, unnest(g[1:len(h)]) AS gap FROM (SELECT doc, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM t))
+        WINDOW w AS (PARTITION BY doc ORDER BY i))"""
+
+
+#: The same rows in DuckDB, with the entropy of every window counted anew.
+ORACLE_SQL = f"""WITH t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT * FROM ({_spans_sql("assign", ASSIGN)}) WHERE length(regexp_extract(value, '{ASSIGN.replace("'", "''")}', 2)) >= 8
+    UNION ALL {_spans_sql("access", ACCESS)} UNION ALL {_spans_sql("hex", HEX)}),
+tokens AS (SELECT * FROM ({_spans_sql("entropy", CANDIDATE)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{ALLOWED}')),
+scored AS (SELECT *, list_max(list_transform(range(1, greatest(length(value) - {WINDOW - 2}, 2)), lambda i: (-list_sum(list_transform(list_distinct(string_split(substr(value, i, {WINDOW}), '')), lambda c: (length(substr(value, i, {WINDOW})) - length(replace(substr(value, i, {WINDOW}), c, ''))) / {WINDOW}.0 * log2((length(substr(value, i, {WINDOW})) - length(replace(substr(value, i, {WINDOW}), c, ''))) / {WINDOW}.0)))))) AS bits FROM tokens),
+high AS (SELECT doc, kind, value, start, "end" FROM scored s WHERE bits > CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') THEN {BITS["hex"]} ELSE {BITS["base64"]} END
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc = s.doc AND b.start < s."end" AND s.start < b."end")),
+spans AS (SELECT doc, kind, concat_ws(':', kind, start, "end") AS span, start, list_position({list(KINDS)}, kind) AS place FROM (SELECT * FROM base UNION ALL SELECT * FROM high)),
+by_doc AS (SELECT doc, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, place) FILTER (kind <> 'entropy') AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM spans GROUP BY doc)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN by_doc USING (doc)"""

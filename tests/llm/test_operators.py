@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -63,6 +64,18 @@ def test_secrets(spark):
     assert spark.sql(f"select {secret_scan.most_entropy(chr(39) + word + chr(39))}").first()[0] == pytest.approx(best)
 
 
+def test_secrets_sql(spark, tmp_path):
+    word = "a8Kd93kZq0LmX72bVvT1cRyW5z4"
+    rows = [(1, f"é {word} and secret={word} x"), (2, f"{word}/{word[::-1]} 0123456789abcdef0123 example{word}"), (2, "AKIA" * 5 + " TOKEN : 'abc' pAsswd:abcdefgh"), *ODD]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = secret_scan.op2_secrets(spark, str(tmp_path))
+    want = con.sql(secret_scan.ORACLE_SQL).to_arrow_table().select(got.columns).to_pylist()
+    assert any("entropy" in r["spans"] for r in want)
+    assert sorted(map(str, (tuple(r.values()) for r in want))) == sorted(map(str, (tuple(r) for r in got.collect())))
+
+
 def feistel(values, moduli, kind, key=pii.KEY):
     half = -(-len(values) // 2)
     left, right, ml, mr = list(values[:half]), list(values[half:]), moduli[:half], moduli[half:]
