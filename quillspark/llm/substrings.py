@@ -1,10 +1,11 @@
 """Substring deduplication by hashing of lines and paragraphs.
 
-A text is cut in units at line ends, after sentence ends and where a capitalised word follows a lower-case one, so that
-a passage is cut alike wherever it stands. From every unit, and up to every unit, the shortest run of whole units of
-at least ``min_words`` words, taken over line ends, is normalised (lower case, single spaces) and digested. Digests are grouped over all
-documents; the occurrence of the least (doc_id, start) stays and the others go. Offsets are code points of the
-original text.
+Every line and every paragraph (lines up to a blank one) of at least ``min_chars`` characters is normalised (lower case,
+single spaces) and digested. For passages inside lines a text is also cut in units at line ends, after sentence ends and
+where a capitalised word follows a lower-case one, so that a passage is cut alike wherever it stands; from every unit,
+and up to every unit, the shortest run of whole units of at least ``min_words`` words, taken over line ends, is digested
+too. Digests are grouped over all documents; the occurrence of the least (doc_id, start) stays and the others go.
+Offsets are code points of the original text.
 """
 
 from __future__ import annotations
@@ -22,19 +23,26 @@ from .shared import rows_of, staged
 
 WORD = re.compile(r"\S+")
 MIN_WORDS = 25
+#: Characters of a normalised line or paragraph below which it isn't hashed on its own.
+MIN_CHARS = 12
 #: Digests, commonest first, whose first occurrence is broadcast; the bound of that broadcast in rows.
 HEAVY = 1000
 
 
-def units(text: str) -> tuple[list[int], list[int], list[str]]:
-    """Start of each unit, the place of its first word, and the words in lower case."""
+def units(text: str) -> tuple[list[int], list[int], list[str], list[int], list[int]]:
+    """Start of each unit, the place of its first word, the words in lower case, and the units that begin lines and paragraphs."""
     starts: list[int] = []
     first: list[int] = []
     words: list[str] = []
-    line_at = 0
+    lines: list[int] = []
+    paragraphs: list[int] = []
+    line_at, blank = 0, True
     for line in text.split("\n"):
         own = line.split()
         if own:
+            lines.append(len(starts))
+            if blank:
+                paragraphs.append(len(starts))
             # A unit begins the line, follows a sentence's end, or is a capitalised word after a lower-case letter or comma.
             cuts = [0]
             cuts += [i for i, (a, b) in enumerate(pairwise(own), 1) if a[-1] in ".!?" or b[0].isupper() and (a[-1].islower() or a[-1] == ",")]
@@ -46,13 +54,14 @@ def units(text: str) -> tuple[list[int], list[int], list[str]]:
             starts += [line_at + places[i] for i in cuts]
             first += [len(words) + i for i in cuts]
             words += own
+        blank = not own
         line_at += len(line) + 1
-    return starts, first, " ".join(words).lower().split(" ") if words else words
+    return starts, first, " ".join(words).lower().split(" ") if words else words, lines, paragraphs
 
 
-def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(64 and 32 bits of a digest, start, end) of the shortest runs of enough words from and up to each unit; the end is the next unit's start."""
-    starts, first, words = units(text)
+def runs(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, int, int]]:
+    """(64 and 32 bits of a digest, start, end) of each line, each paragraph, and the shortest runs of enough words from and up to each unit; the end is the next unit's start."""
+    starts, first, words, lines, paragraphs = units(text)
     first.append(len(words))
     starts.append(len(text))
     found, n, j = set(), len(first) - 1, 0
@@ -68,6 +77,10 @@ def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int,
             i += 1
         if first[j] - first[i] >= min_words:
             found.add((i, j))
+    for begins in (lines, paragraphs):
+        for i, j in pairwise([*begins, n]):
+            if sum(map(len, words[first[i] : first[j]])) + first[j] - first[i] - 1 >= min_chars:
+                found.add((i, j))
     for i, j in sorted(found):
         d = xxhash.xxh3_128_intdigest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))
         yield (d >> 64) - (1 << 63), (d & (1 << 32) - 1) - (1 << 31), starts[i], starts[j]
@@ -112,7 +125,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without its repeated passages, removed: array of struct(start, end) in the text as it was.
 
     Null texts stay null and empty ones empty. Rows alike in doc_id and text count as one document and all stay;
-    rows without a doc_id rank first. Texts of under ``min_words`` words are never touched.
+    rows without a doc_id rank first. Texts of under MIN_CHARS characters are never touched.
     """
     docs = _keyed(docs)
     spans = repeated_spans(docs.select("doc_id", "text"), min_words).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -110,6 +110,15 @@ def test_substrings(spark):
     assert by[103].text == by[104].text == "short line" and len(got) == len(rows)
 
 
+def test_substrings_short_lines(spark):
+    line, han, block = "Licensed under the terms of this file.", "本文件依照許可證條款授權使用請勿移除", "Tiny one\n  two here"
+    rows = [(1, f"own words of one\n{line}\nmore of one\n\n{han}"), (2, f"other words of two\n  {line.upper()}\nmore of two\n{han}\nend of two"), (3, f"third opening\n\n{block}\n\nits end"), (4, f"fourth opening\n\n{block}\n\nan end of four"), (5, f"{line}\nbetween the two\n{line}")]
+    got = {r.doc_id: r.text for r in substrings.deduplicate(table(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2].split() == "other words of two more of two end of two".split()
+    assert got[4].split() == "fourth opening an end of four".split() and got[5].split() == "between the two".split()
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/1?q"), (2, "https://x.net/a#b"), (3, "ftp://sub.example.com/de/x"), (4, None), (5, "no scheme"), (6, "http://y.org/fr/"), (7, "http://spam-farm.example.org/en/7")]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.fit(spark)).collect()}
