@@ -1,8 +1,11 @@
 """Personal data: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
-E-mail addresses, telephone numbers, card numbers, IPv4 addresses, social security numbers and dates are found in one
-pass and validated (check digit, octets, number ranges, calendar). A value becomes an array of symbols with a modulus
-each: letters 26, digits 10, octets 256, days of two centuries 250 x 292. Eight keyed Feistel rounds move one half of
+E-mail addresses, telephone numbers, card numbers, IPv4 addresses, social security numbers and dates are found and
+validated (check digit, octets, number ranges, calendar). Card numbers are sought first, among all runs of whole digit
+groups, and only those with a right check digit are taken, so that digits beside another value don't hide it; the other
+kinds are found in one pass over the rest, by patterns that only match what is valid. Dates are yyyy-mm-dd, dd-mm-yyyy
+or, where the second number is over 12, mm-dd-yyyy, with ``-``, ``/`` or ``.``. A value becomes an array of symbols with
+a modulus each: letters 26, digits 10, octets 256, days of two centuries 17 x 4297. Eight keyed Feistel rounds move one half of
 the array by a key stream drawn from SHA-256 over key, kind, round and the other half, each symbol inside its modulus,
 which is a permutation of all values of that shape. The pseudonym has the same format, and equal values give equal
 pseudonyms in every document. Mail domains stay, as do a telephone's country code and every value that is not valid.
@@ -19,14 +22,25 @@ KEY = "quillspark-pseudonyms"
 ROUNDS = 8
 #: Fixed patterns, in Java's syntax. A value must not touch a letter, digit or joining sign on its left.
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
-IP = r"(?<![\p{L}0-9.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}0-9-]|\.\d)"
-SSN = r"(?<![\p{L}0-9.-])\d{3}-\d{2}-\d{4}(?![\p{L}0-9-])"
-DATE = r"(?<![\p{L}0-9.-])\d{4}-\d{2}-\d{2}(?![\p{L}0-9-])"
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
+IP = rf"(?<![\p{{L}}0-9.-]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}0-9-]|\.\d)"
+SSN = r"(?<![\p{L}0-9.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}0-9-])"
+SHAPES = "|".join(rf"(?:19|20)\d\d{s}\d\d{s}\d\d|\d{{1,2}}{s}\d{{1,2}}{s}(?:19|20)\d\d" for s in ("-", "/", "[.]"))
+DATE = rf"(?<![\p{{L}}0-9./-])(?:{SHAPES})(?![\p{{L}}0-9/-]|\.\d)"
+#: Digit groups joined by single spaces or hyphens, with 13 digits at least: where card numbers may stand.
+CHAIN = r"(?<![\p{L}0-9.+-])(?=\d(?:[ -]?\d){12})\d++(?:-\d++)*+(?: \d++(?:-\d++)*+)*(?![\p{L}0-9-]|\.\d|[\p{L}0-9._%+-]*+@)"
 CARD = r"(?<![\p{L}0-9.+-])\d(?:[ -]?\d){12,18}(?![\p{L}0-9-])"
 PHONE = r"(?<![\p{L}0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?![\p{L}0-9-])"
-KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "card": CARD, "phone": PHONE}
+#: By country code, in any grouping: 8 to 15 digits.
+ABROAD = r"(?<![\p{L}0-9.])\+(?=[1-9])(?:\d(?:[ .-]|[ .-]?\(|\)[ .-]?)?){7,14}\d(?![\p{L}0-9-])"
+#: Stands around card numbers while the other kinds are sought: a code point kept for internal use. A text that has it gets no marks and is searched for CARD like the other kinds.
+MARK = "\ufdd0"
+KINDS = {"marked": f"{MARK}[0-9 -]+{MARK}", "email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "phone": PHONE, "abroad": ABROAD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-FIRST_DAY, DAYS = "1900-01-01", 250 * 292
+PLAIN = "|".join(f"(?:{p})" for k, p in {**KINDS, "card": CARD}.items() if k != "marked")
+FIRST_DAY, YEARS, DAYS = "1900-01-01", (17, 4297), 17 * 4297
+#: Steps within which every date whose day is over 12 comes to another such date.
+WALK = 64
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -78,8 +92,17 @@ def pseudonym(value: str, key: str = KEY) -> str:
     area, group, serial = (f"cast(substr({value}, {a}, {n}) as int)" for a, n in ((1, 3), (5, 2), (8, 4)))
     # Areas 1-665 and 667-899 are numbered 0-897.
     ssn = _let(feistel(f"array({area} - if({area} > 666, 2, 1), {group} - 1, {serial} - 1)", "array(898, 99, 9999)", "ssn", key), "a", "concat(lpad(cast(a[0] + if(a[0] >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(a[1] + 1 as string), 2, '0'), '-', lpad(cast(a[2] + 1 as string), 4, '0'))")
-    day = f"datediff(try_cast({value} as date), date'{FIRST_DAY}')"
-    date = _let(day, "n", _let(feistel("array(cast(floor(n / 292) as int), n % 292)", "array(250, 292)", "date", key), "a", f"date_format(date_add(date'{FIRST_DAY}', a[0] * 292 + a[1]), 'yyyy-MM-dd')"))
+    parts = f"split({value}, '[-/.]')"
+    # Year first, else day first; month first where only that is a date. Those stay among the days over 12, so that no two dates get one pseudonym.
+    iso = "case when length(p[0]) = 4 then concat_ws('-', p) when int(p[1]) > 12 then concat_ws('-', p[2], lpad(p[0], 2, '0'), lpad(p[1], 2, '0')) else concat_ws('-', p[2], lpad(p[1], 2, '0'), lpad(p[0], 2, '0')) end"
+    day = _let(parts, "p", f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')")
+    turn = _let(feistel(f"array(cast(floor(w.n / {YEARS[1]}) as int), w.n % {YEARS[1]})", f"array{YEARS}", "date", key), "a", f"a[0] * {YEARS[1]} + a[1]")
+    again = f"length(p[0]) < 3 and int(p[1]) > 12 and day(date_add(date'{FIRST_DAY}', x)) < 13"
+    walked = _let(turn, "x", f"named_struct('n', x, 'at', if({again}, 0, k))")
+    walk = f"aggregate(sequence(1, {WALK}), named_struct('n', n, 'at', 0), (w, k) -> if(w.at > 0, w, {walked}), w -> date_add(date'{FIRST_DAY}', w.n))"
+    form = "date_format(new, if(length(p[0]) = 4, 'yyyy-MM-dd', if(int(p[1]) > 12, 'MM-dd-yyyy', 'dd-MM-yyyy')))"
+    form = f"replace(if(length(p[0]) = 1 or length(p[1]) = 1, regexp_replace({form}, '(^|-)0', '$1'), {form}), '-', regexp_extract({value}, '[-/.]', 0))"
+    date = _let(parts, "p", _let(day, "n", _let(walk, "new", form)))
     payload = feistel("slice(d, 1, size(d) - 1)", "transform(slice(d, 1, size(d) - 1), x -> 10)", "card", key)
     card = _let(_digits(value), "d", _let(payload, "p", _filled(value, f"concat(p, array((10 - {_luhn('concat(p, array(0))')} % 10) % 10))")))
     # All but the country code.
@@ -94,11 +117,20 @@ def pseudonym(value: str, key: str = KEY) -> str:
         when {value} like '%@%' then {row("email", f"concat({_characters(local, 'email', key)}, {domain})")}
         when {value} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then if(array_max({octets}) < 256, {row("ip", f"array_join({feistel(octets, 'array(256, 256, 256, 256)', 'ip', key)}, '.')")}, null)
         when {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {row("ssn", ssn)}, null)
-        when {value} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if({day} between 0 and {DAYS - 1}, {row("date", date)}, null)
+        when {value} rlike '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})$' then if({day} between 0 and {DAYS - 1}, {row("date", date)}, null)
         when {value} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then if({_luhn(_digits(value))} % 10 = 0, {row("card", card)}, null)
         else {row("phone", phone)} end"""
 
 
+def _marked(chain: str) -> str:
+    """SQL of a chain with marks around its card numbers: from the left, the longest run of whole groups that is valid."""
+    digits = "replace(array_join(slice(g, i, j - i + 1), ''), '-', '')"
+    ends = f"filter(sequence(i, least(i + 18, size(g))), j -> if(length({digits}) between 13 and 19, {_luhn(_digits(digits))} % 10 = 0, false))"
+    card = f"concat('{MARK}', array_join(slice(g, i, e - i + 1), ' '), '{MARK}')"
+    step = _let(f"array_max({ends})", "e", f"if(e is null, named_struct('next', i + 1, 'out', concat(s.out, array(g[i - 1]))), named_struct('next', e + 1, 'out', concat(s.out, array({card}))))")
+    return _let(f"split({chain}, ' ')", "g", f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'out', cast(array() as array<string>)), (s, i) -> if(i < s.next, s, {step}), s -> array_join(s.out, ' '))")
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns of docs with text rewritten, and entities: array of struct(kind, start, end) in the text as it was.
 
@@ -107,8 +139,18 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     if "text" not in docs.columns:
         docs = docs.withColumn("text", F.lit(None).cast("string"))
-    marked = F.col("text").rlike("[0-9@]") & F.col("text").rlike(ANY)
-    found = docs.drop("entities", "_pii").withColumn("_pii", F.when(marked, F.struct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("old"), F.split("text", ANY, -1).alias("gaps"))))
+    odd = F.col("text").contains(MARK)
+    chains = F.struct(F.regexp_extract_all("text", F.lit(CHAIN), F.lit(0)).alias("old"), F.split("text", CHAIN, -1).alias("gaps"))
+    found = docs.drop("entities", "_pii", "_pii_text").withColumn("_pii", F.when(F.col("text").rlike(CHAIN) & ~odd, chains))
+    cards = F.expr(f"concat(array_join(zip_with(slice(_pii.gaps, 1, size(_pii.old)), _pii.old, (g, o) -> concat(g, {_marked('o')})), ''), element_at(_pii.gaps, -1))")
+    found = found.withColumn("_pii_text", F.when(F.col("_pii").isNotNull(), cards).otherwise(F.col("text")))
+
+    def matches(pattern: str) -> Column:
+        old = F.regexp_extract_all("_pii_text", F.lit(pattern), F.lit(0))
+        return F.struct((old if pattern == PLAIN else F.transform(old, lambda x: F.replace(x, F.lit(MARK), F.lit("")))).alias("old"), F.split("_pii_text", pattern, -1).alias("gaps"))
+
+    some = F.col("text").rlike("[0-9@]")
+    found = found.withColumn("_pii", F.when(some & odd & F.col("_pii_text").rlike(PLAIN), matches(PLAIN)).when(some & ~odd & F.col("_pii_text").rlike(ANY), matches(ANY)))
     new = F.expr(f"transform(_pii.old, x -> {pseudonym('x', key)})")
     found = found.withColumn("_pii", F.when(F.col("_pii").isNotNull(), F.struct("_pii.old", "_pii.gaps", new.alias("new"))))
     text = F.expr("concat(array_join(zip_with(slice(_pii.gaps, 1, size(_pii.old)), zip_with(_pii.old, _pii.new, (o, n) -> coalesce(n.new, o)), (g, v) -> concat(g, v)), ''), element_at(_pii.gaps, -1))")
@@ -118,7 +160,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         s -> s.out), e -> e.kind is not null)""")
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
     at = F.col("_pii").isNotNull()
-    return found.withColumns({"text": F.when(at, text).otherwise(F.col("text")), "entities": F.when(at, spans).otherwise(none)}).drop("_pii")
+    return found.withColumns({"text": F.when(at, text).otherwise(F.col("text")), "entities": F.when(at, spans).otherwise(none)}).drop("_pii", "_pii_text")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

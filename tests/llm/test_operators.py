@@ -100,6 +100,19 @@ def test_pii(spark):
     assert [r.text for r in rows[1:]] == [t for _, t in ODD]
 
 
+def test_pii_neighbours(spark):
+    texts = ["555-713-0042 100 Main St", "1234 123-45-6789", "10023 2024-01-05", "4539 1488 0343 6467 192.168.1.1 x", "12 4539 1488 0343 6467 2024-01-05", "+1 555 713 0042 100 200 3", "4539148803436467@example.com", "\ufdd0 4539148803436467 \ufdd0", "25/12/2099 12/25/1999 3/4/1999 2001/02/03 31.12.2000 30.02.2000", "+44 20 7946 0958, +33123456789"]
+    kinds = [["phone"], ["ssn"], ["date"], ["card", "ip"], ["card", "date"], ["phone"], ["email"], ["card"], ["date"] * 5, ["phone"] * 2]
+    rows = {r.doc_id: r for r in pii.pseudonymise(table(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert [e.kind for e in rows[i].entities] == kinds[i], text
+        assert all(text[e.start : e.end] not in rows[i].text for e in rows[i].entities), text
+    assert rows[8].text.endswith(" 30.02.2000") and rows[3].entities[0].end == 19
+    values = spark.sql(f"select date_format(date_add(date'{pii.FIRST_DAY}', cast(id as int)), 'MM/dd/yyyy') v from range({pii.DAYS}) where day(date_add(date'{pii.FIRST_DAY}', cast(id as int))) > 12")
+    new = [r.new for r in values.selectExpr(f"{pii.pseudonym('v')}.new as new").collect()]
+    assert len(set(new)) == len(new) > 40000 and all(n[3:5] > "12" for n in new)
+
+
 def test_substrings(spark):
     shared = "The shared passage goes on " + " ".join(f"word{i}" for i in range(50)) + ". It ends."
     rows = [(101, f"first text before {shared} after it"), (102, f"another opening here {shared}\nown words"), (103, "short line"), (104, "short line"), *ODD]
