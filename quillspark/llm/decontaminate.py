@@ -4,8 +4,8 @@ Documents become sequences of hashed words. Passages of 64 words give document f
 a distributed randomised SVD of the TF-IDF passages: each task adds A^T (A Omega) of its passages, the sums (of fixed
 size, features x rank) meet on the driver, and a Nystrom step gives singular values and vectors. Windows of every
 document, as long as the benchmark items' length classes and a quarter of that apart, are compared with the items by
-cosine in the whitened latent space. Windows over the threshold are verified by the longest common subsequence of
-words with the item: a copy has most of the item's words in order; a paraphrase has fewer, but those of the item's
+cosine in the whitened latent space. Windows that hold enough of an item's words to be a hit are verified, whatever
+their cosine, by the longest common subsequence of words with the item: a copy has most of the item's words in order; a paraphrase has fewer, but those of the item's
 answer (its last sentence).
 """
 
@@ -25,7 +25,6 @@ FEATURES = 1 << 14
 PASSAGE = 64
 RANK, OVERSAMPLE = 24, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
-COSINE = 0.35
 BLOCK = 192
 GROUP = 256
 COPY, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
@@ -243,7 +242,7 @@ class Items:
             x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             near = np.maximum.reduceat(x @ vectors, edge, axis=0)
             first = start[edge]
-            for w, i in zip(*(v.tolist() for v in np.nonzero((near > COSINE) & possible[block]))):
+            for w, i in zip(*(v.tolist() for v in np.nonzero(possible[block]))):
                 item, size, masks, n_answer, answer, _ = self.rows[index[i]]
                 doc, at, slack = int(owner[first[w]]), int(first[w]), max(length, size) // 2
                 a, b = max(int(begin[doc]), at - slack), min(int(end[doc]), at + half + length + slack)
@@ -256,7 +255,7 @@ class Items:
                 kind = "copy" if share >= COPY else "paraphrase"
                 if kind == "paraphrase" and common(answer, n_answer, part) < ANSWER * n_answer:
                     continue
-                if share > found.get((doc, item), (0, 0, 0.0))[2]:
+                if (share, near[w, i]) > found.get((doc, item), (0, 0, 0.0, 0.0))[2:4]:
                     found[doc, item] = (doc, item, share, float(near[w, i]), kind, a - int(begin[doc]), b - int(begin[doc]))
         yield from found.values()
 

@@ -169,6 +169,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_without_cosine():
+    item, host = [f"item{i}" for i in range(30)], " ".join(f"host{i}" for i in range(300)).split()
+    items = decontaminate.Items([(7, " ".join(item))], np.zeros((decontaminate.FEATURES, 4), np.float32), np.zeros(4, np.float32))
+    for own in (item, [w if i % 4 else f"new{i}" for i, w in enumerate(item)]):
+        words = decontaminate.hashed_words(" ".join(host[:130] + own + host[130:]).encode()).astype(np.uint16)
+        assert [(x[1], x[4]) for x in items.search([words])] == [(7, "copy")]
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(2)
     tune = rng.normal(size=48)
