@@ -4,9 +4,9 @@ Documents become sequences of hashed words. Passages of 64 words give document f
 a distributed randomised SVD of the TF-IDF passages: each task adds A^T (A Omega) of its passages, the sums (of fixed
 size, features x rank) meet on the driver, and a Nystrom step gives singular values and vectors. Windows of every
 document, as long as the benchmark items' length classes and a quarter of that apart, are compared with the items by
-cosine in the whitened latent space. Windows that hold enough of an item's words to be a hit are verified, whatever
-their cosine, by the longest common subsequence of words with the item: a copy has most of the item's words in order; a paraphrase has fewer, but those of the item's
-answer (its last sentence).
+cosine in the whitened latent space. Windows over the threshold, and all that hold enough of an item's words to be a
+literal hit, are verified by the longest common subsequence of words with the item: a copy has most of the item's words
+in order; a paraphrase has fewer, but those of the item's answer (its last sentence) in order.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ FEATURES = 1 << 14
 PASSAGE = 64
 RANK, OVERSAMPLE = 24, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
+COSINE = 0.35
 BLOCK = 192
 GROUP = 256
-COPY, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
+#: Shares of an item's words in order; from LITERAL on an item is sought whatever its cosine.
+COPY, LITERAL, PARAPHRASE, ANSWER = 0.7, 0.6, 0.35, 0.8
 #: ASCII letters in lower case; other ASCII characters but digits separate words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -151,6 +153,12 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
+def together(answer: dict[int, int], size: int, part: list[int]) -> bool:
+    """Whether a stretch a quarter longer than the answer has most of its words in order: common words strewn about don't make one."""
+    reach = -(-5 * size // 4)
+    return any(x in answer and common(answer, size, part[i : i + reach]) >= ANSWER * size for i, x in enumerate(part))
+
+
 def answer_of(text: str) -> str:
     """An item's answer: its last sentence of three words or more (else its second half)."""
     parts = [p for p in text.replace("?", ".").replace("!", ".").split(".") if len(p.split()) >= 3]
@@ -178,33 +186,39 @@ class Items:
         self.classes = {k: (np.array(i), np.stack([self.rows[j][5] for j in i]).T.astype(np.float32)) for k, i in by.items()}
         self.words = [np.concatenate([np.repeat(np.fromiter(m, np.int64), [x.bit_count() for x in m.values()]) for m in (self.rows[j][2] for j in i)]) for i, _ in self.classes.values()]
         self.cuts = [np.cumsum([0, *(self.rows[j][1] for j in i)]) for i, _ in self.classes.values()]
-        self.needs = [np.array([PARAPHRASE * self.rows[j][1] for j in i]) for i, _ in self.classes.values()]
+        self.answers = [np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.fromiter(m, np.int64), [x.bit_count() for x in m.values()]) for m in (self.rows[j][4] for j in i))]) for i, _ in self.classes.values()]
+        self.answer_cuts = [np.cumsum([0, *(self.rows[j][3] for j in i)]) for i, _ in self.classes.values()]
+        #: Of each item: words needed for a paraphrase, for a literal hit, and of the answer.
+        self.needs = [np.array([(PARAPHRASE * self.rows[j][1], LITERAL * self.rows[j][1], ANSWER * self.rows[j][3]) for j in i]).T for i, _ in self.classes.values()]
         self.reach = [max(k, *(self.rows[j][1] for j in i)) // 2 + 1 for k, (i, _) in self.classes.items()]
 
-    def possible(self, words: np.ndarray, cls: int) -> np.ndarray:
-        """(block, item): whether enough of the item's words are among those that windows of the block are verified on.
+    def possible(self, words: np.ndarray, cls: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item): whether enough of the item's words for a paraphrase with its answer, and for a literal hit, are among those that windows of the block are verified on.
 
         All blocks are counted in one product for each group of items, over the words of that group. This bounds the
         common subsequence from above, so nothing that could be found is passed over.
         """
         reach, n = self.reach[cls], len(words) // BLOCK + 1
         parts = words[np.clip(np.arange(-reach, BLOCK + 4 * reach) + BLOCK * np.arange(n)[:, None], 0, len(words) - 1)]
-        cuts, needs, out = self.cuts[cls], self.needs[cls], []
+        cuts, answer_cuts, needs, out = self.cuts[cls], self.answer_cuts[cls], self.needs[cls], []
         number = np.zeros(1 << 16, np.int32)
-        for lo in range(0, len(needs), GROUP):
-            size = min(GROUP, len(needs) - lo)
-            own = self.words[cls][cuts[lo] : cuts[lo + size]]
+        for lo in range(0, needs.shape[1], GROUP):
+            size = min(GROUP, needs.shape[1] - lo)
+            own = np.concatenate([self.words[cls][cuts[lo] : cuts[lo + size]], self.answers[cls][answer_cuts[lo] : answer_cuts[lo + size]]])
             number[own] = 1
             known = np.nonzero(number)[0]
             number[known] = np.arange(1, len(known) + 1)
             there = np.zeros((n, len(known) + 1), np.float32)
             there[np.arange(n)[:, None], number[parts]] = 1
             there[:, 0] = 0
-            item = np.repeat(np.arange(size), np.diff(cuts[lo : lo + size + 1]))
-            counts = np.bincount(number[own] * size + item, minlength=(len(known) + 1) * size).reshape(-1, size).astype(np.float32)
-            out.append(there @ counts >= needs[lo : lo + size])
+            item = np.concatenate([np.repeat(np.arange(size), np.diff(cuts[lo : lo + size + 1])), np.repeat(np.arange(size, 2 * size), np.diff(answer_cuts[lo : lo + size + 1]))])
+            counts = np.bincount(number[own] * 2 * size + item, minlength=(len(known) + 1) * 2 * size).reshape(-1, 2 * size).astype(np.float32)
+            held, answered = np.split(there @ counts, 2, axis=1)
+            low, high, answer = needs[:, lo : lo + size]
+            out.append(((held >= low) & (answered >= answer) | (held >= high), held >= high))
             number[known] = 0
-        return np.concatenate(out, axis=1)
+        some, literal = (np.concatenate(x, axis=1) for x in zip(*out))
+        return some, literal
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple]:
         """(document's place, item, overlap, cosine, kind, first word, end) of each item found in each document.
@@ -224,7 +238,7 @@ class Items:
         place = np.arange(len(words)) - begin[owner]
         left = end[owner] - np.arange(len(words))
         for cls, (length, (index, vectors)) in enumerate(self.classes.items()):
-            possible = self.possible(words, cls)
+            possible, literal = self.possible(words, cls)
             step, half = max(1, length // 6), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
             # Windows of a document that begin in the same half window are verified together.
@@ -242,15 +256,18 @@ class Items:
             x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             near = np.maximum.reduceat(x @ vectors, edge, axis=0)
             first = start[edge]
-            for w, i in zip(*(v.tolist() for v in np.nonzero(possible[block]))):
+            for w, i in zip(*(v.tolist() for v in np.nonzero((near > COSINE) & possible[block] | literal[block]))):
                 item, size, masks, n_answer, answer, _ = self.rows[index[i]]
                 doc, at, slack = int(owner[first[w]]), int(first[w]), max(length, size) // 2
                 a, b = max(int(begin[doc]), at - slack), min(int(end[doc]), at + half + length + slack)
                 part = words[a:b].tolist()
-                if sum([masks[x].bit_count() for x in masks.keys() & set(part)]) < PARAPHRASE * size:
+                least = PARAPHRASE if near[w, i] > COSINE else LITERAL
+                if sum([masks[x].bit_count() for x in masks.keys() & set(part)]) < least * size:
                     continue
                 share = common(masks, size, part) / size
-                if share < PARAPHRASE:
+                if share < least:
+                    continue
+                if share < LITERAL and not together(answer, n_answer, part):
                     continue
                 kind = "copy" if share >= COPY else "paraphrase"
                 if kind == "paraphrase" and common(answer, n_answer, part) < ANSWER * n_answer:

@@ -177,6 +177,16 @@ def test_decontamination_without_cosine():
         assert [(x[1], x[4]) for x in items.search([words])] == [(7, "copy")]
 
 
+def test_decontamination_paraphrases():
+    first, answer, host = [f"item{i}" for i in range(20)], [f"answer{i}" for i in range(10)], [f"host{i}" for i in range(300)]
+    text = " ".join(first) + ". " + " ".join(answer) + "."
+    items = decontaminate.Items([(7, text)], np.ones((decontaminate.FEATURES, 4), np.float32), np.zeros(4, np.float32))
+    reworded = [w if i % 2 else f"new{i}" for i, w in enumerate(first)]
+    for own, want in ((["other"] * 18 + first[18:] + answer, ["paraphrase"]), (reworded[:16] + answer, ["paraphrase"]), (answer + first, ["paraphrase"]), (first[:14] + ["other"] * 16, []), (answer, []), (first[:4] + [w for a in answer for w in (a, "other")], [])):
+        words = decontaminate.hashed_words(" ".join(host[:130] + own + host[130:]).encode()).astype(np.uint16)
+        assert [x[4] for x in items.search([words])] == want
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(2)
     tune = rng.normal(size=48)
