@@ -3,7 +3,7 @@
 Documents become sequences of hashed words. Passages of 64 words give document frequencies over the whole corpus, and
 a distributed randomised SVD of the TF-IDF passages: each task adds A^T (A Omega) of its passages, the sums (of fixed
 size, features x rank) meet on the driver, and a Nystrom step gives singular values and vectors. Windows of every
-document, as long as the benchmark items' length classes and a quarter of that apart, are compared with the items by
+document, as long as the benchmark items' length classes and an eighth of that apart, are compared with the items by
 cosine in the whitened latent space. Windows over the threshold, and all that hold enough of an item's words to be a
 literal hit, are verified by the longest common subsequence of words with the item: a copy has most of the item's words
 in order; a paraphrase has fewer, but those of the item's answer (its last sentence) in order.
@@ -23,7 +23,7 @@ from .shared import rows_of, staged
 
 FEATURES = 1 << 14
 PASSAGE = 64
-RANK, OVERSAMPLE = 24, 8
+RANK, OVERSAMPLE = 40, 8
 LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.35
 BLOCK = 192
@@ -239,7 +239,7 @@ class Items:
         left = end[owner] - np.arange(len(words))
         for cls, (length, (index, vectors)) in enumerate(self.classes.items()):
             possible, literal = self.possible(words, cls)
-            step, half = max(1, length // 6), max(1, length // 2)
+            step, half = max(1, length // 8), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
             # Windows of a document that begin in the same half window are verified together.
             cell = owner[start] * (len(words) // half + 2) + place[start] // half
