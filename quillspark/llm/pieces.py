@@ -4,101 +4,237 @@ The piece lattice of a text has an edge for every piece that matches at a place;
 one edge of byte pieces. Forward Viterbi scores are exact heuristics for a backward A-star search from the end, so
 paths leave the queue in order of their total score. The lattice is cut where every path must pass (no piece holds a
 space after another character, and characters outside all pieces stand alone), so a text's N best segmentations follow
-exactly from those of its chunks; chunks are kept in a bounded memo per task. Equal scores: fewer changes against the
-best path first, then earlier ones.
+exactly from those of its chunks; what a chunk costs is kept in a memo of bounded size. Equal scores: fewer changes
+against the best path first, then earlier ones.
+
+A model of the BPE kind gives merge ranks, not probabilities. Its pieces get those of Zipf's law over the ranks, so
+that sums of logarithms compare segmentations of different lengths; scores of other kinds are taken as they are.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of
+from .shared import mapped, rows_of
 
 SPACE = "▁"
 TOKENIZERS = os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-MEMO = 250_000
+#: Scores are rounded to multiples of 1 / EXACT.
+EXACT = 1 << 20
+#: Segmentations that the query and the pipeline ask for.
+N = 5
+#: Chunks in the memo from which only those of the last batch, of at most LONGEST characters, stay: some 25 MB in a worker.
+MEMO, LONGEST = 100_000, 32
+#: Characters of texts that are encoded together, and of a text from which its chunks are read one by one.
+TOGETHER, LONG_TEXT = 1 << 20, 1 << 18
+
+
+class Numbers(dict):
+    """Numbers strings as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 class Pieces:
-    """Pieces, scores and byte pieces of a model file, and the lattice search over them."""
+    """Pieces, scores and byte pieces of a model (the bytes of its file), and the lattice search over them."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.root: list = [{}, None]  # children and (id, score) of a piece that ends here
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes, self.table = [0] * 256, []
-        lowest, alphabet, found = 0.0, set(), []
+        #: (id, score) of each piece; False for what only begins one.
+        self.edges: dict[str, tuple[int, float] | bool] = {}
+        found: list[tuple[str, int, float]] = []
         for i in range(sp.get_piece_size()):
-            piece, score = sp.id_to_piece(i), sp.get_score(i)
+            piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
                 self.table.append(bytes([int(piece[3:5], 16)]))
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.table.append(b"")
             else:
-                node = self.root
-                for c in piece:
-                    node = node[0].setdefault(c, [{}, None])
-                node[1] = (i, score)
-                alphabet.update(piece)
-                found.append(piece)
-                if score > -1e8:
-                    lowest = min(lowest, score)
+                found.append((piece, i, sp.get_score(i)))
                 self.table.append(piece.replace(SPACE, " ").encode())
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"the piece {piece!r} holds a space after another character")
-        self.alone = lowest - 10
+        if all(s <= 0 and s == int(s) for _, _, s in found):  # merge ranks
+            whole = math.log(sum(1 / (1 - s) for _, _, s in found))
+            found = [(p, i, -math.log(1 - s) - whole) for p, i, s in found]
+        # Multiples of a power of two add up exactly, so that equal sums are equal: else rounding would part ties and the search would go through them one by one.
+        found = [(p, i, round(s * EXACT) / EXACT) for p, i, s in found]
+        for piece, i, score in found:
+            for j in range(1, len(piece)):
+                self.edges.setdefault(piece[:j], False)
+            self.edges[piece] = (i, score)
+        self.alone = min((s for _, _, s in found), default=0.0) - 10
+        # The same edges as arrays: class of a character, state after a state and a class, piece and score of a state.
+        states = {begin: k for k, begin in enumerate(self.edges, 1)}
+        alphabet = sorted(set().union(*self.edges)) if self.edges else []
+        self.wide, classes = len(alphabet) + 1, {c: k for k, c in enumerate(alphabet, 1)}
+        self.class_of = np.zeros(0x110000, np.int32)
+        for c, k in classes.items():
+            self.class_of[ord(" " if c == SPACE else c)] = k
+        moves = sorted((states.get(begin[:-1], 0) * self.wide + classes[begin[-1]], k) for begin, k in states.items())
+        self.moves, self.then = (np.array(x, np.int64) for x in zip(*moves, (1 << 62, 0)))
+        self.first = np.zeros(self.wide, np.int64)
+        for c, k in classes.items():
+            self.first[k] = states.get(c, 0)
+        self.piece = np.full(len(states) + 1, -1, np.int32)
+        self.score = np.zeros(len(states) + 1)
+        for begin, k in states.items():
+            if self.edges[begin]:
+                self.piece[k], self.score[k] = self.edges[begin]
         # Signs that no piece has after a letter: between the two every path must pass.
-        joined = {b for p in found for a, b in zip(p, p[1:]) if a.isalpha()}
-        self.signs = re.escape("".join(c for c in ".,;:!?|'\"()*#$%&" if c not in joined)) or "\n"
-        letters = r"[^\W\d_]+"
-        #: Chunks: a run of spaces and what follows it, cut where a sign follows letters, or a line end, which no piece holds.
-        self.cut = re.compile(rf" *{letters}(?=[{self.signs}])|[{self.signs}][^ \n]*| *[^ \n]+|\n| +" if "\n" not in alphabet else r" *[^ ]+| +")
-        self.memo: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}  # the memo before this one; what is still in use moves over
+        joined = {b for p, _, _ in found for a, b in zip(p, p[1:]) if a.isalpha()}
+        signs = re.escape("".join(c for c in ".,;:!?|'\"()*#$%&" if c not in joined)) or "\n"
+        letters, plain = r"[^\W\d_]+", rf"[^ \n{SPACE}]" if not any("\n" in p for p, _, _ in found) else rf"[^ {SPACE}]"
+        #: Chunks: a run of spaces and what follows it, cut where a sign follows letters, at a line end if no piece holds one, and around a U+2581 of the text itself, which matches no piece.
+        self.cut = re.compile(rf" *{letters}(?=[{signs}])|[{signs}]{plain}*| *{plain}+| +|\n|{SPACE}")
+        spelt = [np.frombuffer(x, np.uint8) for x in self.table]
+        self.spelt, self.spelt_size = np.concatenate(spelt), np.fromiter(map(len, spelt), np.int64)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
+        self.ranked: dict[tuple[str, int], list] = {}
+        self.number = Numbers()
+        #: By number of a chunk: score, loss of the second best, and where its ids are.
+        self.best, self.loss, self.at, self.size = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def uncovered(self, char: str) -> list[int]:
+        """Byte pieces of a character that no piece covers."""
+        return [self.bytes[x] for x in (" " if char == SPACE else char).encode("utf-8", "replace")]
+
+    def cost(self, chunk: str) -> tuple[list[int], float, float]:
+        """ids of the best segmentation, its score, and how much less the second best has (infinite without one).
+
+        Forward Viterbi with two scores at each place.
+        """
+        if chunk == SPACE:
+            return [self.bytes[x] for x in SPACE.encode()], self.alone, math.inf
+        s, size, edge, least = chunk.replace(" ", SPACE), len(chunk), self.edges.get, -math.inf
+        best, second, back = [0.0] + [least] * size, [least] * (size + 1), [(0, -1)] * (size + 1)
+        for i in range(size):
+            top, next_ = best[i], second[i]
+            covered = False
+            for j in range(i + 1, size + 1):
+                own = edge(s[i:j])
+                if own is None:
+                    break
+                if own:
+                    covered = covered or j == i + 1
+                    total = top + own[1]
+                    if total > best[j]:
+                        second[j] = max(best[j], next_ + own[1])
+                        best[j], back[j] = total, (i, own[0])
+                    elif total > second[j]:
+                        second[j] = total
+            if not covered:
+                total, j = top + self.alone, i + 1
+                if total > best[j]:
+                    second[j] = max(best[j], next_ + self.alone)
+                    best[j], back[j] = total, (i, -1)
+                elif total > second[j]:
+                    second[j] = total
+        ids: list[int] = []
+        at = size
+        while at:
+            at, piece = back[at]
+            if piece < 0:
+                ids += reversed(self.uncovered(s[at]))
+            else:
+                ids.append(piece)
+        ids.reverse()
+        return ids, best[size], best[size] - second[size]
+
+    def costs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What cost() gives for chunks of one length, all at once: ids one after another, their numbers, scores, losses."""
+        m, size = len(chunks), len(chunks[0])
+        cls = self.class_of[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).T]
+        best, second = np.full((size + 1, m), -np.inf), np.full((size + 1, m), -np.inf)
+        best[0] = 0.0
+        start, piece = np.zeros((size + 1, m), np.int32), np.zeros((size + 1, m), np.int32)
+
+        def take(rows, i, j, own, ids) -> None:
+            total, next_, b = best[i, rows] + own, second[i, rows] + own, best[j, rows]
+            up = total > b
+            second[j, rows] = np.where(up, np.maximum(b, next_), np.maximum(second[j, rows], total))
+            best[j, rows] = np.where(up, total, b)
+            start[j, rows] = np.where(up, i, start[j, rows])
+            piece[j, rows] = np.where(up, ids, piece[j, rows])
+
+        for i in range(size):
+            # A character of its own always goes on, by byte pieces where no piece is it.
+            state = self.first[cls[i]]
+            ids = self.piece[state]
+            take(slice(None), i, i + 1, np.where(ids < 0, self.alone, self.score[state]), ids)
+            rows = np.nonzero(state)[0]
+            state = state[rows]
+            for j in range(i + 2, size + 1):
+                key = state * self.wide + cls[j - 1, rows]
+                at = np.searchsorted(self.moves, key)
+                there = np.nonzero(self.moves[at] == key)[0]
+                if not len(there):
+                    break
+                rows, state = rows[there], self.then[at[there]]
+                ids = self.piece[state]
+                some = np.nonzero(ids >= 0)[0]
+                if len(some):
+                    take(rows[some], i, j, self.score[state[some]], ids[some])
+        at, every = np.full(m, size), np.arange(m)
+        path = np.full((m, size), -2, np.int32)
+        for k in range(size - 1, -1, -1):
+            path[:, k] = np.where(at > 0, piece[at, every], -2)
+            at = np.where(at > 0, start[at, every], 0)
+        odd = (path == -1).any(1)
+        path[odd] = -2
+        used = path != -2
+        ids, sizes = path[used], used.sum(1)
+        if odd.any():  # a few chunks with characters that no piece covers
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for k in np.nonzero(odd)[0].tolist():
+                parts[k] = np.array(self.cost(chunks[k])[0], np.int32)
+                sizes[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, sizes, best[size], best[size] - second[size]
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a chunk, best first."""
-        # A U+2581 in the text itself matches no piece and goes to byte pieces, so that decoding is exact.
-        s = [SPACE if c == " " else None if c == SPACE else c for c in chunk]
-        size, least = len(s), float("-inf")
-        best = [least] * (size + 1)
-        best[0] = 0.0
+        """The n best (score, ids) of a chunk, best first: backward A-star on forward Viterbi scores."""
+        if chunk == SPACE:
+            return [(self.alone, tuple(self.bytes[x] for x in SPACE.encode()))]
+        s, size, edge = chunk.replace(" ", SPACE), len(chunk), self.edges.get
+        best = [0.0] + [-math.inf] * size
         coming: list[list] = [[] for _ in range(size + 1)]
         for i in range(size):
-            b, node, j, covered = best[i], self.root, i, False
-            while j < size:
-                node = node[0].get(s[j])
-                if node is None:
+            top, covered = best[i], False
+            for j in range(i + 1, size + 1):
+                own = edge(s[i:j])
+                if own is None:
                     break
-                j += 1
-                leaf = node[1]
-                if leaf is not None:
+                if own:
                     covered = covered or j == i + 1
-                    coming[j].append((i, leaf))
-                    total = b + leaf[1]
-                    if total > best[j]:
-                        best[j] = total
+                    coming[j].append((i, own))
+                    best[j] = max(best[j], top + own[1])
             if not covered:
-                ids = tuple(self.bytes[x] for x in (s[i] or SPACE).encode("utf-8", "replace"))
-                coming[i + 1].append((i, (ids, self.alone)))
-                best[i + 1] = max(best[i + 1], b + self.alone)
+                coming[i + 1].append((i, (tuple(self.uncovered(s[i])), self.alone)))
+                best[i + 1] = max(best[i + 1], top + self.alone)
         out, tie = [], count()
         queue = [(-best[size], 0, size, 0.0, None)]
         # Every queue entry ends in one path of its own of exactly its total, so an entry worse than n others is not kept.
-        worst = [float("inf")] * n
+        worst = [math.inf] * n
         while queue and len(out) < n:
             _, _, at, score, path = heapq.heappop(queue)
             if at == 0:
@@ -123,54 +259,111 @@ class Pieces:
                 heapq.heappush(queue, (f, next(tie), start, own + score, (piece, path)))
         return out
 
-    def chunk(self, chunk: str, n: int) -> tuple:
-        """Memo entry of a chunk: ids as int32 bytes, score, loss of the second best."""
-        got = self.older.get(chunk)
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of each text's chunks; what new chunks cost is learnt for all texts at once."""
+        known, number = len(self.number), self.number.__getitem__
+        out = []
+        for t in texts:
+            t = " " + t if t else t
+            parts = self.cut.findall(t) if len(t) < LONG_TEXT else map(re.Match.group, self.cut.finditer(t))
+            out.append(np.fromiter(map(number, parts), np.int32))
+        new: dict[int, list[int]] = {}
+        keys = list(self.number)[known:]
+        rows: list[tuple] = []
+        for k, chunk in enumerate(keys):
+            if chunk == SPACE or len(chunk) > LONGEST:
+                ids, best, loss = self.cost(chunk)
+                rows.append(([k], np.array(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([loss])))
+            else:
+                new.setdefault(len(chunk), []).append(k)
+        for same in new.values():
+            for lo in range(0, len(same), 1 << 14):
+                own = same[lo : lo + (1 << 14)]
+                rows.append((own, *self.costs([keys[k] for k in own])))
+        if rows:
+            ids, size, best, loss = (np.concatenate([r[i] for r in rows]) for i in range(1, 5))
+            order = np.concatenate([np.array(r[0]) for r in rows])
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            at = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, ids])
+            self.best, self.loss, self.at, self.size = (np.concatenate([old, x[back]]) for old, x in ((self.best, best), (self.loss, loss), (self.at, at), (self.size, size)))
+        return out
+
+    def forget(self, codes: np.ndarray) -> None:
+        """Leaves only the chunks of the last batch in a memo that has become too large."""
+        if len(self.number) > MEMO:
+            keys = list(self.number)
+            kept = [k for k in np.unique(codes).tolist() if len(keys[k]) <= LONGEST]
+            ids, sizes = self.gather(np.array(kept, np.int64))
+            self.number = Numbers((keys[k], i) for i, k in enumerate(kept))
+            self.best, self.loss, self.size, self.ids = self.best[kept], self.loss[kept], sizes, ids
+            self.at = np.cumsum(sizes) - sizes
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the best segmentations of chunks, one after another, and their numbers."""
+        return ragged(self.ids, self.at[codes], self.size[codes]), self.size[codes]
+
+    def _nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        got = self.ranked.get((chunk, n))
         if got is None:
-            ranked = self.nbest(chunk, min(n, 2))
-            got = (np.array(ranked[0][1], np.int32).tobytes(), ranked[0][0], ranked[0][0] - ranked[1][0] if len(ranked) > 1 else None)
-        if len(chunk) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo, self.older = {}, self.memo
-            self.memo[chunk] = got
+            got = self.nbest(chunk, n)
+            if len(chunk) <= LONGEST:
+                if len(self.ranked) >= MEMO // 10:
+                    self.ranked = {}
+                self.ranked[chunk, n] = got
         return got
 
-    def encode(self, text: str, n: int = 2) -> tuple[bytes, list[float], list[list[tuple[int, int, list[int]]]]]:
-        """ids of the best segmentation (int32 bytes), the n best scores, and what each further one changes in the best.
+    def encode(self, texts: list[str], n: int = N) -> list[tuple[np.ndarray, list[float], list[list[tuple[int, int, list[int]]]]]]:
+        """For each text: ids of the best segmentation, the n best scores, and what each further one changes in the best.
 
-        A change is (first piece, number of pieces, new ids). A space is put before the text, as the model does.
+        A change is (first piece, number of pieces, new ids). A space is put before a text, as the model does.
         """
-        if not text:
-            return b"", [0.0], [[]]
-        parts = self.cut.findall(" " + text)
-        rows = [self.memo.get(p) or self.chunk(p, n) for p in parts]
-        total = sum([r[1] for r in rows])
-        # Only the n - 1 chunks that lose least can change in the n best.
-        open_ = heapq.nsmallest(n - 1, ((r[2], k) for k, r in enumerate(rows) if r[2] is not None)) if n > 1 else []
+        codes = self.codes(texts)
+        keys = list(self.number)
+        out = [self._encode(own, keys, n) for own in codes]
+        self.forget(np.concatenate([np.zeros(0, np.int32), *codes]))
+        return out
+
+    def _encode(self, codes: np.ndarray, keys: list[str], n: int) -> tuple[np.ndarray, list[float], list[list[tuple[int, int, list[int]]]]]:
+        if not len(codes):
+            return np.zeros(0, np.int32), [0.0], [[]]
+        ids, sizes = self.gather(codes)
+        total = float(self.best[codes].sum())
         plans: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, k in open_:
-            best = rows[k][1]
-            options = [(0.0, None), *((best - s, ids) for s, ids in self.nbest(parts[k], n)[1:])]
-            plans = heapq.nsmallest(n, ((loss + more, done if ids is None else (*done, (k, ids))) for loss, done in plans for more, ids in options), key=lambda x: (x[0], len(x[1]), [k for k, _ in x[1]]))
-        changes = []
-        for _, done in plans:
-            own = []
-            for k, ids in sorted(done):
-                first = sum(len(r[0]) for r in rows[:k]) // 4
-                own.append((first, len(rows[k][0]) // 4, list(ids)))
-            changes.append(own)
-        return b"".join([r[0] for r in rows]), [total - loss for loss, _ in plans], changes
-
-    def decode(self, ids) -> bytes:
+        if n > 1:
+            # Only the n - 1 chunks that lose least can change in the n best.
+            loss = self.loss[codes]
+            for k in np.argsort(loss, kind="stable")[: n - 1].tolist():
+                if loss[k] == math.inf:
+                    break
+                options = [(0.0, None), *((float(self.best[codes[k]]) - s, own) for s, own in self._nbest(keys[codes[k]], n)[1:])]
+                plans = heapq.nsmallest(n, ((lost + more, done if own is None else (*done, (k, own))) for lost, done in plans for more, own in options), key=lambda x: (x[0], len(x[1]), [k for k, _ in x[1]]))
+        first = np.cumsum(sizes) - sizes
+        changes = [[(int(first[k]), int(sizes[k]), list(own)) for k, own in sorted(done)] for _, done in plans]
+        return ids, [total - lost for lost, _ in plans], changes
+
+    def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids spell, without the space put before it."""
-        table = self.table
-        out = b"".join([table[i] for i in ids])
+        out = ragged(self.spelt, self.spelt_at[ids], self.spelt_size[ids]).tobytes()
         return out[1:] if out[:1] == b" " else out
 
 
+def ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 @lru_cache(2)
-def pieces(path: str = MODEL) -> Pieces:
-    return Pieces(path)
+def pieces(model: bytes) -> Pieces:
+    return Pieces(model)
+
+
+def model_bytes(path: str = MODEL) -> bytes:
+    """The model's file, read once on the driver; tasks get its bytes."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 NAMES = ["doc_id", "ids", "scores", "changes", "round_trip"]
@@ -178,38 +371,40 @@ OUTPUT = "doc_id bigint, ids array<int>, scores array<double>, changes array<arr
 CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def encode(docs: DataFrame, n: int = 2, path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, n: int = N, path: str = MODEL) -> DataFrame:
     """doc_id, ids of the best segmentation, scores and changes of the n best, round_trip (decoding gives the text).
 
-    A null or empty text has no ids, the one score 0 and round_trip true. Repeated rows stay.
+    A null or empty text has no ids, the one score 0 and round_trip true. A long text is encoded whole. Repeated rows
+    stay, further columns go; an empty table gives an empty result.
     """
+    blob = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                got = [model.encode(t, n) for t in texts]
-                blob = np.frombuffer(b"".join([g[0] for g in got]), np.int32)
-                ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
-                ids = blob.tolist()
-                fine = [model.decode(ids[a:b]) == t.encode("utf-8", "replace") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(blob)), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([[[{"at": a, "length": b, "ids": c} for a, b, c in x] for x in g[2]] for g in got], CHANGES), pa.array(fine)], names=NAMES)
+        model = pieces(blob.value)
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            cut = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // TOGETHER
+            for lo, hi in pairwise([0, *(np.nonzero(np.diff(cut))[0] + 1).tolist(), len(texts)]):
+                got = model.encode(texts[lo:hi], n)
+                ends = np.cumsum([0, *(len(g[0]) for g in got)]).astype(np.int32)
+                fine = [model.decode(g[0]) == t.encode("utf-8", "replace") for g, t in zip(got, texts[lo:hi])]
+                found = pa.array(np.concatenate([np.zeros(0, np.int32), *(g[0] for g in got)]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), found), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([[[{"at": a, "length": b, "ids": c} for a, b, c in x] for x in g[2]] for g in got], CHANGES), pa.array(fine, pa.bool_())], names=NAMES)
 
-    return rows_of(docs, doc_id="long", text="string").mapInArrow(run, OUTPUT)
+    return mapped(rows_of(docs, doc_id="long", text="string"), run, OUTPUT)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and text of encoded rows. A null ids gives a null text."""
+    blob = encoded.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        model = pieces(blob.value)
         for batch in batches:
-            texts = [None if ids is None else model.decode(ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            texts = [None if ids is None else model.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,6 +41,18 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of an Arrow batch. Texts are long: with Spark's 10000 a batch and its copies fill a worker's memory.
+BATCH = 1000
+
+
+def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH rows, so that a worker's memory is bounded."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The named column cast to a type, or nulls of that type where the table has none."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)

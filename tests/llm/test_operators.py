@@ -202,30 +202,44 @@ def test_chroma(spark):
     assert errors > chroma.ERRORS or got[20].best_class == 4
 
 
-def test_pieces(spark):
-    model = pieces.Pieces()
-    for text in ("Hello, world.", "  two  spaces ", "é\n日本 ▁ \t😀", ""):
-        ids = np.frombuffer(model.encode(text, 3)[0], np.int32).tolist()
-        assert model.decode(ids).decode() == text
-    flat = {}
-
-    def walk(node, prefix):
-        if node[1]:
-            flat[prefix] = node[1]
-        for c, child in node[0].items():
-            walk(child, prefix + c)
+def all_paths(model, s):
+    """Every segmentation of a chunk whose characters pieces cover: (score, ids)."""
+    leaf = model.edges.get
+    return [(0.0, ())] if not s else [(leaf(s[:j])[1] + score, (leaf(s[:j])[0], *ids)) for j in range(1, len(s) + 1) if leaf(s[:j]) for score, ids in all_paths(model, s[j:])]
 
-    walk(model.root, "")
-
-    def paths(s):
-        return [(0.0, ())] if not s else [(flat[s[:j]][1] + sc, (flat[s[:j]][0], *ids)) for j in range(1, len(s) + 1) if s[:j] in flat for sc, ids in paths(s[j:])]
 
+def test_pieces(spark):
+    model = pieces.Pieces(pieces.model_bytes())
+    for text in ("Hello, world.", "  two  spaces ", "é\n日本 ▁ \t😀", "", "x" * 3000, "\ud800 lone"):
+        assert model.decode(model.encode([text], 3)[0][0]) == text.encode("utf-8", "replace")
     for word in (" there", " onand", "thing", " a b"):
-        best = sorted({p for p in paths(word.replace(" ", pieces.SPACE))}, key=lambda p: -p[0])[:4]
+        best = sorted(set(all_paths(model, word.replace(" ", pieces.SPACE))), key=lambda p: -p[0])[:4]
         assert [s for s, _ in model.nbest(word, 4)] == pytest.approx([s for s, _ in best])
+        assert model.cost(word)[1:] == pytest.approx((best[0][0], best[0][0] - best[1][0]))
+    words = [" there", " 日本x", "é", " ", "\u0378 a", "   x"]
+    model.codes(["".join(words)])
+    for word in {c for c in model.number if len(c) <= pieces.LONGEST}:
+        k = model.number[word]
+        assert (model.gather(np.array([k]))[0].tolist(), model.best[k], model.loss[k]) == model.cost(word)
     encoded = pieces.encode(table(spark, ODD))
     assert all(r.round_trip for r in encoded.collect())
     assert sorted((r.text or "") for r in pieces.decode(encoded).collect()) == sorted((t or "") for _, t in ODD)
+    assert pieces.encode(table(spark, []).limit(0)).count() == 0
+
+
+def test_pieces_best_of_texts():
+    """The n best of whole texts against all segmentations, whatever was encoded before."""
+    model = pieces.Pieces(pieces.model_bytes())
+    for text in ("on and, it", "the thing", "an on"):
+        model.encode([text], 1)
+        want = sorted(all_paths(model, (" " + text).replace(" ", pieces.SPACE)), key=lambda p: -p[0])[:5]
+        (ids, scores, changes), = model.encode([text], 5)
+        assert scores == pytest.approx([s for s, _ in want])
+        for change, (_, path) in zip(changes, want):
+            own = ids.tolist()
+            for at, n, new in reversed(change):
+                own[at : at + n] = new
+            assert tuple(own) == path or len({round(s, 9) for s in scores}) < 5
 
 
 def test_langid(spark):
