@@ -9,16 +9,23 @@ a modulus each: letters 26, digits 10, octets 256, days of two centuries 17 x 42
 the array by a key stream drawn from SHA-256 over key, kind, round and the other half, each symbol inside its modulus,
 which is a permutation of all values of that shape. The pseudonym has the same format, and equal values give equal
 pseudonyms in every document. Mail domains stay, as do a telephone's country code and every value that is not valid.
+Telephone numbers are valid by length and grouping (3-3-4 digits, or 8 to 15 after a +): plans differ by country.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import os
+import re
+import secrets
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import rows_of
 
-KEY = "quillspark-pseudonyms"
+#: Even, so that the halves end in their places.
 ROUNDS = 8
 #: Fixed patterns, in Java's syntax. A value must not touch a letter, digit or joining sign on its left.
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
@@ -48,27 +55,16 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def feistel(values: str, moduli: str, kind: str, key: str = KEY) -> str:
-    """SQL of the permuted array: values and moduli are SQL of arrays of int of one length."""
-
-    def moved(part: str, mod: str, other: str) -> str:
-        stream = f"sha2(concat_ws('|', '{key}', '{kind}', cast(r as string), array_join(transform({other}, o -> cast(o as string)), ',')), 256)"
-        return _let(stream, "h", f"zip_with({part}, transform({mod}, (m, i) -> struct(m as m, cast(conv(substr(h, 1 + 4 * (i % 16), 4), 16, 10) as int) as k)), (v, s) -> (v + s.k) % s.m)")
-
-    half = "cast(ceil(size(v) / 2.0D) as int)"
-    ml, mr = f"slice(m, 1, {half})", f"slice(m, {half} + 1, size(m))"
-    step = f"if(r % 2 = 1, named_struct('l', {moved('s.l', ml, 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', mr, 's.l')}))"
-    run = f"aggregate(sequence(1, {ROUNDS}), named_struct('l', slice(v, 1, {half}), 'r', slice(v, {half} + 1, size(v))), (s, r) -> {step}, s -> concat(s.l, s.r))"
-    return _let(f"named_struct('v', {values}, 'm', {moduli})", "q", _let("q.v", "v", _let("q.m", "m", run)))
-
+def feistel(v: str, m: str, kind: str, key: str) -> str:
+    """SQL of the permuted array: names of arrays of int of one length (values and moduli) and of the kind.
 
-def _characters(text: str, kind: str, key: str) -> str:
-    """SQL that permutes the ASCII letters and digits of text; other characters stay."""
-    chars = f"split({text}, '')"
-    values = "transform(c, x -> case when x between '0' and '9' then ascii(x) - 48 when x between 'a' and 'z' then ascii(x) - 97 when x between 'A' and 'Z' then ascii(x) - 65 else 0 end)"
-    moduli = "transform(c, x -> case when x between '0' and '9' then 10 when x between 'a' and 'z' or x between 'A' and 'Z' then 26 else 1 end)"
-    back = f"array_join(zip_with(c, {feistel(values, moduli, kind, key)}, (x, n) -> case when x between '0' and '9' then char(48 + n) when x between 'a' and 'z' then char(97 + n) when x between 'A' and 'Z' then char(65 + n) else x end), '')"
-    return f"if({text} = '', '', {_let(chars, 'c', back)})"
+    The halves change places after each round, so that one expression moves both; after an even number they are back.
+    """
+    half = f"cast(ceil(size({v}) / 2.0D) as int)"
+    stream = f"sha2(concat_ws('|', '{key}', {kind}, cast(r as string), array_join(transform(s.r, o -> cast(o as string)), ',')), 256)"
+    moved = _let(stream, "h", "transform(s.l, (x, i) -> cast((x + cast(conv(substr(h, 1 + 4 * (i % 16), 4), 16, 10) as int)) % s.m[i] as int))")
+    start = f"named_struct('l', slice({v}, 1, {half}), 'r', slice({v}, {half} + 1, size({v})), 'm', slice({m}, 1, {half}), 'n', slice({m}, {half} + 1, size({m})))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> named_struct('l', s.r, 'r', {moved}, 'm', s.n, 'n', s.m), s -> concat(s.l, s.r))"
 
 
 def _luhn(digits: str) -> str:
@@ -80,46 +76,65 @@ def _digits(text: str) -> str:
     return f"transform(filter(split({text}, ''), x -> x between '0' and '9'), x -> cast(x as int))"
 
 
-def _filled(text: str, digits: str) -> str:
-    """SQL that writes digits over those of text, in order."""
-    out = "aggregate(split(t, ''), named_struct('o', cast(array() as array<string>), 'n', 1), (a, x) -> if(x between '0' and '9', named_struct('o', concat(a.o, array(cast(element_at(d, a.n) as string))), 'n', a.n + 1), named_struct('o', concat(a.o, array(x)), 'n', a.n)), a -> array_join(a.o, ''))"
-    return _let(text, "t", _let(digits, "d", out))
-
+def _parsed(x: str) -> str:
+    """SQL of struct(kind, v, m, parts) of a matched value; null where it isn't valid.
 
-def pseudonym(value: str, key: str = KEY) -> str:
-    """SQL of struct(kind, pseudonym) of one matched value; kind is null where the value isn't valid."""
-    octets = f"transform(split({value}, '[.]'), x -> cast(x as int))"
-    area, group, serial = (f"cast(substr({value}, {a}, {n}) as int)" for a, n in ((1, 3), (5, 2), (8, 4)))
+    v and m are the symbols to permute and their moduli; parts is what the value is put together from again.
+    """
+    octets = f"transform(split({x}, '[.]'), o -> cast(o as int))"
+    area = f"cast(substr({x}, 1, 3) as int)"
     # Areas 1-665 and 667-899 are numbered 0-897.
-    ssn = _let(feistel(f"array({area} - if({area} > 666, 2, 1), {group} - 1, {serial} - 1)", "array(898, 99, 9999)", "ssn", key), "a", "concat(lpad(cast(a[0] + if(a[0] >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(a[1] + 1 as string), 2, '0'), '-', lpad(cast(a[2] + 1 as string), 4, '0'))")
-    parts = f"split({value}, '[-/.]')"
-    # Year first, else day first; month first where only that is a date. Those stay among the days over 12, so that no two dates get one pseudonym.
+    ssn = f"if({area} between 1 and 899 and {area} <> 666, array({area} - if({area} > 666, 2, 1), cast(substr({x}, 5, 2) as int) - 1, cast(substr({x}, 8, 4) as int) - 1), null)"
+    # Year first, else day first; month first where only that is a date.
     iso = "case when length(p[0]) = 4 then concat_ws('-', p) when int(p[1]) > 12 then concat_ws('-', p[2], lpad(p[0], 2, '0'), lpad(p[1], 2, '0')) else concat_ws('-', p[2], lpad(p[1], 2, '0'), lpad(p[0], 2, '0')) end"
-    day = _let(parts, "p", f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')")
-    turn = _let(feistel(f"array(cast(floor(w.n / {YEARS[1]}) as int), w.n % {YEARS[1]})", f"array{YEARS}", "date", key), "a", f"a[0] * {YEARS[1]} + a[1]")
-    again = f"length(p[0]) < 3 and int(p[1]) > 12 and day(date_add(date'{FIRST_DAY}', x)) < 13"
-    walked = _let(turn, "x", f"named_struct('n', x, 'at', if({again}, 0, k))")
-    walk = f"aggregate(sequence(1, {WALK}), named_struct('n', n, 'at', 0), (w, k) -> if(w.at > 0, w, {walked}), w -> date_add(date'{FIRST_DAY}', w.n))"
-    form = "date_format(new, if(length(p[0]) = 4, 'yyyy-MM-dd', if(int(p[1]) > 12, 'MM-dd-yyyy', 'dd-MM-yyyy')))"
-    form = f"replace(if(length(p[0]) = 1 or length(p[1]) = 1, regexp_replace({form}, '(^|-)0', '$1'), {form}), '-', regexp_extract({value}, '[-/.]', 0))"
-    date = _let(parts, "p", _let(day, "n", _let(walk, "new", form)))
-    payload = feistel("slice(d, 1, size(d) - 1)", "transform(slice(d, 1, size(d) - 1), x -> 10)", "card", key)
-    card = _let(_digits(value), "d", _let(payload, "p", _filled(value, f"concat(p, array((10 - {_luhn('concat(p, array(0))')} % 10) % 10))")))
+    day = _let(f"split({x}, '[-/.]')", "p", f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')")
+    days = _let(day, "n", f"if(n between 0 and {DAYS - 1}, array(cast(floor(n / {YEARS[1]}) as int), cast(n % {YEARS[1]} as int)), null)")
+    digits = _digits(x)
+    card = _let(digits, "d", f"if({_luhn('d')} % 10 = 0, slice(d, 1, size(d) - 1), null)")
     # All but the country code.
-    head = f"regexp_extract({value}, '^([+][0-9]{{1,3}}[ .-]?)?', 0)"
-    phone = _let(head, "hd", f"concat(hd, {_let(f'substr({value}, length(hd) + 1)', 'z', _filled('z', feistel(_digits('z'), f'transform({_digits("z")}, x -> 10)', 'phone', key)))})")
-    local, domain = f"substring_index({value}, '@', 1)", f"substr({value}, instr({value}, '@'))"
+    head = f"regexp_extract({x}, '^([+][0-9]{{1,3}}[ .-]?)?', 0)"
+    number = f"substr({x}, length({head}) + 1)"
+    local = f"split(substring_index({x}, '@', 1), '')"
+    code = "transform(c, x -> case when x between '0' and '9' then ascii(x) - 48 when x between 'a' and 'z' then ascii(x) - 97 when x between 'A' and 'Z' then ascii(x) - 65 else 0 end)"
+    wide = "transform(c, x -> case when x between '0' and '9' then 10 when x between 'a' and 'z' or x between 'A' and 'Z' then 26 else 1 end)"
 
-    def row(kind: str, new: str) -> str:
-        return f"named_struct('kind', '{kind}', 'new', {new})"
+    def row(kind: str, v: str, m: str, parts: str) -> str:
+        return _let(v, "v", f"if(v is null, null, named_struct('kind', '{kind}', 'v', v, 'm', {m}, 'parts', {parts}))")
 
+    tens = "transform(v, o -> 10)"
     return f"""case
-        when {value} like '%@%' then {row("email", f"concat({_characters(local, 'email', key)}, {domain})")}
-        when {value} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then if(array_max({octets}) < 256, {row("ip", f"array_join({feistel(octets, 'array(256, 256, 256, 256)', 'ip', key)}, '.')")}, null)
-        when {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {row("ssn", ssn)}, null)
-        when {value} rlike '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})$' then if({day} between 0 and {DAYS - 1}, {row("date", date)}, null)
-        when {value} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then if({_luhn(_digits(value))} % 10 = 0, {row("card", card)}, null)
-        else {row("phone", phone)} end"""
+        when {x} like '%@%' then {_let(local, "c", row("email", code, wide, f"concat(c, array(substr({x}, instr({x}, '@'))))"))}
+        when {x} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then {row("ip", f"if(array_max({octets}) < 256, {octets}, null)", "array(256, 256, 256, 256)", "cast(array() as array<string>)")}
+        when {x} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {row("ssn", f"if(array_min({ssn}) < 0, null, {ssn})", "array(898, 99, 9999)", "cast(array() as array<string>)")}
+        when {x} rlike '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})$' then {row("date", days, f"array{YEARS}", f"concat(split({x}, '[-/.]'), array(regexp_extract({x}, '[-/.]', 0)))")}
+        when {x} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then {row("card", card, tens, f"split({x}, '')")}
+        else {row("phone", _digits(number), tens, f"concat(array({head}), split({number}, ''))")} end"""
+
+
+def _written(v: str, kind: str, parts: str) -> str:
+    """SQL of the value that permuted symbols spell, in the format of the one they come from."""
+    new = f"date_add(date'{FIRST_DAY}', {v}[0] * {YEARS[1]} + {v}[1])"
+    form = f"date_format({new}, case when length({parts}[0]) = 4 then 'yyyy-MM-dd' when int({parts}[1]) > 12 then 'MM-dd-yyyy' else 'dd-MM-yyyy' end)"
+    form = f"replace(if(length({parts}[0]) = 1 or length({parts}[1]) = 1, regexp_replace({form}, '(^|-)0', '$1'), {form}), '-', {parts}[3])"
+    email = f"concat(array_join(transform(slice({parts}, 1, size({v})), (x, i) -> case when x between '0' and '9' then char(48 + {v}[i]) when x between 'a' and 'z' then char(97 + {v}[i]) when x between 'A' and 'Z' then char(65 + {v}[i]) else x end), ''), element_at({parts}, -1))"
+    check = f"concat({v}, array((10 - {_luhn(f'concat({v}, array(0))')} % 10) % 10))"
+    # Digits over those of the format, in order.
+    filled = _let(f"if({kind} = 'card', {check}, {v})", "d", f"aggregate({parts}, named_struct('o', cast(array() as array<string>), 'n', 0), (a, x) -> if(x between '0' and '9' and length(x) = 1, named_struct('o', concat(a.o, array(cast(d[a.n] as string))), 'n', a.n + 1), named_struct('o', concat(a.o, array(x)), 'n', a.n)), a -> array_join(a.o, ''))")
+    return f"""case {kind} when 'email' then {email} when 'ip' then array_join({v}, '.')
+        when 'ssn' then concat(lpad(cast({v}[0] + if({v}[0] >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast({v}[1] + 1 as string), 2, '0'), '-', lpad(cast({v}[2] + 1 as string), 4, '0'))
+        when 'date' then {form} else {filled} end"""
+
+
+def pseudonym(value: str, key: str) -> str:
+    """SQL of struct(kind, new) of a matched value; both are null where it isn't valid.
+
+    A date written month first is permuted again until its day is over 12 as well, so that no two dates get one pseudonym.
+    """
+    again = f"p.kind = 'date' and length(p.parts[0]) < 3 and int(p.parts[1]) > 12 and day(date_add(date'{FIRST_DAY}', v[0] * {YEARS[1]} + v[1])) < 13"
+    turn = _let(feistel("w.v", "p.m", "p.kind", key), "v", f"named_struct('v', v, 'more', {again})")
+    walk = f"aggregate(sequence(1, if(p.kind = 'date', {WALK}, 1)), named_struct('v', p.v, 'more', true), (w, k) -> if(w.more, {turn}, w), w -> w.v)"
+    new = _let(walk, "v", _written("v", "p.kind", "p.parts"))
+    return _let(value, "text_", _let(_parsed("text_"), "p", f"named_struct('kind', p.kind, 'new', if(p is null, null, {new}))"))
 
 
 def _marked(chain: str) -> str:
@@ -131,12 +146,33 @@ def _marked(chain: str) -> str:
     return _let(f"split({chain}, ' ')", "g", f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'out', cast(array() as array<string>)), (s, i) -> if(i < s.next, s, {step}), s -> array_join(s.out, ' '))")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+@lru_cache(1)
+def _own_key() -> str:
+    return secrets.token_hex(16)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's spark.quillspark.pii.key or the file named in QUILLSPARK_PII_KEY_FILE holds.
+
+    Without either a random one of this application, so that nobody can turn pseudonyms back: values then stay linked
+    within the application, not between runs. The key is part of the plan, so keep event logs as safe as the key.
+    """
+    named, path = spark.conf.get("spark.quillspark.pii.key", ""), os.environ.get("QUILLSPARK_PII_KEY_FILE")
+    if not named and path:
+        with open(path) as f:
+            named = f.read().strip()
+    return hashlib.sha256(named.encode()).hexdigest() if named else _own_key()
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs with text rewritten, and entities: array of struct(kind, start, end) in the text as it was.
 
-    Offsets are code points, the end is exclusive. A null text stays null with no entities; an empty one likewise.
-    Columns named entities or beginning with _pii are replaced. Repeated rows stay.
+    key: letters, digits, - and _ only. Offsets are code points, the end is exclusive. A null text stays null with no
+    entities; an empty one likewise; long texts are searched whole. Columns named entities or beginning with _pii are
+    replaced. Repeated rows stay; an empty table gives an empty result.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", key):
+        raise ValueError("the key may hold letters, digits, - and _ only")
     if "text" not in docs.columns:
         docs = docs.withColumn("text", F.lit(None).cast("string"))
     odd = F.col("text").contains(MARK)
@@ -164,6 +200,6 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string"))
+    out = pseudonymise(rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string"), key_of(spark))
     spans: Column = F.expr("array_join(transform(entities, e -> concat_ws(':', e.kind, e.start, e.end)), ',')")
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"))

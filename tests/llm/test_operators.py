@@ -76,7 +76,10 @@ def test_secrets_sql(spark, tmp_path):
     assert sorted(map(str, (tuple(r.values()) for r in want))) == sorted(map(str, (tuple(r) for r in got.collect())))
 
 
-def feistel(values, moduli, kind, key=pii.KEY):
+KEY = "key-of-tests"
+
+
+def feistel(values, moduli, kind, key=KEY):
     half = -(-len(values) // 2)
     left, right, ml, mr = list(values[:half]), list(values[half:]), moduli[:half], moduli[half:]
     for r in range(1, pii.ROUNDS + 1):
@@ -88,7 +91,7 @@ def feistel(values, moduli, kind, key=pii.KEY):
 
 def test_pii(spark):
     text = "x bob.s@mail.example.com 53.224.140.246 300.1.1.1 4539148803436467 4539148803436468 1999-12-31 123-45-6789 +1 (017) 555-7713 and bob.s@mail.example.com"
-    rows = pii.pseudonymise(table(spark, [(1, text), *ODD])).collect()
+    rows = pii.pseudonymise(table(spark, [(1, text), *ODD]), KEY).collect()
     out = rows[0].text.split(" ")
     assert out[1] == out[-1] != "bob.s@mail.example.com" and re.fullmatch(r"[a-z]{3}\.[a-z]@mail\.example\.com", out[1])
     assert out[2] == ".".join(map(str, feistel([53, 224, 140, 246], [256] * 4, "ip")))
@@ -103,13 +106,13 @@ def test_pii(spark):
 def test_pii_neighbours(spark):
     texts = ["555-713-0042 100 Main St", "1234 123-45-6789", "10023 2024-01-05", "4539 1488 0343 6467 192.168.1.1 x", "12 4539 1488 0343 6467 2024-01-05", "+1 555 713 0042 100 200 3", "4539148803436467@example.com", "\ufdd0 4539148803436467 \ufdd0", "25/12/2099 12/25/1999 3/4/1999 2001/02/03 31.12.2000 30.02.2000", "+44 20 7946 0958, +33123456789"]
     kinds = [["phone"], ["ssn"], ["date"], ["card", "ip"], ["card", "date"], ["phone"], ["email"], ["card"], ["date"] * 5, ["phone"] * 2]
-    rows = {r.doc_id: r for r in pii.pseudonymise(table(spark, list(enumerate(texts)))).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(table(spark, list(enumerate(texts))), KEY).collect()}
     for i, text in enumerate(texts):
         assert [e.kind for e in rows[i].entities] == kinds[i], text
         assert all(text[e.start : e.end] not in rows[i].text for e in rows[i].entities), text
     assert rows[8].text.endswith(" 30.02.2000") and rows[3].entities[0].end == 19
     values = spark.sql(f"select date_format(date_add(date'{pii.FIRST_DAY}', cast(id as int)), 'MM/dd/yyyy') v from range({pii.DAYS}) where day(date_add(date'{pii.FIRST_DAY}', cast(id as int))) > 12")
-    new = [r.new for r in values.selectExpr(f"{pii.pseudonym('v')}.new as new").collect()]
+    new = [r.new for r in values.selectExpr(f"{pii.pseudonym('v', KEY)}.new as new").collect()]
     assert len(set(new)) == len(new) > 40000 and all(n[3:5] > "12" for n in new)
 
 
