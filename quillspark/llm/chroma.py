@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, staged
+from .shared import mapped, rows_of, staged
 
 RATE, FRAME, HOP = 4000, 512, 128
 LOWEST = 110.0
@@ -26,6 +26,8 @@ WIDEST = max(f[3] for f in FILTERS)
 CUTS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 ERRORS = 0.15
+#: Places of a key from which it is dealt in parts.
+HOT = 4096
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -78,23 +80,31 @@ def fingerprints(media: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("media_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *got])))], names=["media_id", "prints"])
 
-    return rows_of(media, media_id="long", audio="binary").mapInArrow(run, "media_id bigint, prints array<int>")
+    return mapped(rows_of(media, media_id="long", audio="binary"), run, "media_id bigint, prints array<int>")
 
 
-def align(prints: DataFrame, query: str = "media_id % 20 = 0", errors: float = ERRORS) -> DataFrame:
+def align(prints: DataFrame, query: str = "media_id % 20 = 0", errors: float = ERRORS, hot: int = HOT) -> DataFrame:
     """media_id, class_id (least media_id of equal fingerprints), class_size, is_query, n_links, best_class, best_offset, best_errors.
 
     Queries are the rows that ``query`` names, against all rows. Links join classes of different fingerprints whose best
     alignment differs in at most ``errors`` of the bits; the results of a class hold for each query in it, and copies
-    are not expanded into pairs. Rows without fingerprint have no class and no links; null ids are never queries.
+    are not expanded into pairs. Ties between offsets go to the least shift, then the earlier; between links to the least
+    class. Rows without fingerprint have no class and no links; those of one integer, or of one that never changes, have
+    a class and no links; null ids are never queries. Repeated rows stay, further columns go; an empty table gives an
+    empty result.
     """
     named = prints.withColumns({"digest": F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256), "is_query": F.coalesce(F.expr(query), F.lit(False))})
     some = named.where(F.size("prints") > 0)
     classes = staged(some.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.count("*").alias("class_size"), F.max("is_query").alias("asks"), F.first("prints").alias("prints")), "chroma")
-    places = classes.select("digest", "asks", F.posexplode(F.expr("transform(sequence(1, size(prints) - 1), i -> struct(prints[i - 1] as a, prints[i] as b))")).alias("at", "key")).where("key.a is not null")
-    q = places.where("asks").select(F.col("digest").alias("q"), F.col("at").alias("q_at"), "key")
-    r = places.select(F.col("digest").alias("r"), F.col("at").alias("r_at"), "key")
-    votes = q.join(r, "key").where("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).count()
+    pairs = F.expr("if(size(prints) > 1, transform(sequence(1, size(prints) - 1), i -> struct(prints[i - 1] as a, prints[i] as b)), null)")
+    # Where nothing moves (silence, a held note) two equal integers follow each other at every offset: no vote.
+    places = classes.select("digest", "asks", F.posexplode(pairs).alias("at", "key")).where("key.a <> key.b")
+    # A key that many places share is dealt in parts by recording; a query's places go to each part.
+    crowded = places.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    places = places.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    q = places.where("asks").select(F.col("digest").alias("q"), F.col("at").alias("q_at"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    r = places.select(F.col("digest").alias("r"), F.col("at").alias("r_at"), "key", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"))
+    votes = q.join(r, ["key", "part"]).where("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).count()
     first = votes.groupBy("q", "r").agg(F.max(F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("m")).select("q", "r", (-F.col("m.col3")).alias("offset"))
     left, right = (classes.select(F.col("digest").alias(k), F.col("class_id").alias(f"{k}_class"), F.col("prints").alias(f"{k}_prints")) for k in "qr")
     both = first.join(left, "q").join(right, "r")
