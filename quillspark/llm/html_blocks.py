@@ -9,6 +9,7 @@ that a generator writes with known labels; no table is read for it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from zlib import crc32
@@ -18,28 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of
+from .shared import mapped, rows_of
 
 #: Fixed sets of tag names.
 BLOCK_TAGS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video audio".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style template noscript svg math object".split())
+SILENT_END = re.compile(rf"</({'|'.join(sorted(SILENT_TAGS))})[\s/>]", re.I)
 CLOSES_P = BLOCK_TAGS - frozenset("body head html option optgroup button label".split())
 PATH_DIMS, WORD_DIMS, EXTRA = 192, 32, 4
 HIDDEN = 20
+#: Blocks of a page from which its inputs are made in slices of that size.
+SLICE = 4096
 PART = re.compile(r"[a-z]+")
 
 
 class Leaves(HTMLParser):
     """Leaf blocks of a page: (path words, text, share of linked characters)."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        #: Ends of silent elements still to come; an element without an end isn't silent, or it would take the rest of the page.
+        self.ends = Counter(m.group(1).lower() for m in SILENT_END.finditer(html))
+        self.open: Counter[str] = Counter()
         self.stack: list[tuple[str, list[str]]] = []
         self.text: list[str] = []
-        self.linked = self.links = self.silent = 0
+        self.linked = self.links = 0
         self.blocks: list[tuple[list[str], str, float]] = []
 
+    @property
+    def silent(self) -> bool:
+        return any(self.open.values())
+
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
@@ -49,7 +60,8 @@ class Leaves(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT_TAGS:
-            self.silent += 1
+            if self.ends[tag] > self.open[tag]:
+                self.open[tag] += 1
             return
         if self.silent:
             return
@@ -82,7 +94,9 @@ class Leaves(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in SILENT_TAGS:
-            self.silent = max(0, self.silent - 1)
+            self.ends[tag] -= 1
+            if self.open[tag]:
+                self.open[tag] -= 1
         elif not self.silent:
             if tag in BLOCK_TAGS:
                 self.flush()
@@ -99,16 +113,17 @@ class Leaves(HTMLParser):
 
 
 def leaves(html: str) -> list[tuple[list[str], str, float]]:
-    parser = Leaves()
+    parser = Leaves(html)
     parser.feed(html)
     HTMLParser.close(parser)
     parser.flush()
     return parser.blocks
 
 
-def vectors(blocks: list[tuple[list[str], str, float]]) -> np.ndarray:
-    """A row for each block: hashed path, hashed words, length, links, and its place on the page."""
+def vectors(blocks: list[tuple[list[str], str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block: hashed path, hashed words, length, links, and its place among the page's total."""
     x = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + EXTRA), np.float32)
+    total = total or len(blocks)
     for i, (path, text, links) in enumerate(blocks):
         for w in path:
             x[i, crc32(w.encode()) % PATH_DIMS] = 1
@@ -116,7 +131,7 @@ def vectors(blocks: list[tuple[list[str], str, float]]) -> np.ndarray:
         for w in words:
             x[i, PATH_DIMS + crc32(w.lower().encode("utf-8", "replace")) % WORD_DIMS] += 1
         x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= len(words)
-        x[i, -EXTRA:] = (min(np.log1p(len(words)) / 5, 1.5), links, i / len(blocks), text[-1:] in ".!?")
+        x[i, -EXTRA:] = (min(np.log1p(len(words)) / 5, 1.5), links, (first + i) / total, text[-1:] in ".!?")
     return x
 
 
@@ -138,10 +153,13 @@ class BiLSTM:
 
     def states(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """x: (blocks, pages, inputs); mask: (blocks, pages, 1)."""
-        w, u, c0 = (self.p[k + side] for k in "wuc")
-        h = c = np.zeros((x.shape[1], HIDDEN))
-        out, pre = np.zeros((*x.shape[:2], HIDDEN)), x @ w + c0
-        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+        return self.run(x @ self.p["w" + side] + self.p["c" + side], mask, side, keep)
+
+    def run(self, pre: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
+        u = self.p["u" + side]
+        h = c = np.zeros((pre.shape[1], HIDDEN))
+        out = np.zeros((*pre.shape[:2], HIDDEN))
+        for t in range(len(pre)) if side == "f" else range(len(pre) - 1, -1, -1):
             z = pre[t] + h @ u
             i, f, o, g = _sigmoid(z[:, :HIDDEN]), _sigmoid(z[:, HIDDEN : 2 * HIDDEN]), _sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
             c1 = f * c + i * g
@@ -156,6 +174,20 @@ class BiLSTM:
         h = np.concatenate([self.states(x, mask, "f"), self.states(x, mask, "b")], axis=2)
         return _sigmoid(h @ self.p["o"] + x @ self.p["d"] + self.p["k"][0])
 
+    def long_scores(self, blocks: list) -> np.ndarray:
+        """Scores of one page of very many blocks, whose inputs are made in slices: nothing as wide as they are is held for all."""
+        rows = {"f": [], "b": [], "d": []}
+        for lo in range(0, len(blocks), SLICE):
+            x = vectors(blocks[lo : lo + SLICE], lo, len(blocks)).astype(float)
+            rows["d"].append(x @ self.p["d"])
+            for side in "fb":
+                rows[side].append((x @ self.p["w" + side] + self.p["c" + side]).astype(np.float32))
+        mask = np.ones((len(blocks), 1, 1))
+        out = np.concatenate(rows["d"]) + self.p["k"][0]
+        for n, side in enumerate("fb"):
+            out += self.run(np.concatenate(rows.pop(side))[:, None], mask, side)[:, 0] @ self.p["o"][n * HIDDEN : (n + 1) * HIDDEN]
+        return _sigmoid(out)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         steps = {"f": [], "b": []}
         h = np.concatenate([self.states(x, mask, s, steps[s]) for s in "fb"], axis=2)
@@ -274,6 +306,10 @@ def labelled(model: BiLSTM, pages: list[list]) -> list[np.ndarray]:
     order = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i]))
     lo = 0
     while lo < len(order):
+        if len(pages[order[lo]]) > SLICE:  # the rest is as long
+            for i in order[lo:]:
+                out[i] = model.long_scores(pages[i]) > 0.5
+            break
         longest = len(pages[order[min(len(order), lo + 64) - 1]])
         own = order[lo : lo + max(1, min(64, 200_000 // longest))]
         x, mask, _ = padded([vectors(pages[i]) for i in own])
@@ -287,7 +323,9 @@ def labelled(model: BiLSTM, pages: list[list]) -> list[np.ndarray]:
 def extract(pages: DataFrame, model: BiLSTM) -> DataFrame:
     """page_id, url, text (main blocks joined by line ends) and blocks: array of struct(path, text, main).
 
-    A null or empty html gives an empty text and no blocks. Broken markup is read as far as it goes. Repeated rows stay.
+    A null or empty html gives an empty text and no blocks. Broken markup is read as far as it goes: a silent element
+    (but a script or style) without an end is read as if its tag weren't there. Pages of any length are labelled whole.
+    Repeated rows stay, further columns go; an empty table gives an empty result.
     """
     shipped = pages.sparkSession.sparkContext.broadcast(model)
     kinds = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("main", pa.bool_())]))
@@ -303,7 +341,7 @@ def extract(pages: DataFrame, model: BiLSTM) -> DataFrame:
                 blocks = [[{"path": " ".join(b[0]), "text": b[1], "main": bool(ok)} for b, ok in zip(one, own)] for one, own in zip(read, main)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(blocks, kinds)], names=["page_id", "url", "text", "blocks"])
 
-    return rows_of(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id bigint, url string, text string, blocks array<struct<path:string,text:string,main:boolean>>")
+    return mapped(rows_of(pages, page_id="long", url="string", html="string"), run, "page_id bigint, url string, text string, blocks array<struct<path:string,text:string,main:boolean>>")
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
