@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import rows_of, staged
+from .shared import rows_of, staged, unstage
 
 #: Rules: (verdict, host, path). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BUCKETS, GRAM, STEPS, RATE, DECAY = 2048, 3, 60, 4.0, 0.0005
-#: The labelled table: 1 is to be blocked.
+#: The labelled table, of URLs of our own under names kept for examples: 1 is to be blocked.
 LABELLED = (
-    *((u, 1) for u in ("spam-farm.example.com/en/81", "www.spam-farm.example.com/en/8695.html", "m.spam-farm.example.org/de/12", "cheap-pills.shop.example/buy/now", "free-casino-bonus.example/win", "online-casino.example/slots/play", "best-poker-bonus.example/join", "adult-cams.example/live", "xxx-videos.example/watch/1", "hot-porn.example/free", "win-free-prize.example/claim", "click-here-free.example/offer", "replica-watches.example/sale", "payday-loans.example/apply", "viagra-cheap.example/order", "warez-crack.example/download", "torrent-cracks.example/get/2", "link-farm.example/links/77", "seo-spam.example/backlinks", "betting-tips.example/odds", "spamblog.example/post/3", "free-gift-cards.example/win", "phishing-login.example/verify", "malware-downloads.example/setup.exe", "doorway-page.example/kw/9")),
-    *((u, 0) for u in ("www.thering.example.org/en/8843/", "blog.tionsh.example.com/en/2774/", "m.therou.example.org/en/5718", "thered.example.org/en/1025", "ththble.example.com/en/4284/", "m.ththed.example.org/de/6750", "therat.example.com/fr/5280/", "www.theres.example.org/en/8643", "news.example.com/en/world/12", "docs.example.org/guide/start", "wiki.example.org/en/History", "university.example.org/research/paper", "library.example.com/books/42", "museum.example.org/art/7", "blog.example.com/2020/05/notes", "recipes.example.com/soup", "weather.example.com/today", "health.example.org/topics/sleep", "science.example.org/physics/1", "forum.example.com/thread/88", "city.example.org/council/minutes", "school.example.org/lessons/3", "journal.example.com/article/15", "code.example.org/project/readme", "travel.example.com/fr/paris")),
+    *((u, 1) for u in ("spam-farm.invalid/a/1", "www.spam-farm.invalid/b/22.html", "m.spam-farms.invalid/c/33", "cheap-pills.shop.example/buy/now", "free-casino-bonus.example/win", "online-casino.example/slots/play", "best-poker-bonus.example/join", "adult-cams.example/live", "xxx-videos.example/watch/1", "hot-porn.example/free", "win-free-prize.example/claim", "click-here-free.example/offer", "replica-watches.example/sale", "payday-loans.example/apply", "viagra-cheap.example/order", "warez-crack.example/download", "torrent-cracks.example/get/2", "link-farm.example/links/77", "seo-spam.example/backlinks", "betting-tips.example/odds", "spamblog.example/post/3", "free-gift-cards.example/win", "phishing-login.example/verify", "malware-downloads.example/setup.exe", "doorway-page.example/kw/9")),
+    *((u, 0) for u in ("www.riverside.invalid/en/story/", "blog.harbour.invalid/notes/27/", "m.meadow.invalid/en/57", "orchard.invalid/de/seite/", "lighthouse.invalid/fr/page/42/", "m.bakery.invalid/es/67/", "thinker.invalid/essays/52/", "www.weaver.invalid/en/86", "news.town.example/en/world/12", "docs.tool.example/guide/start", "wiki.town.example/en/History", "university.example/research/paper", "library.example/books/42", "museum.example/art/7", "blog.cook.example/2020/05/notes", "recipes.example/soup", "weather.example/today", "health.example/topics/sleep", "science.example/physics/1", "forum.garden.example/thread/88", "city.example/council/minutes", "school.example/lessons/3", "journal.example/article/15", "code.example/project/readme", "travel.example/fr/paris")),
 )
 
 
@@ -63,8 +63,9 @@ def fit(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, steps: i
     n = len(labelled)
     error = "transform(at, r -> (1 / (1 + exp(-(w[size(used)] + aggregate(r.x, 0D, (a, k) -> a + w[k]) / sqrt(size(r.x))))) - r.y))"
     down = f"concat(transform(by, (js, k) -> w[k] * (1 - {rate * decay}) - {rate / n} * aggregate(js, 0D, (a, j) -> a + e[j] / sqrt(size(at[j].x)))), array(w[size(used)] - {rate / n} * aggregate(e, 0D, (a, b) -> a + b)))"
-    step = staged(data.select("used", "at", "by"), "urls")
+    step = staged(data.select("used", "at", "by"), "urls")  # one row of fixed size
     weights = step.select("used", F.expr(f"aggregate(sequence(1, {steps}), array_repeat(0D, size(used) + 1), (w, i) -> element_at(transform(array({error}), e -> {down}), 1))").alias("w")).first()
+    unstage(step)
     out = [0.0] * (buckets + 1)
     for b, w in zip(weights.used, weights.w):
         out[b] = w
@@ -75,7 +76,9 @@ def fit(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, steps: i
 def judge(pages: DataFrame, weights: list[float], rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (probability of being blocked) of each row.
 
-    A null url or one without :// has an empty host and path, fits no rule and goes to the model. Repeated rows stay.
+    A null url or one without :// has an empty host and path, fits no rule and goes to the model; of rules that fit, the
+    longest wins, and a score of just one half allows. Long urls are read whole. Repeated rows stay, further columns go;
+    an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     parts = rows_of(pages, page_id="long", url="string").select("page_id", host.alias("host"), path.alias("path"))
