@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, staged
+from .shared import mapped, rows_of, staged
 
 FEATURES = 1 << 14
 PASSAGE = 64
@@ -51,7 +51,7 @@ def hashed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashed_words(t or b"").astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "words"])
 
-    return rows_of(docs, doc_id="long", text="binary").mapInArrow(run, "doc_id bigint, words binary")
+    return mapped(rows_of(docs, doc_id="long", text="binary"), run, "doc_id bigint, words binary")
 
 
 def _passages(batch: pa.RecordBatch, size: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -294,21 +294,31 @@ NAMES = ["doc_id", "item_id", "overlap", "cosine", "kind", "start_word", "end_wo
 OUTPUT = "doc_id bigint, item_id bigint, overlap double, cosine double, kind string, start_word bigint, end_word bigint"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = 100_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = 20_000) -> DataFrame:
     """One row for each document and benchmark item found in it: overlap, cosine, kind and the words searched.
 
-    The benchmark is the one table that goes to every task, so its size is checked against ``most_items``. Null texts
-    hold nothing and items without words are found nowhere; a document without doc_id gives rows with a null one;
-    repeated rows give repeated results.
+    The benchmark goes to every task, in parts of about ``part_items`` items drawn by a hash, each searched in a pass of
+    its own over all documents. Null texts hold nothing and items without words are found nowhere; a document without
+    doc_id gives rows with a null one; repeated rows give repeated results; of windows alike the first counts. Long
+    texts are searched whole; further columns go; an empty table gives an empty result.
     """
-    rows = [(r.item_id, r.text) for r in rows_of(benchmark, item_id="long", text="string").where(F.col("text").isNotNull()).limit(most_items + 1).collect()]
-    if len(rows) > most_items:
-        raise ValueError(f"the benchmark has more than {most_items} items; search it in parts")
+    spark = docs.sparkSession
+    items = rows_of(benchmark, item_id="long", text="string").where(F.col("text").isNotNull())
+    parts = -(-items.count() // part_items)
     words = staged(hashed(docs), "words")
     space = latent_space(words)
-    if space is None or not rows:
-        return docs.sparkSession.createDataFrame([], OUTPUT)
-    shipped = docs.sparkSession.sparkContext.broadcast(Items(rows, *space))
+    if space is None or not parts:
+        return spark.createDataFrame([], OUTPUT)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    found = None
+    for k in range(parts):
+        own = _search(words, Items([(r.item_id, r.text) for r in items.where(part == k).collect()], *space))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _search(words: DataFrame, items: Items) -> DataFrame:
+    shipped = words.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shipped.value
@@ -319,7 +329,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = 100_00
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
-    return words.mapInArrow(run, OUTPUT)
+    return mapped(words, run, OUTPUT)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
