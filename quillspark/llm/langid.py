@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of, struct
+from .shared import mapped, rows_of, struct
 
 UNDETERMINED = "und"
 CHUNK = 256
+#: Labels up to which their counts are broadcast.
+BROADCAST_LABELS = 10_000
 
 
 @dataclass
@@ -154,16 +156,21 @@ def code_lengths(model: ByteModel, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 65536) -> DataFrame:
+def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 65536, most: int = 20_000) -> DataFrame:
     """A bounded sample of labelled rows, about ``per_language`` of each label, drawn by a hash of doc_id.
 
-    Only documents outside the held-out quarter, of at most ``longest`` characters, are drawn. The bound covers
-    fitting only; every document is scored, whole.
+    Only documents outside the held-out quarter are drawn; of one longer than ``longest`` characters a stretch of that
+    length, from a place that the hash gives. With many labels each has fewer rows, so that all have about ``most``.
+    The bounds cover fitting only; every document is scored, whole.
     """
     rows = rows_of(docs, doc_id="long", text="string", lang="string").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = rows.where(F.length("text") <= longest).groupBy("lang").count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(F.length("text") <= longest).join(F.broadcast(counts), "lang").where(share * F.col("count") < per_language).select("text", "lang")
+    counts = rows.groupBy("lang").count()
+    n_labels = counts.count()
+    own = max(1, min(per_language, most // max(n_labels, 1)))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    at = F.pmod(drawn, F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    counted = rows.join(F.broadcast(counts) if n_labels <= BROADCAST_LABELS else counts, "lang")
+    return counted.where(drawn / F.lit(float(1 << 30)) * F.col("count") < own).select(F.when(F.length("text") > longest, F.substr("text", at.cast("int"), F.lit(longest))).otherwise(F.col("text")).alias("text"), "lang")
 
 
 def held_out():
@@ -171,7 +178,7 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = 400, max_order: int = 3, min_count: int = 16) -> ByteModel | None:
-    rows = training_rows(docs, per_language).orderBy("lang", "text").collect()  # bounded by per_language and longest
+    rows = training_rows(docs, per_language).orderBy("lang", "text").collect()  # bounded by per_language, longest and most
     return fit_bytes([r.text for r in rows], [r.lang for r in rows], max_order, min_count) if rows else None
 
 
@@ -183,6 +190,7 @@ def identify(docs: DataFrame, model: ByteModel | None) -> DataFrame:
 
     score is the posterior of the predicted language under equal priors; bits_per_byte its code length over the size.
     Null texts and texts without a letter give ``und``, score 0 and null bits. Ties go to the first language by name.
+    Long texts are scored whole. Repeated rows stay, further columns go; an empty table gives an empty result.
     """
     ready = rows_of(docs, doc_id="long", text="string").select("doc_id", held_out().alias("held_out"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("binary")).alias("text"))
     if model is None:
@@ -201,7 +209,7 @@ def identify(docs: DataFrame, model: ByteModel | None) -> DataFrame:
             some = [t is not None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x if ok else UNDETERMINED for x, ok in zip(names[best], some)], pa.string()), pa.array(np.where(some, score, 0.0)), pa.array([b / len(t) if t else None for b, t in zip(lowest.tolist(), texts)], pa.float64())], names=OUTPUT.names)
 
-    return ready.mapInArrow(run, OUTPUT)
+    return mapped(ready, run, OUTPUT)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
