@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths of staged tables that are still there, oldest first.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -29,6 +33,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    STAGED.append(path)
     return out
 
 
@@ -36,13 +41,24 @@ def unstage(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     path = getattr(df, "staged_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, keep: DataFrame, known: int = 0) -> None:
+    """Deletes the tables staged after the first ``known``, but for the one to keep."""
+    for path in [p for p in STAGED[known:] if p != getattr(keep, "staged_path", None)]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in STAGED:
+        STAGED.remove(path)
 
 
 #: Rows of an Arrow batch. Texts are long: with Spark's 10000 a batch and its copies fill a worker's memory.
-BATCH = 1000
+BATCH = 2000
 
 
 def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:

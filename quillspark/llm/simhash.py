@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of, staged, struct, unstage
+from .shared import mapped, rows_of, staged, struct, unstage
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # (lowest bit, width)
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             got = np.fromiter((fingerprint(t or b"") for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
-    return rows_of(docs, doc_id="long", text="binary").mapInArrow(run, struct(doc_id=LONG, fp=LONG))
+    return mapped(rows_of(docs, doc_id="long", text="binary"), run, struct(doc_id=LONG, fp=LONG))
 
 
 def near_links(distinct: DataFrame, most: int = 4, hot: int = HOT_KEY) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, staged
+from .shared import mapped, rows_of, staged
 
 WORD = re.compile(r"\S+")
 MIN_WORDS = 25
@@ -87,14 +87,14 @@ def runs(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> I
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return rows_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.coalesce(F.hash("text"), F.lit(0)).alias("th"), "doc_id", "text")
+    return rows_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "doc_id", "text")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k, th (what names a document), start, end of every occurrence but the earliest of each repeated run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         names = ["k", "th", "h1", "h2", "start", "end"]
         for batch in batches:
             out: list[tuple] = []
@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    found = _keyed(docs).select("k", "th", "text").mapInArrow(run, "k bigint, th int, h1 bigint, h2 int, start int, end int")
+    found = mapped(_keyed(docs).select("k", "th", "text"), run, "k bigint, th bigint, h1 bigint, h2 int, start int, end int")
     grouped = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "start", "th", "end")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = staged(grouped, "repeated")  # repeated digests alone; the runs themselves are cut again rather than written
     # The commonest digests come by broadcast, so that no digest left to the shuffle holds more than 1/HEAVY of all runs.
@@ -125,7 +125,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without its repeated passages, removed: array of struct(start, end) in the text as it was.
 
     Null texts stay null and empty ones empty. Rows alike in doc_id and text count as one document and all stay;
-    rows without a doc_id rank first. Texts of under MIN_CHARS characters are never touched.
+    rows without a doc_id rank first, by their texts' hashes. Texts of under MIN_CHARS characters are never touched.
+    Long texts are cut whole; further columns go; an empty table gives an empty result.
     """
     docs = _keyed(docs)
     spans = repeated_spans(docs.select("doc_id", "text"), min_words).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -150,7 +151,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 removed.append([{"start": a, "end": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "text", "removed"])
 
-    return docs.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
+    return mapped(docs.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans"), cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
