@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm import decontaminate, langid, pieces, pii, simhash
-from quillspark.llm.shared import documents, staged
+from quillspark.llm.shared import STAGED, documents, mapped, release, staged
 
 #: From so many bits a byte on, a text is in none of the learned languages: raw bytes would be as short.
 RAW_BITS = 8.0
@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 bits = langid.code_lengths(shipped.value, texts).min(axis=1)
                 yield batch.filter(pa.array([b < RAW_BITS * len(t) for b, t in zip(bits.tolist(), texts)], pa.bool_()))
 
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return mapped(docs.where(F.col("text").rlike(r"\p{L}")), run, docs.schema)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms for personal data; n_chars follows the text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.key_of(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
@@ -72,6 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    known = len(STAGED)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.split()[0])
+        release(spark, docs, known)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
