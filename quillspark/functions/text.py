@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,13 +66,32 @@ def among(array: Column, values: Iterable[str]) -> Column:
 
 def counts(array: Column) -> Column:
     """Occurrences of each distinct element, without a shuffle: run lengths of the sorted array."""
-    sorted_ = F.array_sort(array)
+    sorted_ = F.sort_array(array)
     runs = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
     ends = lambda s, b: F.transform(b, lambda x, i: F.coalesce(F.get(b, i + 1), F.size(s) + 1) - x)
     out = F.get(F.transform(F.array(sorted_), lambda s: F.get(F.transform(F.array(runs(s)), lambda b: ends(s, b)), F.lit(0))), F.lit(0))
     return F.when(F.size(array) > 0, out).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts(sizes: Column, block: int = 256) -> Column:
+    """Sums of what stands before each element of an array of sizes. Blocks are added up on their own, so that the work is not quadratic."""
+
+    def within(z: Column) -> Column:
+        def own(s: Column, b: Column) -> Column:
+            part = F.aggregate(F.slice(z, b * block + 1, F.lit(block)), F.struct(s["at"].alias("at"), F.array().cast("array<bigint>").alias("out")), lambda t, x: F.struct((t["at"] + x).alias("at"), F.concat(t["out"], F.array(t["at"])).alias("out")))
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(s["out"], F.array(p["out"])).alias("out")))
+
+        blocks = F.when(F.size(z) > 0, F.sequence(F.lit(0), F.floor((F.size(z) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out")), own, lambda s: F.flatten(s["out"]))
+
+    return let(sizes, within)
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double"))
 

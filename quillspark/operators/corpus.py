@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +19,14 @@ def drop_malformed(df: DataFrame, min_words: int = 30, min_chars: int = 50) -> D
 
 
 def _first_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows that come first by order among equal keys. A partial aggregate, so that a hot key stays small in the shuffle."""
-    first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    """One row of each key: the first by order (nulls last), of equal ones by all columns. A partial aggregate, so that a hot key stays small in the shuffle."""
+    rank = F.struct(F.col(order).isNull(), F.col(order), F.xxhash64(*df.columns))
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), rank).alias("_row")).select("_row.*")
 
 
 def exact_dedupe(df: DataFrame, order: str = "doc_id") -> DataFrame:
-    return _first_of(df.withColumn("text_hash", F.sha2("cleaned", 256)), "text_hash", order)
+    """One row of each cleaned text; a null one counts as empty."""
+    return _first_of(df.withColumn("text_hash", F.sha2(F.coalesce("cleaned", F.lit("")), 256)), "text_hash", order)
 
 
 def near_prefix(cleaned):
@@ -35,8 +38,26 @@ def near_prefix(cleaned):
 def near_dedupe(df: DataFrame, order: str = "doc_id") -> DataFrame:
     """Keeps the first of rows that begin alike; short beginnings are never dropped."""
     keyed = df.withColumn("_prefix", near_prefix(F.col("cleaned")))
-    first = keyed.where("_prefix is not null").groupBy("_prefix").agg(F.min(order).alias("_first"))
-    return keyed.join(first, "_prefix", "left").where(F.col("_prefix").isNull() | (F.col(order) == F.col("_first"))).drop("_prefix", "_first")
+    return _first_of(keyed.where("_prefix is not null"), "_prefix", order).unionByName(keyed.where("_prefix is null")).drop("_prefix")
+
+
+def tallies(df: DataFrame, *columns: str) -> DataFrame:
+    """column, value and rows of each value; a null value is written None."""
+    found = [df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")).agg(F.count("*").alias("rows")).select(F.lit(c).alias("column"), "value", "rows") for c in columns]
+    return reduce(DataFrame.unionByName, found)
+
+
+def split_stats(df: DataFrame, group: str = "source", label: str = "label") -> DataFrame:
+    """split, groups, rows, share of all rows, and rows of label 0 and 1."""
+    own = df.groupBy("split").agg(F.countDistinct(group).alias("groups"), F.count("*").alias("rows"), F.count_if(F.col(label) == 0).alias("human"), F.count_if(F.col(label) == 1).alias("machine"))
+    whole = own.agg(F.sum("rows").alias("_all"))  # one row of three at most
+    return own.crossJoin(F.broadcast(whole)).select("split", "groups", "rows", (F.col("rows") / F.col("_all")).alias("share"), "human", "machine")
+
+
+def integrity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: rows, and how many values of the columns are null, not a number, or infinite. All zero in a sound table."""
+    count = lambda f: reduce(lambda a, b: a + b, [F.count_if(f(F.col(c).cast("double"))) for c in columns])
+    return df.agg(F.count("*").alias("rows"), count(lambda c: c.isNull()).alias("nulls"), count(F.isnan).alias("nans"), count(lambda c: F.abs(c) == float("inf")).alias("infinite"))
 
 
 def audit(df: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,18 +29,33 @@ def standardise(df: DataFrame, columns: list[str], stats: dict | None = None) ->
 
 
 def fit_baseline(df: DataFrame, columns: list[str]) -> dict:
-    """Centre, deviations and inverse covariance of standardised columns: one aggregate; the small matrix is inverted on the driver."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs)).first()
+    """Centre, deviations and inverse covariance of standardised columns. The small matrix is inverted on the driver.
+
+    Each task adds up products of centred values in a matrix of fixed size; an aggregate for each pair would make a plan
+    of a thousand columns.
+    """
+    size = len(columns)
+    row = df.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns)).first()
     mean = np.array([row[f"m_{c}"] or 0.0 for c in columns])
     if row.n < 5:
-        return {"mean": mean, "std": np.ones(len(columns)), "inverse": np.eye(len(columns))}
-    cov = np.zeros((len(columns),) * 2)
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"]
+        return {"mean": mean, "std": np.ones(size), "inverse": np.eye(size)}
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((size, size))
+        for batch in batches:
+            x = np.stack([np.asarray(c.fill_null(np.nan)) for c in batch.columns], axis=1) - mean
+            x = np.nan_to_num(x)
+            own += x.T @ x
+        i, j = np.divmod(np.arange(size * size), size)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(own.ravel())], names=["i", "j", "v"])
+
+    sums = df.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(products, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cov = np.zeros((size, size))
+    for r in sums.collect():  # one row for each pair of columns
+        cov[r.i, r.j] = r.v / row.n
     std = np.sqrt(np.maximum(np.diag(cov), 0))
     std[std < 1e-6] = 1.0
-    return {"mean": mean, "std": std, "inverse": np.linalg.pinv(cov / np.outer(std, std) + 1e-3 * np.eye(len(columns)))}
+    return {"mean": mean, "std": std, "inverse": np.linalg.pinv(cov / np.outer(std, std) + 1e-3 * np.eye(size))}
 
 
 def _sum(cols: list[Column]) -> Column:
@@ -97,6 +115,35 @@ def fit_forest(df: DataFrame, columns: list[str], label: str = "label", seed: in
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=100, maxDepth=6, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(ready)
 
 
+def predict_forest(m, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds p (probability of class 1) and pred."""
+    ready = VectorAssembler(inputCols=columns, outputCol="_x").transform(df)
+    out = m.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_class").transform(ready)
+    p = vector_to_array("_p")[1]
+    return out.withColumns({"p": p, "pred": F.when(p >= 0.5, 1).otherwise(0)}).drop("_x", "_p", "_raw", "_class")
+
+
+def permutation_importance(m, df: DataFrame, columns: list[str], label: str = "label", key: str = "doc_id", repeats: int = 10, seed: int = 42) -> DataFrame:
+    """feature, mean and std of the accuracy lost where a column's values are dealt anew, over repeats.
+
+    Rows stand in the order of a seeded hash; each repeat takes a column's values from the row a drawn number of places
+    on, round the end. All columns and repeats are one plan: rows x columns x repeats, meant for evaluation sets.
+    """
+    values = F.array(*(F.col(c).cast("double") for c in columns))
+    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1
+    rows = df.select(values.alias("v"), F.col(label).cast("int").alias("y"), place.alias("at"))
+    n = df.count()
+    steps = np.random.RandomState(seed).randint(1, max(n, 2), repeats).tolist()
+    tries = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(s).alias("s")) for r, s in enumerate(steps)))).alias("t")
+    asked = rows.select("v", "y", "at", tries).select("v", "y", "t.r", F.pmod(F.col("at") + F.col("t.s"), F.lit(max(n, 1))).alias("at"))
+    dealt = asked.join(rows.select(F.col("v").alias("o"), "at"), "at").select("y", "r", F.explode(F.expr(f"transform(sequence(0, {len(columns) - 1}), k -> struct(k, transform(v, (x, i) -> if(i = k, o[i], x)) as v))")).alias("e")).select("y", "r", "e.k", "e.v")
+    as_columns = lambda d: d.select("*", *(F.col("v")[i].alias(c) for i, c in enumerate(columns)))
+    right = F.avg((F.col("pred") == F.col("y")).cast("double"))
+    base = predict_forest(m, as_columns(rows), columns).agg(right.alias("base"))
+    each = predict_forest(m, as_columns(dealt), columns).groupBy("k", "r").agg(right.alias("own")).crossJoin(F.broadcast(base))
+    return each.groupBy(F.element_at(F.array(*map(F.lit, columns)), F.col("k") + 1).alias("feature")).agg(F.avg(F.col("base") - F.col("own")).alias("permutation_mean"), F.stddev_pop(F.col("base") - F.col("own")).alias("permutation_std"))
+
+
 def weights_table(spark, weights: dict[str, tuple[float, float, float]]) -> DataFrame:
     rows = [(k, float(w), abs(float(w)), float(np.exp(w)), "Higher -> AI" if w > 0 else "Higher -> Human") for k, (w, _, _) in weights.items()]
     return spark.createDataFrame(rows, "feature string, coefficient double, magnitude double, odds_ratio double, direction string").orderBy(F.desc("magnitude"), "feature")
@@ -134,8 +181,9 @@ def disparity(df: DataFrame, column: str, group_a, group_b) -> DataFrame:
 def failures(df: DataFrame, k: int = 10) -> DataFrame:
     """The k surest false positives and false negatives, with a snippet. A report: the limit is its feature."""
     snippet = F.concat(F.substring("text", 1, 300), F.lit("..."))
-    fp = df.where("y = 0 and pred = 1").orderBy(F.desc("p"), "doc_id").limit(k).select(F.lit("false_positive").alias("kind"), "doc_id", "p", snippet.alias("snippet"))
-    fn = df.where("y = 1 and pred = 0").orderBy("p", "doc_id").limit(k).select(F.lit("false_negative").alias("kind"), "doc_id", "p", snippet.alias("snippet"))
+    own = ["doc_id", "p", "y", "pred", *(c for c in ("lang", "source", "words") if c in df.columns), snippet.alias("snippet")]
+    fp = df.where("y = 0 and pred = 1").orderBy(F.desc("p"), "doc_id").limit(k).select(F.lit("false_positive").alias("kind"), *own)
+    fn = df.where("y = 1 and pred = 0").orderBy("p", "doc_id").limit(k).select(F.lit("false_negative").alias("kind"), *own)
     return fp.unionByName(fn)
 
 
@@ -147,5 +195,7 @@ def anomalies(df: DataFrame, human: DataFrame, weights: dict[str, tuple[float, f
 
 def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, mean, std (population, tiny counts as 1), median, p10, p90 (linear)."""
-    parts = [df.agg(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.1)).alias("p10"), F.percentile(c, F.lit(0.9)).alias("p90")) for c in columns]
-    return reduce(DataFrame.unionByName, parts).withColumn("std", F.when(F.col("std") <= 1e-6, 1.0).otherwise(F.col("std")))
+    shares = F.array(*map(F.lit, (0.5, 0.1, 0.9)))
+    each = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.percentile(c, shares).alias("q")) for c in columns]
+    rows = df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r"))  # all columns in one pass
+    return rows.select("r.feature", "r.mean", "r.std", *(F.col("r.q")[i].alias(n) for i, n in enumerate(("median", "p10", "p90")))).withColumn("std", F.when(F.col("std") <= 1e-6, 1.0).otherwise(F.col("std")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators import corpus, documents, model
+from ..operators import corpus, documents, model, response
+from ..sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,7 +74,6 @@ def span_tokens(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.span_tokens("text")).cast("long").alias("n_span_tokens"), X.n_integers("text").alias("n_integers"))
 
 
-@query()
 def clean_audit(spark, d):
     return documents.clean(docs(spark, d)).select("doc_id", "cleaned", "is_empty", "raw_char_count", "cleaned_char_count", "paragraph_count", "removed_prefixes", "removed_suffixes")
 
@@ -87,7 +87,8 @@ def header_and_paragraphs(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(X.paragraphs(t), "\n\n").alias("cleaned"))
 
 
-def _strip_sql() -> str:
+def _strip_ctes() -> tuple[list[str], int, str, str]:
+    """CTEs of the strips one after another, how many there are, and sums of prefixes and suffixes removed."""
     sql = f"SELECT doc_id, {_EOL} AS t0, 0 AS n0 FROM documents"
     steps = [("(?i)" + p, "n") for p in L.PREFIXES] + [("(?i)" + p, "m") for p in L.SUFFIXES]
     cte, n, m = [f"s0 AS ({sql})"], [], []
@@ -95,15 +96,22 @@ def _strip_sql() -> str:
         q = p.replace("'", "''").replace("$", r"\z")
         cte.append(f"s{i} AS (SELECT * EXCLUDE (t{i - 1}), CASE WHEN regexp_matches(t{i - 1}, '{q}') THEN 1 ELSE 0 END AS n{i}, regexp_replace(t{i - 1}, '{q}', '') AS t{i} FROM s{i - 1})")
         (n if k == "n" else m).append(f"n{i}")
-    return f"WITH {', '.join(cte)} SELECT doc_id, md5(t{len(steps)}) AS stripped_md5, CAST({' + '.join(n)} AS BIGINT) AS removed_prefixes, CAST({' + '.join(m)} AS BIGINT) AS removed_suffixes FROM s{len(steps)}"
+    return cte, len(steps), " + ".join(n), " + ".join(m)
+
 
+_STRIPS, _LAST, _NPRE, _NSUF = _strip_ctes()
 
-@query(_strip_sql())
+
+@query(f"WITH {', '.join(_STRIPS)} SELECT doc_id, md5(t{_LAST}) AS stripped_md5, CAST({_NPRE} AS BIGINT) AS removed_prefixes, CAST({_NSUF} AS BIGINT) AS removed_suffixes FROM s{_LAST}")
 def prefix_suffix_strip(spark, d):
     t, before, after = X.stripped(X.end_of_lines(F.col("text")))
     return docs(spark, d).select("doc_id", F.md5(t).alias("stripped_md5"), before.alias("removed_prefixes"), after.alias("removed_suffixes"))
 
 
+#: Cleaned texts in place of the raw ones. DuckDB has no NFKC: rows that it would change differ.
+_CLEAN = f"WITH {', '.join(_STRIPS)}, cl AS (SELECT doc_id, t{_LAST} AS t, {_NPRE} AS pre, {_NSUF} AS suf FROM s{_LAST}), cp AS (SELECT doc_id, pre, suf, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(t, ''), '^#+\\s+[^\\n]+\\n+', ''), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^[\\s\\x{{a0}}\\x{{85}}]+|[\\s\\x{{a0}}\\x{{85}}]+$', '', 'g')), lambda x: x <> '') AS ps FROM cl), cw AS (SELECT doc_id, pre, suf, len(ps) AS paragraphs, array_to_string(ps, chr(10) || chr(10)) AS cleaned FROM cp), raw AS (SELECT doc_id, coalesce(text, '') AS raw FROM documents), cd AS (SELECT cw.*, raw.raw, CAST(len(regexp_extract_all(cleaned, '[^\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]+')) AS BIGINT) AS word_count FROM cw JOIN raw USING (doc_id)), gated AS (SELECT *, CASE WHEN trim(raw) = '' THEN 'ERROR' WHEN word_count < 20 THEN 'INSUFFICIENT_LENGTH' ELSE 'SUCCESS' END AS status, CASE WHEN trim(raw) = '' THEN 'EMPTY_INPUT' WHEN word_count < 20 THEN 'INSUFFICIENT_LENGTH' WHEN word_count < 75 THEN 'INSUFFICIENT_EVIDENCE' END AS code FROM cd), documents AS (SELECT doc_id, cleaned AS text FROM cd)"
+
+
 _PARA = r"WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]+(?:\n[^\n]+)*|\n+') AS p FROM documents), b AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM a), s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b), q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para, start, piece FROM s WHERE piece[1] <> chr(10))"
 
 
@@ -228,7 +236,10 @@ def verdict(spark, d):
     return documents.verdict(scored(spark, d).withColumn("word_count", X.n_whitespace_words("text"))).select("doc_id", "verdict", "confidence")
 
 
-@query()
+query(f"{_CLEAN} SELECT doc_id, cleaned, cleaned = '' AS is_empty, CAST(length(raw) AS BIGINT) AS raw_char_count, CAST(length(cleaned) AS BIGINT) AS cleaned_char_count, CAST(paragraphs AS BIGINT) AS paragraph_count, CAST(pre AS BIGINT) AS removed_prefixes, CAST(suf AS BIGINT) AS removed_suffixes FROM gated")(clean_audit)
+
+
+@query(f"{_CLEAN} SELECT doc_id, word_count, status, code FROM gated")
 def gates(spark, d):
     return documents.gate(docs(spark, d)).select("doc_id", "word_count", "status", "code")
 
@@ -248,8 +259,9 @@ def evidence_spans(spark, d):
 
 @query()
 def severity_counts(spark, d):
-    s = F.col("overall_severity")
-    return documents.evidence(docs(spark, d)).groupBy("doc_id").agg(F.count_if(s.isin("high", "medium")).alias("flagged"), F.count_if(s == "high").alias("high"), F.count_if(s == "medium").alias("medium"), F.count("*").alias("sentences"))
+    spans = docs(spark, d).select("doc_id", documents.evidence_array(F.coalesce("text", F.lit(""))).alias("s"))
+    n = lambda *kinds: F.size(F.filter("s", lambda x: x["overall_severity"].isin(*kinds))).cast("long")
+    return spans.select("doc_id", n("high", "medium").alias("flagged"), n("high").alias("high"), n("medium").alias("medium"), F.size("s").cast("long").alias("sentences"))
 
 
 def _cleaned(spark, d) -> DataFrame:
@@ -342,7 +354,7 @@ def subgroup_disparity(spark, d):
     return rounded(model.disparity(judged(spark, d), "toxic", 1, 0))
 
 
-@query(f"{_J}, a AS (SELECT 'false_positive' AS kind, doc_id, p, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 0 AND pred = 1 ORDER BY p DESC, doc_id LIMIT 10), b AS (SELECT 'false_negative' AS kind, doc_id, p, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 1 AND pred = 0 ORDER BY p, doc_id LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b")
+@query(f"{_J}, a AS (SELECT 'false_positive' AS kind, doc_id, p, y, pred, lang, source, words, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 0 AND pred = 1 ORDER BY p DESC, doc_id LIMIT 10), b AS (SELECT 'false_negative' AS kind, doc_id, p, y, pred, lang, source, words, substr(text, 1, 300) || '...' AS snippet FROM j WHERE y = 1 AND pred = 0 ORDER BY p, doc_id LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b")
 def failure_topk(spark, d):
     return model.failures(judged(spark, d))
 
@@ -352,68 +364,177 @@ def human_quantiles(spark, d):
     return rounded(model.quantiles(scalars(spark, d), SCALARS), "feature")
 
 
+@query("SELECT doc_id, CAST(len(regexp_extract_all(trim_text, '[\\p{L}\\p{N}_]+')) AS BIGINT) AS word_count, CAST(length(trim_text) AS BIGINT) AS char_count FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^" + _SPACES + "+|" + _SPACES + "+$', '', 'g') AS trim_text FROM documents)")
+def process_text(spark, d):
+    return documents.process(docs(spark, d)).select("doc_id", "word_count", "char_count")
+
+
+@query()
+def display_text(spark, d):
+    """Texts with single spaces and no outer ones within lines."""
+    return documents.process(docs(spark, d)).select("doc_id", "display_text")
+
+
+@query("SELECT 'lang' AS \"column\", coalesce(lang, 'None') AS value, count(*) AS rows FROM documents GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, 'None'), count(*) FROM documents GROUP BY ALL")
+def value_tallies(spark, d):
+    return corpus.tallies(docs(spark, d), "lang", "source")
+
+
+@query()
+def split_stats(spark, d):
+    rows = corpus.grouped_split(docs(spark, d).join(_labels(spark, d), "doc_id"))
+    return rounded(corpus.split_stats(rows), "split")
+
+
+@query()
+def feature_registry(spark, d):
+    """The 48 measurements in order, with family and whether they depend on a baseline."""
+    rows = [(i, n, n.split("_")[0], n in documents.DISTANCES[:3]) for i, n in enumerate(COLUMNS)]
+    return spark.createDataFrame(rows, "position int, feature string, family string, needs_baseline boolean")
+
+
+#: All measurements in order.
+COLUMNS = [*documents.BASE, *documents.DISTANCES]
+
+
+def _labels(spark, d) -> DataFrame:
+    """doc_id and label: 0 for rows of quality, which stand for human texts, else 1."""
+    return spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (1 - F.col("quality")).cast("int").alias("label"))
+
+
+def _with_distances(df: DataFrame, base: dict) -> DataFrame:
+    """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs."""
+    out = model.distances(df, list(documents.BASE), base).withColumnsRenamed({f"dist_{k}": f"dist_human_{k}" for k in ("euclidean", "mahalanobis", "cosine")})
+    many = df.select("doc_id", "text").where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
+    spread = model.dispersion(documents.features(documents.paragraph_spans(many)), list(documents.BASE))
+    return out.join(spread, "doc_id", "left").fillna(0.0, ["dist_structural_dispersion"])
+
+
+def _essays(spark, d) -> tuple[DataFrame, dict]:
+    """Labelled documents with all 48 measurements of their cleaned texts, staged, and the baseline of label 0."""
+    rows = docs(spark, d).join(_labels(spark, d), "doc_id")
+    # Staged, so that the cleaning isn't written out anew in each of the measurements that read its text.
+    cleaned = files.stage(documents.clean(rows).select("doc_id", "lang", "source", "label", F.col("cleaned").alias("text")))
+    base44 = files.stage(documents.features(cleaned))
+    base = model.fit_baseline(base44.where("label = 0"), list(documents.BASE))
+    return files.stage(_with_distances(base44, base)), base
+
+
+@query()
+def feature_table(spark, d):
+    """48 measurements of the labelled documents."""
+    return rounded(_essays(spark, d)[0].select("doc_id", "label", "lang", "source", *COLUMNS), "doc_id", "label", "lang", "source")
+
+
+@query()
+def integrity_check(spark, d):
+    return corpus.integrity(_essays(spark, d)[0], COLUMNS)
+
+
+@query()
+def reference_stats(spark, d):
+    """Mean, deviation, median and tails of the 48 measurements over rows of label 0."""
+    return rounded(model.quantiles(_essays(spark, d)[0].where("label = 0"), COLUMNS), "feature")
+
+
 @query()
 def anomaly_topk(spark, d):
-    t = scalars(spark, d)
-    return model.anomalies(t, t.where("lang = 'en'"), WEIGHTS)
+    t, _ = _essays(spark, d)
+    weights, _ = model.fit_logistic(t, COLUMNS)
+    return model.anomalies(t, t.where("label = 0"), weights)
 
 
 @query()
 def mahalanobis(spark, d):
-    t = scalars(spark, d)
-    return rounded(model.distances(t, SCALARS, model.fit_baseline(t, SCALARS)).select("doc_id", "dist_mahalanobis"), "doc_id")
+    """The distances of the labelled documents from those of label 0, over 44 measurements."""
+    return rounded(_essays(spark, d)[0].select("doc_id", *documents.DISTANCES), "doc_id")
 
 
-@query(f"{_S}, m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALARS) + f" FROM f) SELECT doc_id, round(sqrt({' + '.join(f'pow(({c} - m_{c}) / s_{c}, 2)' for c in SCALARS)}), 5) AS dist_euclidean, round(CASE WHEN sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) < 1e-9 THEN 1.0 ELSE ({' + '.join(f'{c} * m_{c}' for c in SCALARS)}) / sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) / sqrt({' + '.join(f'm_{c} * m_{c}' for c in SCALARS)}) END, 5) AS dist_cosine FROM f, m")
+@query(f"{_S}, m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALARS) + f" FROM f JOIN labels USING (doc_id) WHERE quality = 1) SELECT doc_id, round(sqrt({' + '.join(f'pow(({c} - m_{c}) / s_{c}, 2)' for c in SCALARS)}), 5) AS dist_euclidean, round(CASE WHEN sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) < 1e-9 THEN 1.0 ELSE ({' + '.join(f'{c} * m_{c}' for c in SCALARS)}) / sqrt({' + '.join(f'{c} * {c}' for c in SCALARS)}) / sqrt({' + '.join(f'm_{c} * m_{c}' for c in SCALARS)}) END, 5) AS dist_cosine FROM f, m")
 def euclid_cosine(spark, d):
+    """On five measurements, so that SQL can express it; the baseline is that of label 0."""
     t = scalars(spark, d)
-    return model.distances(t, SCALARS, model.fit_baseline(t, SCALARS)).select("doc_id", F.round("dist_euclidean", 5).alias("dist_euclidean"), F.round("dist_cosine", 5).alias("dist_cosine"))
+    base = model.fit_baseline(t.join(_labels(spark, d).where("label = 0"), "doc_id"), SCALARS)
+    return model.distances(t, SCALARS, base).select("doc_id", F.round("dist_euclidean", 5).alias("dist_euclidean"), F.round("dist_cosine", 5).alias("dist_cosine"))
 
 
 @query()
 def dispersion(spark, d):
-    return rounded(model.dispersion(documents.surface(documents.paragraph_spans(docs(spark, d))), SCALARS), "doc_id")
-
-
-def _labelled(spark, d) -> DataFrame:
-    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("label"))
-    return scalars(spark, d).join(labels, "doc_id")
+    return rounded(model.dispersion(documents.features(documents.paragraph_spans(docs(spark, d).select("doc_id", "text"))), list(documents.BASE)), "doc_id")
 
 
 @query()
 def lr_fit(spark, d):
-    weights, _ = model.fit_logistic(_labelled(spark, d), SCALARS)
+    weights, _ = model.fit_logistic(_essays(spark, d)[0], COLUMNS)
     return model.weights_table(spark, weights)
 
 
 @query()
 def rf_fit(spark, d):
-    m = model.fit_forest(_labelled(spark, d), SCALARS)
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(SCALARS, m.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    """Gini and permutation importance of the 48 measurements."""
+    t, _ = _essays(spark, d)
+    m = model.fit_forest(t, COLUMNS)
+    gini = spark.createDataFrame([(c, float(v)) for c, v in zip(COLUMNS, m.featureImportances.toArray())], "feature string, importance double")
+    return gini.join(model.permutation_importance(m, t, COLUMNS), "feature", "left").orderBy(F.desc("importance"), "feature")
+
+
+@query()
+def rf_predict(spark, d):
+    t, _ = _essays(spark, d)
+    return rounded(model.predict_forest(model.fit_forest(t, COLUMNS), t, COLUMNS).select("doc_id", "label", "p", "pred"), "doc_id", "label")
+
+
+FAMILIES = {"surface": list(documents.SURFACE), "discourse": list(documents.DISCOURSE), "distance": list(documents.DISTANCES), "surface+discourse": list(documents.BASE), "all": COLUMNS}
 
 
 @query()
 def ablation(spark, d):
-    """Each family of measurements alone and both, fitted and evaluated on all labelled rows."""
-    rows = _labelled(spark, d).withColumn("y", F.col("label"))
+    """Each family of measurements by both models, fitted on the train groups and evaluated on the others."""
+    split = corpus.grouped_split(_essays(spark, d)[0]).withColumn("y", F.col("label"))
+    train, test = split.where("split = 'train'"), split.where("split <> 'train'")
     out = None
-    for name, cols in (("richness", SCALARS[:3]), ("punctuation", SCALARS[3:]), ("all", SCALARS)):
-        weights, b = model.fit_logistic(rows, cols)
-        p = model.score(rows, weights, b).withColumns({"p": F.col("probability"), "pred": F.when(F.col("probability") >= 0.5, 1).otherwise(0)})
-        one = model.evaluate(p).select(F.lit(name).alias("family"), "*")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "family")
+    for name, columns in FAMILIES.items():
+        weights, b = model.fit_logistic(train, columns)
+        linear = model.score(test, weights, b).withColumn("p", F.col("probability")).withColumn("pred", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+        for kind, rows in (("logistic", linear), ("forest", model.predict_forest(model.fit_forest(train, columns), test, columns))):
+            one = model.evaluate(rows).select(F.lit(name).alias("family"), F.lit(kind).alias("model"), F.lit(len(columns)).alias("n_features"), "*")
+            out = one if out is None else out.unionByName(one)
+    return rounded(out, "family", "model")
 
 
 @query()
 def features(spark, d):
     """All 44 base measurements of every document."""
     t = documents.features(docs(spark, d).select("doc_id", "text"))
-    return rounded(t.select("doc_id", *(c for c in t.columns if c.startswith(("surface_", "discourse_")))), "doc_id")
+    return rounded(t.select("doc_id", *documents.BASE), "doc_id")
 
 
-@query()
+_CLEANSCORED = _CLEAN + ", " + _SCORED.removeprefix("WITH ")
+
+
+@query(f"{_CLEANSCORED}, q AS (SELECT g.doc_id, status, code, word_count, CASE WHEN code IS NULL THEN p WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 0.5 END AS p FROM gated g JOIN y USING (doc_id)) SELECT doc_id, status, code, word_count, round(p, 6) AS probability, CASE WHEN code IS NOT NULL THEN code " + " ".join(f"WHEN p < {v[0]} THEN '{v[1]}'" for v in L.VERDICTS) + " END AS verdict, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'Insufficient Evidence' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[2]}'" for v in L.VERDICTS) + " END AS category, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN '#8b949e' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[3]}'" for v in L.VERDICTS) + " END AS colour, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'Indeterminate' WHEN code IS NOT NULL THEN NULL WHEN p < 0.15 AND word_count >= 120 THEN 'High' WHEN p < 0.35 THEN 'Moderate' WHEN p < 0.65 THEN 'Low' WHEN p > 0.9 AND word_count >= 120 THEN 'High' ELSE 'Moderate' END AS confidence FROM q")
 def analysis(spark, d):
-    """The flagship: gate, measurements, score, verdict and confidence of every document, in one projection."""
-    out = model.score(documents.surface(documents.gate(docs(spark, d))), WEIGHTS, INTERCEPT)
-    return documents.verdict(out).select("doc_id", "status", "code", "word_count", F.round("probability", 6).alias("probability"), F.when(F.col("code").isNull(), F.col("verdict")).otherwise(F.col("code")).alias("verdict"), "category", "colour", "confidence")
+    """The flagship: gate, measurements of the cleaned text, score, verdict and confidence of every document, in one projection."""
+    gated = documents.gate(docs(spark, d)).withColumn("text", F.col("cleaned"))
+    out = documents.verdict(documents.undecided(model.score(documents.surface(gated), WEIGHTS, INTERCEPT)))
+    return out.select("doc_id", "status", "code", "word_count", F.round("probability", 6).alias("probability"), "verdict", "category", "colour", "confidence")
+
+
+@query()
+def analysis_response(spark, d):
+    """The whole response of every document by a model fitted on all 48 measurements of the labelled ones."""
+    essays, base = _essays(spark, d)
+    weights, intercept = model.fit_logistic(essays, COLUMNS)
+    human = {r.feature: r["mean"] for r in model.quantiles(essays.where("label = 0"), COLUMNS).collect()}  # 48 rows
+    measure = lambda df: _with_distances(documents.features(df), base)
+    gated = files.stage(response.gated(docs(spark, d).select("doc_id", "text")))
+    return response.respond(gated, measure, weights, intercept, human)
+
+
+@query()
+def top_drivers(spark, d):
+    """What a reader sees first: three drivers towards a machine, two towards a person, by readable names, and the first flagged span."""
+    out = analysis_response(spark, d)
+    shown = lambda c, n: F.transform(F.slice(c, 1, n), lambda x: F.initcap(F.regexp_replace(F.regexp_replace(x["feature"], "^(surface|discourse|dist)_", ""), "_", " ")))
+    flagged = F.get(F.filter("highlighted_spans", lambda s: s["overall_severity"].isin("high", "medium")), F.lit(0))
+    return out.select("doc_id", F.array_join(shown(F.col("evidence.top_ai_evidence"), 3), ", ").alias("machine"), F.array_join(shown(F.col("evidence.top_human_evidence"), 2), ", ").alias("human"), flagged["span_id"].alias("first_flagged"))

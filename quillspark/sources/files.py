@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def stage(df: DataFrame) -> DataFrame:
+    """df written once to the folder that spark.checkpoint.dir names (a local one only in local mode) and read again."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 CORPUS = "essay_id string, group_id string, label string, text string, topic_category string, model_family string, generation_prompt string, esl_metadata string, provenance struct<source_dataset:string,license:string,is_synthetic:boolean>, word_count bigint, text_hash string, binary_label int"
 
 
@@ -29,15 +47,21 @@ def write_document(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_artifact(spark: SparkSession, path: str, weights: dict, intercept: float, thresholds=(0.35, 0.65, 0.85)) -> None:
-    """A scoring model as a one-row table."""
-    rows = [([(k, *map(float, v)) for k, v in weights.items()], float(intercept), list(map(float, thresholds)))]
-    spark.createDataFrame(rows, "weights array<struct<feature:string,coefficient:double,mean:double,scale:double>>, intercept double, thresholds array<double>").write.mode("overwrite").json(path)
+ARTIFACT = "version string, weights array<struct<feature:string,coefficient:double,mean:double,scale:double>>, intercept double, thresholds array<double>, reference array<struct<feature:string,mean:double,std:double>>, baseline struct<mean:array<double>,std:array<double>,inverse:array<array<double>>>"
+
+
+def save_artifact(spark: SparkSession, path: str, weights: dict, intercept: float, thresholds=(0.35, 0.65, 0.85), version: str = "1", reference: dict | None = None, baseline: dict | None = None) -> None:
+    """A scoring model as a one-row table: weights, thresholds, human reference (mean and deviation by feature) and baseline."""
+    base = baseline and tuple(baseline[k].tolist() for k in ("mean", "std", "inverse"))
+    row = (version, [(k, *map(float, v)) for k, v in weights.items()], float(intercept), list(map(float, thresholds)), [(k, *map(float, v)) for k, v in (reference or {}).items()], base)
+    spark.createDataFrame([row], ARTIFACT).write.mode("overwrite").json(path)
 
 
-def load_artifact(spark: SparkSession, path: str) -> tuple[dict, float, list[float]]:
-    row = spark.read.schema("weights array<struct<feature:string,coefficient:double,mean:double,scale:double>>, intercept double, thresholds array<double>").json(path).first()
-    return {w.feature: (w.coefficient, w.mean, w.scale) for w in row.weights}, row.intercept, list(row.thresholds or (0.35, 0.65, 0.85))
+def load_artifact(spark: SparkSession, path: str) -> dict:
+    """version, weights, intercept, thresholds, reference and baseline as they were saved."""
+    row = spark.read.schema(ARTIFACT).json(path).first()
+    base = row.baseline and {k: np.array(row.baseline[k]) for k in ("mean", "std", "inverse")}
+    return {"version": row.version, "weights": {w.feature: (w.coefficient, w.mean, w.scale) for w in row.weights}, "intercept": row.intercept, "thresholds": list(row.thresholds or (0.35, 0.65, 0.85)), "reference": {r.feature: (r.mean, r.std) for r in row.reference or ()}, "baseline": base}
 
 
 def literal_corpus(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

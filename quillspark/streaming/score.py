@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import documents, model
 
@@ -10,5 +11,6 @@ from ..operators import documents, model
 def scored(spark: SparkSession, path: str, schema, weights: dict, intercept: float) -> DataFrame:
     """doc_id, probability, verdict of documents as they arrive in a folder of Parquet files."""
     stream = spark.readStream.schema(schema).parquet(path)
-    out = model.score(documents.features(documents.gate(stream)), weights, intercept)
+    gated = documents.gate(stream).withColumn("text", F.col("cleaned"))
+    out = documents.undecided(model.score(documents.features(gated), weights, intercept))
     return documents.verdict(out).select("doc_id", "word_count", "probability", "verdict", "confidence")

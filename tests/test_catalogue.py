@@ -3,11 +3,13 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from quillspark.functions import text as X
 from quillspark.operators import corpus, documents, model
 from quillspark.plans import catalogue
+from quillspark.sources import files
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,7 +26,7 @@ def canon(rows):
     return sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip"])
+@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe"])
 def test_matches_sql(spark, db, name):
     got = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
@@ -56,6 +58,74 @@ def test_evidence(spark):
     assert got == ["high", "human_grounded", "medium", "neutral"]
 
 
+def test_evidence_items(spark):
+    text = "The tapestry of resilience is profound, in conclusion."
+    items = documents.evidence(table(spark, text)).first()["items"]
+    assert [i.feature_name for i in items] == ["discourse_abstract_vocab_density", "discourse_formulaic_moral_density"] and len(items[0]) == 14
+    assert items[0].deviation_z > 0 and "'profound', 'resilience', 'tapestry'" in items[0].explanation and "in conclusion" in items[1].explanation
+    assert all((i.start_char, i.end_char, i.text, i.evidence_strength) == (0, len(text), text, "Strong") for i in items)
+
+
+def test_dedupe_keeps_one_of_each(spark):
+    long = "The same beginning of a text that is long enough to compare, "
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "a"), (3, None), (4, long + "one"), (None, long + "two"), (4, long + "one")]
+    df = spark.createDataFrame(rows, "doc_id long, cleaned string")
+    exact = corpus.exact_dedupe(df)
+    assert sorted((r.doc_id, r.cleaned) for r in exact.where("cleaned is not null and length(cleaned) > 1").collect() if r.doc_id) == [(4, long + "one")]
+    assert exact.count() == 5 and exact.where("cleaned = 'a'").first().doc_id == 1
+    assert sorted(map(str, (r.doc_id for r in corpus.near_dedupe(exact).collect()))) == ["1", "3", "4", "None"]
+
+
+def test_gated_texts_have_no_verdict(spark):
+    words = lambda n: " ".join(f"word{i}" for i in range(n))
+    gated = documents.gate(table(spark, "", words(8), words(36), words(130)))
+    scored = gated.withColumns({"logit": X.F.lit(3.0), "probability": X.F.lit(0.95)})
+    r = documents.verdict(documents.undecided(scored)).orderBy("doc_id").collect()
+    assert [x.status for x in r] == ["ERROR", "INSUFFICIENT_LENGTH", "SUCCESS", "SUCCESS"]
+    assert [x.probability for x in r] == [None, None, 0.5, 0.95] and [x.logit for x in r] == [None, None, 0.0, 3.0]
+    assert r[2].category == "Insufficient Evidence" and r[2].verdict == "INSUFFICIENT_EVIDENCE" and r[3].verdict == "LIKELY_AI_GENERATED" and r[3].confidence == "High"
+
+
+def test_integrity_and_tallies(spark):
+    df = spark.createDataFrame([(1.0, "a", "train", 0), (float("nan"), None, "train", 1), (float("inf"), "a", "test", 1), (None, "b", "test", 0)], "v double, source string, split string, label int")
+    assert tuple(corpus.integrity(df, ["v"]).first()) == (4, 1, 1, 1)
+    assert sorted(tuple(r) for r in corpus.tallies(df, "source").collect()) == [("source", "None", 1), ("source", "a", 2), ("source", "b", 1)]
+    assert sorted(tuple(r) for r in corpus.split_stats(df).collect()) == [("test", 2, 2, 0.5, 1, 1), ("train", 1, 2, 0.5, 1, 1)]
+
+
+def test_permutation_importance(spark):
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(60)], "doc_id long, a double, b double, label int")
+    got = {r.feature: r.permutation_mean for r in model.permutation_importance(model.fit_forest(df, ["a", "b"]), df, ["a", "b"]).collect()}
+    assert got["a"] > 0.2 > abs(got["b"])
+
+
+def test_baseline(spark):
+    rng = X.F.rand(1)
+    df = spark.range(200).select("id", X.F.randn(1).alias("a"), X.F.randn(2).alias("b"), (rng * 3).alias("c"))
+    rows = np.array([[r.a, r.b, r.c] for r in df.collect()])
+    base = model.fit_baseline(df, ["a", "b", "c"])
+    assert np.allclose(base["mean"], rows.mean(0)) and np.allclose(base["std"], rows.std(0))
+    assert np.allclose(base["inverse"], np.linalg.pinv(np.corrcoef(rows.T) + 1e-3 * np.eye(3)))
+
+
+def test_passive_ratio(spark):
+    tags = lambda *t: X.F.array(*map(X.F.lit, t))
+    row = spark.range(1).select(documents.passive_ratio(tags("BE", "VBN", "BE", "RB", "VBN", "BE", "NN"), X.F.lit(4)), documents.passive_ratio(tags("NN", "VB"), X.F.lit(0))).first()
+    assert tuple(row) == (0.5, 0.0)
+
+
+def test_sources_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("human_1", 'two\nlines, "quoted"', 0.25), ("ai_2", None, None)], "essay_id string, text string, v double")
+    files.write_table(df, f"{tmp_path}/t")
+    assert sorted(map(str, files.read_table(spark, f"{tmp_path}/t", df.schema.simpleString()[7:-1].replace(":", " ")).collect())) == sorted(map(str, df.collect()))
+    files.write_lines(df, f"{tmp_path}/l")
+    assert files.read_corpus(spark, f"{tmp_path}/l").count() == 2
+    base = {"mean": np.zeros(2), "std": np.ones(2), "inverse": np.eye(2)}
+    files.save_artifact(spark, f"{tmp_path}/m", {"a": (1, 2, 3)}, 0.5, reference={"a": (0.1, 0.2)}, baseline=base)
+    got = files.load_artifact(spark, f"{tmp_path}/m")
+    assert got["weights"] == {"a": (1.0, 2.0, 3.0)} and got["reference"] == {"a": (0.1, 0.2)} and (got["baseline"]["inverse"] == np.eye(2)).all() and got["thresholds"] == [0.35, 0.65, 0.85]
+
+
 def test_counts_and_measures(spark):
     r = documents.features(table(spark, "a b a c", "", None)).orderBy("doc_id").collect()
     assert r[0].surface_word_entropy == pytest.approx(1.5) and r[0].surface_ttr == 0.75
