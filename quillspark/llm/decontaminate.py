@@ -28,6 +28,7 @@ LENGTHS = (8, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.35
 BLOCK = 192
 GROUP = 256
+KEPT = 32 << 20
 #: Shares of an item's words in order; from LITERAL on an item is sought whatever its cosine.
 COPY, LITERAL, PARAPHRASE, ANSWER = 0.7, 0.6, 0.35, 0.8
 #: ASCII letters in lower case; other ASCII characters but digits separate words.
@@ -135,14 +136,17 @@ def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def common(masks: dict[int, int], size: int, other: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel; masks hold the places of each word of the one side."""
+    """Length of the longest common subsequence; masks hold the places of each word of the one side."""
+    return in_order(list(filter(None, map(masks.get, other))), size)
+
+
+def in_order(hits: list[int], size: int) -> int:
+    """The same, bit-parallel, of the masks of the other side's words; words that the one side lacks change nothing."""
     full = (1 << size) - 1
     v = full
-    for x in other:
-        m = masks.get(x)
-        if m:
-            u = v & m
-            v = (v + u | v - u) & full
+    for m in hits:
+        u = v & m
+        v = (v + u | v - u) & full
     return size - v.bit_count()
 
 
@@ -183,6 +187,14 @@ class Items:
                 length = len(words)
             by.setdefault(length, []).append(len(self.rows))
             self.rows.append((item, len(words), masks_of(words.tolist()), len(answer), masks_of(answer), v / max(np.linalg.norm(v), 1e-12)))
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes = np.array([r[1] for r in self.rows])
+        self.answer_sizes = np.array([r[3] for r in self.rows])
+        #: Of each item a bit for every word: whether its answer has it.
+        self.in_answer = np.zeros((len(self.rows), 1 << 13), np.uint8)
+        for j, r in enumerate(self.rows):
+            w = np.fromiter(r[4], np.int64, len(r[4]))
+            np.bitwise_or.at(self.in_answer[j], w >> 3, (1 << (w & 7)).astype(np.uint8))
         self.classes = {k: (np.array(i), np.stack([self.rows[j][5] for j in i]).T.astype(np.float32)) for k, i in by.items()}
         self.words = [np.concatenate([np.repeat(np.fromiter(m, np.int64), [x.bit_count() for x in m.values()]) for m in (self.rows[j][2] for j in i)]) for i, _ in self.classes.values()]
         self.cuts = [np.cumsum([0, *(self.rows[j][1] for j in i)]) for i, _ in self.classes.values()]
@@ -192,6 +204,23 @@ class Items:
         self.needs = [np.array([(PARAPHRASE * self.rows[j][1], LITERAL * self.rows[j][1], ANSWER * self.rows[j][3]) for j in i]).T for i, _ in self.classes.values()]
         self.reach = [max(k, *(self.rows[j][1] for j in i)) // 2 + 1 for k, (i, _) in self.classes.items()]
 
+    def counted(self, cls: int, lo: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a group of items: a number for each of their words (0: none of them), and how often each item and each answer has it. Kept while all that is kept stays under KEPT bytes."""
+        if (cls, lo) in self.kept:
+            return self.kept[cls, lo]
+        cuts, answer_cuts = self.cuts[cls], self.answer_cuts[cls]
+        size = min(GROUP, self.needs[cls].shape[1] - lo)
+        own = np.concatenate([self.words[cls][cuts[lo] : cuts[lo + size]], self.answers[cls][answer_cuts[lo] : answer_cuts[lo + size]]])
+        number = np.zeros(1 << 16, np.int32)
+        number[own] = 1
+        known = np.nonzero(number)[0]
+        number[known] = np.arange(1, len(known) + 1)
+        item = np.concatenate([np.repeat(np.arange(size), np.diff(cuts[lo : lo + size + 1])), np.repeat(np.arange(size, 2 * size), np.diff(answer_cuts[lo : lo + size + 1]))])
+        counts = np.bincount(number[own] * 2 * size + item, minlength=(len(known) + 1) * 2 * size).reshape(-1, 2 * size).astype(np.float32)
+        if sum(x.nbytes + y.nbytes for x, y in self.kept.values()) + number.nbytes + counts.nbytes <= KEPT:
+            self.kept[cls, lo] = number, counts
+        return number, counts
+
     def possible(self, words: np.ndarray, cls: int) -> tuple[np.ndarray, np.ndarray]:
         """(block, item): whether enough of the item's words for a paraphrase with its answer, and for a literal hit, are among those that windows of the block are verified on.
 
@@ -200,26 +229,33 @@ class Items:
         """
         reach, n = self.reach[cls], len(words) // BLOCK + 1
         parts = words[np.clip(np.arange(-reach, BLOCK + 4 * reach) + BLOCK * np.arange(n)[:, None], 0, len(words) - 1)]
-        cuts, answer_cuts, needs, out = self.cuts[cls], self.answer_cuts[cls], self.needs[cls], []
-        number = np.zeros(1 << 16, np.int32)
+        needs, out = self.needs[cls], []
         for lo in range(0, needs.shape[1], GROUP):
-            size = min(GROUP, needs.shape[1] - lo)
-            own = np.concatenate([self.words[cls][cuts[lo] : cuts[lo + size]], self.answers[cls][answer_cuts[lo] : answer_cuts[lo + size]]])
-            number[own] = 1
-            known = np.nonzero(number)[0]
-            number[known] = np.arange(1, len(known) + 1)
-            there = np.zeros((n, len(known) + 1), np.float32)
+            number, counts = self.counted(cls, lo)
+            there = np.zeros((n, len(counts)), np.float32)
             there[np.arange(n)[:, None], number[parts]] = 1
             there[:, 0] = 0
-            item = np.concatenate([np.repeat(np.arange(size), np.diff(cuts[lo : lo + size + 1])), np.repeat(np.arange(size, 2 * size), np.diff(answer_cuts[lo : lo + size + 1]))])
-            counts = np.bincount(number[own] * 2 * size + item, minlength=(len(known) + 1) * 2 * size).reshape(-1, 2 * size).astype(np.float32)
             held, answered = np.split(there @ counts, 2, axis=1)
-            low, high, answer = needs[:, lo : lo + size]
+            low, high, answer = needs[:, lo : lo + held.shape[1]]
             out.append(((held >= low) & (answered >= answer) | (held >= high), held >= high))
-            number[known] = 0
         some, literal = (np.concatenate(x, axis=1) for x in zip(*out))
         return some, literal
 
+    def answerable(self, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of pairs of an item and a stretch words[lo:hi]: whether some part a quarter longer than the answer holds enough of its words, the bound of ``together`` from above."""
+        out = np.zeros(len(item), bool)
+        for a in range(0, len(item), 1 << 12):
+            own, first, last = item[a : a + 4096], lo[a : a + 4096, None], hi[a : a + 4096, None]
+            at = first + np.arange((last - first).max())
+            part = words[np.minimum(at, len(words) - 1)]
+            hit = (self.in_answer[own[:, None], part >> 3] >> (part & 7).astype(np.uint8) & 1).astype(bool) & (at < last)
+            total = np.zeros((len(own), hit.shape[1] + 1), np.int32)
+            np.cumsum(hit, axis=1, out=total[:, 1:])
+            size = self.answer_sizes[own]
+            until = np.minimum(np.arange(hit.shape[1]) + (-(-5 * size // 4))[:, None], hit.shape[1])
+            out[a : a + 4096] = (np.take_along_axis(total, until, 1) - total[:, :-1]).max(1, initial=0) >= ANSWER * size
+        return out
+
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple]:
         """(document's place, item, overlap, cosine, kind, first word, end) of each item found in each document.
 
@@ -233,11 +269,11 @@ class Items:
         end = np.cumsum(sizes)
         begin = end - sizes
         found: dict[tuple, tuple] = {}
-        cum = np.zeros((len(words) + 1, self.project.shape[1]), np.float32)
-        np.cumsum(self.centred[words & (FEATURES - 1)], axis=0, out=cum[1:])
         place = np.arange(len(words)) - begin[owner]
         left = end[owner] - np.arange(len(words))
-        for cls, (length, (index, vectors)) in enumerate(self.classes.items()):
+        flat, begins, ends = words.tolist(), begin.tolist(), end.tolist()
+        windows, needed = [], np.zeros(len(words) + 1, np.int64)
+        for cls, length in enumerate(self.classes):
             possible, literal = self.possible(words, cls)
             step, half = max(1, length // 8), max(1, length // 2)
             start = np.nonzero((place % step == 0) & ((left > length - step) | (place == 0)))[0]
@@ -252,19 +288,36 @@ class Items:
             start, block, count = start[np.repeat(some, count)], block[some], count[some]
             edge = np.cumsum(count) - count
             stop = np.minimum(start + length, end[owner[start]])
-            x = cum[stop] - cum[start]
+            windows.append((cls, length, half, start, stop, edge, block, possible, literal))
+            needed += np.bincount(start, minlength=len(needed)) - np.bincount(stop, minlength=len(needed))
+        if not windows:
+            return
+        # Running sums over the words of windows alone; of any window all words are there.
+        inside = np.cumsum(needed)[:-1] > 0
+        at_word = np.concatenate([[0], np.cumsum(inside)])
+        cum = np.zeros((at_word[-1] + 1, self.project.shape[1]), np.float32)
+        np.cumsum(self.centred[words[inside] & (FEATURES - 1)], axis=0, out=cum[1:])
+        for cls, length, half, start, stop, edge, block, possible, literal in windows:
+            index, vectors = list(self.classes.values())[cls]
+            x = cum[at_word[stop]] - cum[at_word[start]]
             x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             near = np.maximum.reduceat(x @ vectors, edge, axis=0)
-            first = start[edge]
-            for w, i in zip(*(v.tolist() for v in np.nonzero((near > COSINE) & possible[block] | literal[block]))):
+            first, owners = start[edge].tolist(), owner[start[edge]].tolist()
+            pairs = np.nonzero((near > COSINE) & possible[block] | literal[block])
+            slack = np.maximum(length, self.sizes[index[pairs[1]]]) // 2
+            at, doc = start[edge][pairs[0]], owner[start[edge][pairs[0]]]
+            close = literal[block][pairs] | self.answerable(words, index[pairs[1]], np.maximum(begin[doc], at - slack), np.minimum(end[doc], at + half + length + slack))
+            pairs = pairs[0][close], pairs[1][close]
+            for w, i, cosine in zip(*(v.tolist() for v in (*pairs, near[pairs]))):
                 item, size, masks, n_answer, answer, _ = self.rows[index[i]]
-                doc, at, slack = int(owner[first[w]]), int(first[w]), max(length, size) // 2
-                a, b = max(int(begin[doc]), at - slack), min(int(end[doc]), at + half + length + slack)
-                part = words[a:b].tolist()
-                least = PARAPHRASE if near[w, i] > COSINE else LITERAL
-                if sum([masks[x].bit_count() for x in masks.keys() & set(part)]) < least * size:
+                doc, at, slack = owners[w], first[w], max(length, size) // 2
+                a, b = max(begins[doc], at - slack), min(ends[doc], at + half + length + slack)
+                part = flat[a:b]
+                least = PARAPHRASE if cosine > COSINE else LITERAL
+                hits = list(filter(None, map(masks.get, part)))
+                if len(hits) < least * size:
                     continue
-                share = common(masks, size, part) / size
+                share = in_order(hits, size) / size
                 if share < least:
                     continue
                 if share < LITERAL and not together(answer, n_answer, part):
@@ -272,8 +325,8 @@ class Items:
                 kind = "copy" if share >= COPY else "paraphrase"
                 if kind == "paraphrase" and common(answer, n_answer, part) < ANSWER * n_answer:
                     continue
-                if (share, near[w, i]) > found.get((doc, item), (0, 0, 0.0, 0.0))[2:4]:
-                    found[doc, item] = (doc, item, share, float(near[w, i]), kind, a - int(begin[doc]), b - int(begin[doc]))
+                if (share, cosine) > found.get((doc, item), (0, 0, 0.0, 0.0))[2:4]:
+                    found[doc, item] = (doc, item, share, cosine, kind, a - begins[doc], b - begins[doc])
         yield from found.values()
 
 
