@@ -257,7 +257,30 @@ def evidence_spans(spark, d):
     return documents.evidence(docs(spark, d))
 
 
-@query()
+_HITS = lambda w, values: f"len(list_filter({w}, lambda x: x IN {_list(values)}))"
+_ANY = lambda patterns: " OR ".join(f"regexp_matches(p, '{_padded(x)}')" for x in patterns)
+#: The rules on each sentence: a abstract, b phrase, c passive narrator, h concrete, d abstract paragraph.
+_EVIDENCE = (
+    f"{_SENT}, pa AS (SELECT doc_id, para, {_HITS('w', L.ABSTRACT)} AS pn, greatest(len(w), 1) AS pw FROM (SELECT doc_id, para, {_TOK.replace('text', 'piece')} AS w FROM q)), "
+    f"sw AS (SELECT *, lower(text) AS low, {_TOK} AS w FROM sent), sp AS (SELECT *, {_PAD} AS p FROM sw), "
+    f"sm AS (SELECT sp.*, pn, pn / pw * 100.0 AS p_density, {_HITS('w', L.ABSTRACT)} AS na, {_HITS('w', L.CONCRETE)} AS nk, greatest(len(w), 1) AS nw, {_ANY(L.FORMULAIC)} AS b, {_HITS('w', L.FIRST_PERSON)} > 0 AND {_HITS('w', L.PASSIVE_STATE_VERBS)} > 0 AND {_HITS('w', L.ACTION_VERBS)} = 0 AS c FROM sp JOIN pa ON pa.doc_id = sp.doc_id AND pa.para = sp.paragraph_idx), "
+    "sa AS (SELECT *, na > 0 AS a, na >= 2 OR (na / nw * 100.0 - 1.5) / 1.2 >= 2.5 AS strong, NOT c AND nk > 0 AND na = 0 AND NOT b AS h FROM sm), "
+    "sf AS (SELECT *, CASE WHEN a AND strong THEN 1.5 WHEN a THEN 1.0 ELSE 0.0 END + CASE WHEN b THEN 1.5 ELSE 0.0 END + CASE WHEN c THEN 0.6 ELSE 0.0 END AS base FROM sa), "
+    "sd AS (SELECT *, base < 1.0 AND p_density >= 3.5 AND pn >= 2 AS d FROM sf), "
+    "ev AS (SELECT *, round(CAST(base AS DOUBLE) + CASE WHEN d THEN 0.8 ELSE 0.0 END, 2) AS score, CAST(a AS BIGINT) + CAST(b AS BIGINT) + CAST(c AS BIGINT) + CAST(d AS BIGINT) AS n_ai, "
+    "concat_ws(',', CASE WHEN a THEN 'discourse_abstract_vocab_density:' || CASE WHEN strong THEN 'Strong' ELSE 'Moderate' END END, CASE WHEN b THEN 'discourse_formulaic_moral_density:' || CASE WHEN a THEN 'Strong' ELSE 'Moderate' END END, CASE WHEN c THEN 'discourse_agency_passive_density:Mild' END, CASE WHEN h THEN 'discourse_concrete_sensory_density:Moderate' END, CASE WHEN d THEN 'discourse_paragraph_abstraction:Mild' END) AS rules FROM sd), "
+    "sev AS (SELECT *, CASE WHEN (a AND (strong OR b)) OR score >= 1.8 THEN 'high' WHEN n_ai > 0 OR score >= 0.8 THEN 'medium' WHEN h THEN 'human_grounded' ELSE 'neutral' END AS severity FROM ev)"
+)
+
+
+@query(f"{_EVIDENCE} SELECT doc_id, sentence_idx, paragraph_idx, start_char, end_char, severity AS overall_severity, score AS ai_evidence_score, n_ai AS ai_evidence_count, rules FROM sev")
+def sentence_evidence(spark, d):
+    """The judgement of each sentence, its items as feature:strength."""
+    rules = F.array_join(F.transform("items", lambda x: F.concat(x["feature_name"], F.lit(":"), x["evidence_strength"])), ",")
+    return documents.evidence(docs(spark, d)).select("doc_id", "sentence_idx", "paragraph_idx", "start_char", "end_char", "overall_severity", "ai_evidence_score", "ai_evidence_count", rules.alias("rules"))
+
+
+@query(f"{_EVIDENCE}, n AS (SELECT doc_id, CAST(count_if(severity IN ('high', 'medium')) AS BIGINT) AS flagged, CAST(count_if(severity = 'high') AS BIGINT) AS high, CAST(count_if(severity = 'medium') AS BIGINT) AS medium, count(*) AS sentences FROM sev GROUP BY doc_id) SELECT doc_id, coalesce(flagged, 0) AS flagged, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(sentences, 0) AS sentences FROM documents LEFT JOIN n USING (doc_id)")
 def severity_counts(spark, d):
     spans = docs(spark, d).select("doc_id", documents.evidence_array(F.coalesce("text", F.lit(""))).alias("s"))
     n = lambda *kinds: F.size(F.filter("s", lambda x: x["overall_severity"].isin(*kinds))).cast("long")

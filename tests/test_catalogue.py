@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from quillspark.functions import lexicon
 from quillspark.functions import text as X
 from quillspark.operators import corpus, documents, model
 from quillspark.plans import catalogue
@@ -26,7 +27,7 @@ def canon(rows):
     return sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe"])
+@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe", "sentence_evidence", "severity_counts"])
 def test_matches_sql(spark, db, name):
     got = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
@@ -34,6 +35,25 @@ def test_matches_sql(spark, db, name):
     assert canon(tuple(r) for r in got.select(cols).collect()) == canon(tuple(r[c] for c in cols) for r in want)
 
 
+@pytest.mark.parametrize("name", ["sentence_evidence", "severity_counts"])
+def test_evidence_sql(spark, tmp_path, name):
+    """Documents of our own that give every rule; the driver's hold none of its words."""
+    shown = [p.replace(r"\b", "").replace("(?:", "").replace(")?", "").replace(")", "") for p in lexicon.FORMULAIC]
+    made = [f"Now {p} indeed. I {v} it. My {a} sat {k}.\n\nA {k} {a}, the {a}: one two three." for p, v, a, k in zip(shown * 5, lexicon.PASSIVE_STATE_VERBS * 9, lexicon.ABSTRACT, lexicon.CONCRETE)]
+    made += ["We repaired the bicycle in the garage.", "Résumé tapestry éclat. " + "word " * 60 + "tapestry. Nothing here.", "", None]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    want = con.sql(catalogue.ORACLE_SQL[name]).to_arrow_table().select(cols).to_pylist()
+    rows = [tuple(r) for r in got.select(cols).collect()]
+    assert canon(rows) == canon(tuple(r[c] for c in cols) for r in want)
+    if name == "sentence_evidence":
+        assert {r[cols.index("overall_severity")] for r in rows} == {"high", "medium", "human_grounded", "neutral"}
+        assert {x.split(":")[0].split("_", 1)[1] for r in rows for x in r[cols.index("rules")].split(",") if x} == {"abstract_vocab_density", "formulaic_moral_density", "agency_passive_density", "concrete_sensory_density", "paragraph_abstraction"}
+
+
 def table(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
