@@ -208,6 +208,44 @@ def test_decontamination_paraphrases():
         assert [x[4] for x in items.search([words])] == want
 
 
+def test_decontamination_bounds():
+    """The common subsequence against the table of all prefixes, and that no stretch accepted by ``together`` fails the bound on answers."""
+    rng = np.random.default_rng(3)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 25, rng.integers(6, 90))) for _ in range(30)]
+    items = decontaminate.Items(list(enumerate(texts)), np.ones((decontaminate.FEATURES, 4), np.float32), np.zeros(4, np.float32))
+    words = decontaminate.hashed_words(" ".join(f"w{i}" for i in rng.integers(0, 25, 3000)).encode()).astype(np.uint16)
+    for j in range(0, len(items.rows), 2):  # answers in order, whole or with a word inside, that the bound must let through
+        own = decontaminate.hashed_words(decontaminate.answer_of(texts[j]).encode()).astype(np.uint16)
+        words[j * 90 : j * 90 + len(own)] = own
+        words[j * 90 + len(own) // 2] = 7
+    item = rng.integers(0, len(items.rows), 3000)
+    item[::3] = 2 * rng.integers(0, len(items.rows) // 2, len(item[::3]))
+    lo = rng.integers(0, len(words) - 10, len(item))
+    lo[::3] = np.maximum(item[::3] * 90 - rng.integers(0, 20, len(lo[::3])), 0)
+    hi = np.minimum(lo + rng.integers(10, 200, len(item)), len(words))
+    bound, accepted = items.answerable(words, item, lo, hi), 0
+    for k, (i, a, b) in enumerate(zip(item, lo, hi)):
+        _, size, masks, n_answer, answer, _ = items.rows[i]
+        part = words[a:b].tolist()
+        if decontaminate.together(answer, n_answer, part):
+            accepted += 1
+            assert bound[k]
+        if k % 50 == 0:
+            own = decontaminate.hashed_words(texts[i].encode()).astype(np.uint16).tolist()
+            assert decontaminate.common(masks, size, part) == plain(own, part)
+    assert accepted > 100 and not bound.all()
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(2)
     tune = rng.normal(size=48)
