@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import secret_scan, wand
 from .chroma import op8_chroma
 from .decontaminate import op7_decontaminate
 from .html_blocks import op6_html
@@ -13,7 +13,8 @@ from .secret_scan import op2_secrets
 from .simhash import op1_simhash
 from .substrings import op4_substring
 from .url_filter import op5_urls
+from .wand import op13_wand
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_substring, op5_urls, op6_html, op7_decontaminate, op8_chroma, op9_pieces, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_substring, op5_urls, op6_html, op7_decontaminate, op8_chroma, op9_pieces, op10_langid, op13_wand)}
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secret_scan.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secret_scan.ORACLE_SQL, "op13_wand": wand.ORACLE_SQL}
