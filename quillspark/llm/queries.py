@@ -14,7 +14,8 @@ from .simhash import op1_simhash
 from .substrings import op4_substring
 from .url_filter import op5_urls
 from .wand import op13_wand
+from .whitening import op12_whitening
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_substring, op5_urls, op6_html, op7_decontaminate, op8_chroma, op9_pieces, op10_langid, op13_wand)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_substring, op5_urls, op6_html, op7_decontaminate, op8_chroma, op9_pieces, op10_langid, op12_whitening, op13_wand)}
 
 ORACLE_SQL: dict[str, str] = {"op2_secrets": secret_scan.ORACLE_SQL, "op13_wand": wand.ORACLE_SQL}
