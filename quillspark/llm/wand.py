@@ -200,7 +200,7 @@ class Shard:
         dense = np.repeat(self.block_starts[end] - self.block_starts[begin] >= DENSE * n, end - begin)
         blocks, w = ranges(begin, end), np.repeat(w, end - begin)
         first, last, most = self.first[blocks], self.last[blocks], w * self.most[blocks]
-        bound = np.cumsum(np.bincount(first[dense], most[dense], n + 1) - np.bincount(last[dense] + 1, most[dense], n + 1))[:n]
+        bound = np.cumsum(np.bincount(first[dense], most[dense], n + 1) - np.bincount(last[dense] + 1, most[dense], n + 1))[:n].astype(np.float64)
         begin, end = self.block_starts[blocks[~dense]], self.block_starts[blocks[~dense] + 1]
         bound += np.bincount(self.ords[ranges(begin, end)], np.repeat(most[~dense], end - begin), n)
         scores, size = np.zeros(n), 64

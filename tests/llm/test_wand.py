@@ -96,6 +96,12 @@ def test_blocks_are_skipped():
     (shard,) = wand.shards([batch])
     best = shard.search(np.array([1, 2]), np.array([10, 9000]), 10)
     assert sorted(i for _, i in best) == list(range(0, n, 500)) and shard.read < n / 2
+    assert sorted(shard.search(np.array([2, 3]), np.array([9000, 1]), 20)) == sorted(best_of_rare(shard, 9000))
+
+
+def best_of_rare(shard, weight):
+    at = slice(*shard.block_starts[shard.block_lists[1:]])
+    return [(weight * s, i) for s, i in zip(shard.impacts[at].tolist(), shard.ords[at].tolist())]
 
 
 def test_empty_tables(spark):
