@@ -56,3 +56,6 @@ SUFFIXES = [r"\n+(?:I hope this essay (?:meets your needs|helps you|captures the
 
 #: Verdicts: (upper bound of the probability, code, category, colour).
 VERDICTS = ((0.35, "LIKELY_HUMAN", "Likely Human", "#3fb950"), (0.65, "UNCERTAIN", "Uncertain / Mixed Evidence", "#e3b341"), (0.85, "LIKELY_AI_ASSISTED", "Likely AI-Assisted / Polished", "#a371f7"), (2.0, "LIKELY_AI_GENERATED", "Likely AI-Generated", "#f85149"))
+
+#: Category, colour and confidence of a text too short to judge.
+UNDECIDED = ("Insufficient Evidence", "#8b949e", "N/A (Short Text)")

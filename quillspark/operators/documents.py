@@ -38,6 +38,9 @@ def pieces(text: Column, pattern: str) -> Column:
     return X.let(found, lambda p: F.zip_with(X.starts(F.transform(p, F.length)), p, lambda at, x: F.struct(at.alias("start"), x.alias("piece"))))
 
 
+PARAGRAPH = r"[^\n]+(?:\n[^\n]+)*"
+
+
 def paragraph_spans(df: DataFrame) -> DataFrame:
     """doc_id, paragraph_idx, start_char, end_char, text: runs of lines that aren't empty, in the raw text."""
     runs = F.filter(pieces(F.coalesce("text", F.lit("")), r"[^\n]+(?:\n[^\n]+)*|\n+"), lambda s: ~s["piece"].startswith("\n"))
@@ -254,7 +257,7 @@ def verdict(df: DataFrame) -> DataFrame:
     sure = F.when(n >= 120, "High").otherwise("Moderate")
     out = {"verdict": chain(1), "category": chain(2), "colour": chain(3), "confidence": F.when(p < 0.15, sure).when(p < 0.35, "Moderate").when(p < 0.65, "Low").when(p > 0.9, sure).otherwise("Moderate")}
     if "code" in df.columns:
-        none = {"verdict": F.col("code"), "category": F.when(F.col("code") == "INSUFFICIENT_EVIDENCE", "Insufficient Evidence"), "colour": F.when(F.col("code") == "INSUFFICIENT_EVIDENCE", "#8b949e"), "confidence": F.when(F.col("code") == "INSUFFICIENT_EVIDENCE", "Indeterminate")}
+        none = {"verdict": F.col("code"), **{k: F.when(F.col("code") == "INSUFFICIENT_EVIDENCE", v) for k, v in zip(("category", "colour", "confidence"), L.UNDECIDED)}}
         out = {k: F.when(F.col("code").isNull(), c).otherwise(none[k]) for k, c in out.items()}
     return df.withColumns(out)
 

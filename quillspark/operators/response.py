@@ -20,27 +20,42 @@ def _drivers(weights: dict[str, tuple[float, float, float]], reference: dict[str
 
 
 def gated(df: DataFrame) -> DataFrame:
-    """What respond reads: the gate's columns, with the cleaned text as text."""
-    return documents.gate(df).withColumns({"char_count": F.length(F.coalesce("text", F.lit(""))).cast("long"), "text": F.col("cleaned")}).drop("cleaned")
+    """What respond reads: the gate's columns, the cleaned text as text and the given one as raw.
+
+    Words are counted in the cleaned text, which is measured; characters, paragraphs and spans are those of the raw one.
+    """
+    raw = F.coalesce("text", F.lit(""))
+    counted = documents.gate(df.withColumn("raw", raw)).withColumns({"char_count": F.length("raw").cast("long"), "paragraph_count": F.regexp_count("raw", F.lit(documents.PARAGRAPH)).cast("long")})
+    return counted.withColumn("text", F.col("cleaned")).drop("cleaned")
+
+
+def with_spans(df: DataFrame) -> DataFrame:
+    """highlighted_spans of the raw text (none where the status isn't SUCCESS), and sentence and severity counts."""
+    none = F.slice(documents.evidence_array(F.lit("a")), 1, 0)
+    out = df.withColumn("highlighted_spans", F.when(F.col("status") == "SUCCESS", documents.evidence_array(F.col("raw"))).otherwise(none))
+    of = lambda *kinds: F.size(F.filter("highlighted_spans", lambda s: s["overall_severity"].isin(*kinds))).cast("long")
+    return out.withColumns({"sentence_count": F.size("highlighted_spans").cast("long"), "flagged_sentence_count": of("high", "medium"), "high_severity_count": of("high"), "medium_severity_count": of("medium")})
+
+
+METADATA = ("word_count", "char_count", "paragraph_count", "sentence_count", "flagged_sentence_count", "high_severity_count", "medium_severity_count")
 
 
 def respond(df: DataFrame, measure: Callable[[DataFrame], DataFrame], weights: dict[str, tuple[float, float, float]], intercept: float, reference: dict[str, float], top: int = 5) -> DataFrame:
     """df: what gated() gives. doc_id, status, code, metadata, assessment, evidence, highlighted_spans, disclaimers of each row.
 
-    Measurements are taken from the cleaned text. A text that is empty or under 20 words has only metadata; one under 75
-    words has probability 0.5, no contributions, but spans. Repeated rows stay.
+    Measurements are taken from the cleaned text, spans and their offsets, paragraphs and the dispersion of measurements
+    between them from the raw one. A text that is empty or under 20 words has only metadata; one under 75 words has
+    probability 0.5, no contributions, but spans. Repeated rows stay.
     """
     out = documents.verdict(documents.undecided(model.score(measure(df), weights, intercept)))
     read, judged = F.col("status") == "SUCCESS", F.col("code").isNull()
-    out = out.withColumn("highlighted_spans", F.when(read, documents.evidence_array(F.col("text"))).otherwise(F.slice(documents.evidence_array(F.lit("a")), 1, 0)))
+    out = with_spans(out)
     out = out.withColumn("_drivers", F.when(judged, _drivers(weights, reference)))
-    of = lambda *kinds: F.size(F.filter("highlighted_spans", lambda s: s["overall_severity"].isin(*kinds))).cast("long")
     way = lambda d: F.slice(F.filter("_drivers", lambda x: x["direction"] == d), 1, top)
-    out = out.withColumn("_flagged", of("high", "medium"))
     return out.select(
         "doc_id", "status", "code", F.lit(VERSION).alias("model_version"),
-        F.struct("word_count", "char_count", "paragraph_count", F.size("highlighted_spans").cast("long").alias("sentence_count"), F.col("_flagged").alias("flagged_sentence_count"), of("high").alias("high_severity_count"), of("medium").alias("medium_severity_count")).alias("metadata"),
-        F.when(read, F.struct("category", F.col("verdict").alias("verdict_code"), F.col("colour").alias("verdict_color"), F.col("confidence").alias("confidence_level"), F.round("probability", 4).alias("calibrated_ai_probability"), (~judged).alias("is_indeterminate"), F.round("logit", 4).alias("logit_score"), documents.summary(F.col("verdict"), F.col("_flagged")).alias("summary"))).alias("assessment"),
+        F.struct(*METADATA).alias("metadata"),
+        F.when(read, F.struct("category", F.col("verdict").alias("verdict_code"), F.col("colour").alias("verdict_color"), F.col("confidence").alias("confidence_level"), F.round("probability", 4).alias("calibrated_ai_probability"), (~judged).alias("is_indeterminate"), F.round("logit", 4).alias("logit_score"), documents.summary(F.col("verdict"), F.col("flagged_sentence_count")).alias("summary"))).alias("assessment"),
         F.when(read, F.struct(way("AI-skewed").alias("top_ai_evidence"), way("Human-skewed").alias("top_human_evidence"), F.create_map(*(x for c in weights for x in (F.lit(c), F.round(c, 4)))).alias("all_feature_measurements"))).alias("evidence"),
         "highlighted_spans",
         F.struct(*(F.lit(text).alias(k) for k, text in documents.DISCLAIMERS.items())).alias("disclaimers"),

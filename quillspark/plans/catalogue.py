@@ -287,6 +287,18 @@ def severity_counts(spark, d):
     return spans.select("doc_id", n("high", "medium").alias("flagged"), n("high").alias("high"), n("medium").alias("medium"), F.size("s").cast("long").alias("sentences"))
 
 
+_RAWEVIDENCE = _CLEAN.rsplit(", documents AS (", 1)[0] + ", " + _EVIDENCE.removeprefix("WITH ")
+_OFRAW = lambda c: f"CAST(CASE WHEN status = 'SUCCESS' THEN coalesce({c}, 0) ELSE 0 END AS BIGINT)"
+
+
+@query(f"{_RAWEVIDENCE}, n AS (SELECT doc_id, count(*) AS sentences, count_if(severity IN ('high', 'medium')) AS flagged, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, md5(string_agg(start_char || ':' || end_char, ',' ORDER BY sentence_idx)) AS spans FROM sev GROUP BY doc_id), np AS (SELECT doc_id, count(*) AS runs FROM q GROUP BY doc_id) SELECT doc_id, status, code, word_count, CAST(length(raw) AS BIGINT) AS char_count, coalesce(runs, 0) AS paragraph_count, {_OFRAW('sentences')} AS sentence_count, {_OFRAW('flagged')} AS flagged_sentence_count, {_OFRAW('high')} AS high_severity_count, {_OFRAW('medium')} AS medium_severity_count, CASE WHEN status = 'SUCCESS' THEN coalesce(spans, md5('')) ELSE md5('') END AS offsets_md5 FROM gated LEFT JOIN n USING (doc_id) LEFT JOIN np USING (doc_id)")
+def response_metadata(spark, d):
+    """Gate, counts and a digest of the span offsets of the response, which are all of the raw text (words are of the cleaned one)."""
+    out = response.with_spans(response.gated(docs(spark, d).select("doc_id", "text")))
+    offsets = F.md5(F.array_join(F.transform("highlighted_spans", lambda s: F.concat_ws(":", s["start_char"].cast("string"), s["end_char"].cast("string"))), ","))
+    return out.select("doc_id", "status", "code", *response.METADATA, offsets.alias("offsets_md5"))
+
+
 def _cleaned(spark, d) -> DataFrame:
     return docs(spark, d).withColumn("cleaned", X.strip(F.coalesce("text", F.lit(""))))
 
@@ -425,10 +437,10 @@ def _labels(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (1 - F.col("quality")).cast("int").alias("label"))
 
 
-def _with_distances(df: DataFrame, base: dict) -> DataFrame:
+def _with_distances(df: DataFrame, base: dict, paragraphs_of: str = "text") -> DataFrame:
     """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs."""
     out = model.distances(df, list(documents.BASE), base).withColumnsRenamed({f"dist_{k}": f"dist_human_{k}" for k in ("euclidean", "mahalanobis", "cosine")})
-    many = df.select("doc_id", "text").where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
+    many = df.select("doc_id", F.col(paragraphs_of).alias("text")).where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
     spread = model.dispersion(documents.features(documents.paragraph_spans(many)), list(documents.BASE))
     return out.join(spread, "doc_id", "left").fillna(0.0, ["dist_structural_dispersion"])
 
@@ -535,7 +547,7 @@ def features(spark, d):
 _CLEANSCORED = _CLEAN + ", " + _SCORED.removeprefix("WITH ")
 
 
-@query(f"{_CLEANSCORED}, q AS (SELECT g.doc_id, status, code, word_count, CASE WHEN code IS NULL THEN p WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 0.5 END AS p FROM gated g JOIN y USING (doc_id)) SELECT doc_id, status, code, word_count, round(p, 6) AS probability, CASE WHEN code IS NOT NULL THEN code " + " ".join(f"WHEN p < {v[0]} THEN '{v[1]}'" for v in L.VERDICTS) + " END AS verdict, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'Insufficient Evidence' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[2]}'" for v in L.VERDICTS) + " END AS category, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN '#8b949e' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[3]}'" for v in L.VERDICTS) + " END AS colour, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'Indeterminate' WHEN code IS NOT NULL THEN NULL WHEN p < 0.15 AND word_count >= 120 THEN 'High' WHEN p < 0.35 THEN 'Moderate' WHEN p < 0.65 THEN 'Low' WHEN p > 0.9 AND word_count >= 120 THEN 'High' ELSE 'Moderate' END AS confidence FROM q")
+@query(f"{_CLEANSCORED}, q AS (SELECT g.doc_id, status, code, word_count, CASE WHEN code IS NULL THEN p WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 0.5 END AS p FROM gated g JOIN y USING (doc_id)) SELECT doc_id, status, code, word_count, round(p, 6) AS probability, CASE WHEN code IS NOT NULL THEN code " + " ".join(f"WHEN p < {v[0]} THEN '{v[1]}'" for v in L.VERDICTS) + " END AS verdict, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'Insufficient Evidence' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[2]}'" for v in L.VERDICTS) + " END AS category, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN '#8b949e' WHEN code IS NOT NULL THEN NULL " + " ".join(f"WHEN p < {v[0]} THEN '{v[3]}'" for v in L.VERDICTS) + " END AS colour, CASE WHEN code = 'INSUFFICIENT_EVIDENCE' THEN 'N/A (Short Text)' WHEN code IS NOT NULL THEN NULL WHEN p < 0.15 AND word_count >= 120 THEN 'High' WHEN p < 0.35 THEN 'Moderate' WHEN p < 0.65 THEN 'Low' WHEN p > 0.9 AND word_count >= 120 THEN 'High' ELSE 'Moderate' END AS confidence FROM q")
 def analysis(spark, d):
     """The flagship: gate, measurements of the cleaned text, score, verdict and confidence of every document, in one projection."""
     gated = documents.gate(docs(spark, d)).withColumn("text", F.col("cleaned"))
@@ -549,7 +561,7 @@ def analysis_response(spark, d):
     essays, base = _essays(spark, d)
     weights, intercept = model.fit_logistic(essays, COLUMNS)
     human = {r.feature: r["mean"] for r in model.quantiles(essays.where("label = 0"), COLUMNS).collect()}  # 48 rows
-    measure = lambda df: _with_distances(documents.features(df), base)
+    measure = lambda df: _with_distances(documents.features(df), base, "raw")
     gated = files.stage(response.gated(docs(spark, d).select("doc_id", "text")))
     return response.respond(gated, measure, weights, intercept, human)
 

@@ -1,6 +1,7 @@
 """Queries against their SQL on the smallest tables, and rules on sentences of our own."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from quillspark.functions import lexicon
 from quillspark.functions import text as X
-from quillspark.operators import corpus, documents, model
+from quillspark.operators import corpus, documents, model, response
 from quillspark.plans import catalogue
 from quillspark.sources import files
 
@@ -27,7 +28,7 @@ def canon(rows):
     return sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe", "sentence_evidence", "severity_counts"])
+@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe", "sentence_evidence", "severity_counts", "response_metadata"])
 def test_matches_sql(spark, db, name):
     got = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
@@ -86,6 +87,26 @@ def test_evidence_items(spark):
     assert all((i.start_char, i.end_char, i.text, i.evidence_strength) == (0, len(text), text, "Strong") for i in items)
 
 
+def test_response_spans_are_of_the_raw_text(spark):
+    body = "We repaired the bicycle in the garage. The tapestry of resilience is profound! " + "It rained on the roof all day. " * 4
+    texts = [
+        f"Here is an admissions essay: {body}\n\n\nSecond paragraph, with a “quote.” Then more.\n\nI hope this essay helps you.",
+        f"Title: Things\n\n{body}\r\nOne more line.\r\n\r\nWord count: 40",
+        f"  \n# Header\n\n{body}\n \n{body}",
+        f"ﬁrst ½ {body}",  # NFKC changes the cleaned text's length
+        "Too short.", "", None,
+    ]
+    for r, text in zip(response.with_spans(response.gated(table(spark, *texts))).orderBy("doc_id").collect(), texts):
+        raw = text or ""
+        assert r.char_count == len(raw) and r.raw == raw
+        assert all(raw[s.start_char : s.end_char] == s.text for s in r.highlighted_spans)
+        assert r.sentence_count == len(r.highlighted_spans) and (r.sentence_count > 4) == (r.status == "SUCCESS")
+        assert all(raw[i.start_char : i.end_char] == i.text for s in r.highlighted_spans for i in s["items"])
+        if r.status == "SUCCESS":
+            assert r.high_severity_count >= 1
+            assert r.paragraph_count == len(re.findall(r"[^\n]+(?:\n[^\n]+)*", raw))
+
+
 def test_dedupe_keeps_one_of_each(spark):
     long = "The same beginning of a text that is long enough to compare, "
     rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "a"), (3, None), (4, long + "one"), (None, long + "two"), (4, long + "one")]
@@ -103,7 +124,7 @@ def test_gated_texts_have_no_verdict(spark):
     r = documents.verdict(documents.undecided(scored)).orderBy("doc_id").collect()
     assert [x.status for x in r] == ["ERROR", "INSUFFICIENT_LENGTH", "SUCCESS", "SUCCESS"]
     assert [x.probability for x in r] == [None, None, 0.5, 0.95] and [x.logit for x in r] == [None, None, 0.0, 3.0]
-    assert r[2].category == "Insufficient Evidence" and r[2].verdict == "INSUFFICIENT_EVIDENCE" and r[3].verdict == "LIKELY_AI_GENERATED" and r[3].confidence == "High"
+    assert r[2].category == "Insufficient Evidence" and r[2].verdict == "INSUFFICIENT_EVIDENCE" and r[2].confidence == "N/A (Short Text)" and r[3].verdict == "LIKELY_AI_GENERATED" and r[3].confidence == "High"
 
 
 def test_integrity_and_tallies(spark):
