@@ -59,3 +59,14 @@ VERDICTS = ((0.35, "LIKELY_HUMAN", "Likely Human", "#3fb950"), (0.65, "UNCERTAIN
 
 #: Category, colour and confidence of a text too short to judge.
 UNDECIDED = ("Insufficient Evidence", "#8b949e", "N/A (Short Text)")
+
+#: Of the statistical sentence splitter: signs that end a sentence, signs that end a word, the beginning of a word, marks of
+#: several signs, numbers, closing marks, and the thresholds of its log-likelihood tests.
+SENTENCE_ENDERS = "[.?!]"
+WORD_ENDERS = r"[)\";}\]*:@'({\[!?]"
+WORD_BEGINNERS = r"[^(\"`{\[:;&#*@)}\]\-,]"
+MARKS = r"(?:-{2,}|\.{2,}|(?:\.\s){2,}\.)"
+NUMBER = r"^-?[.,]?\d[\d,.\-]*\.?$"
+CLOSERS = r"^[\"')\]}]+?(?:\s+|(?=--)|$)"
+INNER_MARKS = [";", ":", ",", ".", "!", "?"]
+ABBREVIATION_SCORE, COLLOCATION_SCORE, STARTER_SCORE = 0.3, 7.88, 30.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators import corpus, documents, model, response
+from ..operators import corpus, documents, model, punkt, response
 from ..sources import files
 
 QUERIES: dict = {}
@@ -129,6 +129,24 @@ def sentence_spans(spark, d):
     return documents.sentence_spans(docs(spark, d))
 
 
+@query()
+def punkt_abbreviations(spark, d):
+    """Abbreviations of all documents with their counts and scores. SQL has no look-ahead to cut tokens with; tests hold it against a plain restatement."""
+    return rounded(punkt.learn(docs(spark, d)).abbreviations, "type", "held", "bare")
+
+
+@query()
+def punkt_sentences(spark, d):
+    """Sentences by the statistics that all documents give."""
+    return punkt.sentence_spans(docs(spark, d), punkt.learn(docs(spark, d)))
+
+
+@query()
+def punkt_untrained(spark, d):
+    """Sentences by initials, numbers and case alone, which is what is left where nothing was learned."""
+    return punkt.sentence_spans(docs(spark, d))
+
+
 @query(_SENT + " SELECT d.doc_id, CAST(d.n_chars // 2 AS BIGINT) AS \"offset\", s.sentence_idx FROM documents d LEFT JOIN sent s ON s.doc_id = d.doc_id AND d.n_chars // 2 >= s.start_char AND d.n_chars // 2 < s.end_char")
 def sentence_at_offset(spark, d):
     t = docs(spark, d)
