@@ -3,8 +3,9 @@
 Base spans come from three fixed patterns. The method adds spans: a candidate is a run of token characters; a window
 slides over it and the Shannon entropy of its characters is kept by incremental counts (the sum of c log2 c changes
 only by the terms of the character that leaves and of the one that enters). Each class of characters (hexadecimal,
-base64) has its threshold. Candidates on the allow list (UUIDs, placeholders, repeated alphabets, paths and words
-without digits) are suppressed, as are those that touch a base span.
+base64) has its threshold. Candidates on the allow list are suppressed: UUIDs, words without digits, and those that hold
+fewer than 16 characters, or no digit or no letter, beside placeholder words and repeated alphabets. A key that only
+stands beside such a word, or has one inside, is still found. Candidates that touch a base span are left to it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a window must exceed by class.
 BITS = {"hex": 3.0, "base64": 3.6}
-#: Candidates that are never secrets: UUIDs, placeholder words and alphabets, paths of words, and words alone.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|changeme|your[_-]?(?:key|token|secret)|x{6,}|0{8,}|abcdefgh|12345678"
+#: Candidates that are never secrets: UUIDs, and those of which placeholder words and alphabets leave too little.
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|x{6,}|0{8,}|abcdefgh|12345678"
+LEFT = 16
 
 
 #: Matches whose offsets are added up together, so that building the array is not quadratic in the number of matches.
@@ -92,7 +95,7 @@ def scan(docs: DataFrame) -> DataFrame:
         located(t, HEX, "hex").alias("hex"),
         located(t, CANDIDATE, "entropy").alias("tokens"),
     ).withColumn("base", F.concat("assign", "access", "hex"))
-    high = f"""filter(tokens, x -> x.value rlike '[0-9]' and x.value rlike '[A-Za-z]' and not x.value rlike '{ALLOWED}'
+    high = f"""filter(tokens, x -> not x.value rlike '{UUID}' and exists(array(regexp_replace(x.value, '{PLACEHOLDER}', '')), o -> length(o) >= {LEFT} and o rlike '[0-9]' and o rlike '[A-Za-z]')
         and not exists(base, b -> b.start < x.end and x.start < b.end)
         and {most_entropy('x.value')} > if(x.value rlike '^(?:[0-9a-f]+|[0-9A-F]+)$', {BITS['hex']}D, {BITS['base64']}D))"""
     order = F.array(*map(F.lit, KINDS))
@@ -127,7 +130,7 @@ def _spans_sql(kind: str, pattern: str) -> str:
 ORACLE_SQL = f"""WITH t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
 base AS (SELECT * FROM ({_spans_sql("assign", ASSIGN)}) WHERE length(regexp_extract(value, '{ASSIGN.replace("'", "''")}', 2)) >= 8
     UNION ALL {_spans_sql("access", ACCESS)} UNION ALL {_spans_sql("hex", HEX)}),
-tokens AS (SELECT * FROM ({_spans_sql("entropy", CANDIDATE)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{ALLOWED}')),
+tokens AS (SELECT * FROM ({_spans_sql("entropy", CANDIDATE)}) WHERE NOT regexp_matches(value, '{UUID}') AND length(regexp_replace(value, '{PLACEHOLDER}', '', 'g')) >= {LEFT} AND regexp_matches(regexp_replace(value, '{PLACEHOLDER}', '', 'g'), '[0-9]') AND regexp_matches(regexp_replace(value, '{PLACEHOLDER}', '', 'g'), '[A-Za-z]')),
 scored AS (SELECT *, list_max(list_transform(range(1, greatest(length(value) - {WINDOW - 2}, 2)), lambda i: (-list_sum(list_transform(list_distinct(string_split(substr(value, i, {WINDOW}), '')), lambda c: (length(substr(value, i, {WINDOW})) - length(replace(substr(value, i, {WINDOW}), c, ''))) / {WINDOW}.0 * log2((length(substr(value, i, {WINDOW})) - length(replace(substr(value, i, {WINDOW}), c, ''))) / {WINDOW}.0)))))) AS bits FROM tokens),
 high AS (SELECT doc, kind, value, start, "end" FROM scored s WHERE bits > CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') THEN {BITS["hex"]} ELSE {BITS["base64"]} END
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc = s.doc AND b.start < s."end" AND s.start < b."end")),
