@@ -129,7 +129,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Long texts are cut whole; further columns go; an empty table gives an empty result.
     """
     docs = _keyed(docs)
-    spans = repeated_spans(docs.select("doc_id", "text"), min_words).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs.select("doc_id", "text"), min_words).groupBy("k", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # rows alike give each span once
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
