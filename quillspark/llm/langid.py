@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .shared import mapped, rows_of, struct
 
@@ -157,20 +158,25 @@ def code_lengths(model: ByteModel, texts: list[bytes]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 65536, most: int = 20_000) -> DataFrame:
-    """A bounded sample of labelled rows, about ``per_language`` of each label, drawn by a hash of doc_id.
+    """A bounded sample of labelled rows: ``per_language`` of each label at most, drawn by a hash of doc_id and text.
 
-    Only documents outside the held-out quarter are drawn; of one longer than ``longest`` characters a stretch of that
-    length, from a place that the hash gives. With many labels each has fewer rows, so that all have about ``most``.
-    The bounds cover fitting only; every document is scored, whole.
+    Only documents outside the held-out quarter are drawn, and of rows alike one; of a text longer than ``longest``
+    characters a stretch of that length, from a place that the hash gives. With many labels each has fewer rows, so that
+    all have at most ``most``, or one each. The bounds cover fitting only; every document is scored, whole.
     """
     rows = rows_of(docs, doc_id="long", text="string", lang="string").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count()
-    n_labels = counts.count()
+    rows = rows.withColumn("drawn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("drawn", 0.05).alias("kinds"))
+    n_labels = kinds.count()
     own = max(1, min(per_language, most // max(n_labels, 1)))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    at = F.pmod(drawn, F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
-    counted = rows.join(F.broadcast(counts) if n_labels <= BROADCAST_LABELS else counts, "lang")
-    return counted.where(drawn / F.lit(float(1 << 30)) * F.col("count") < own).select(F.when(F.length("text") > longest, F.substr("text", at.cast("int"), F.lit(longest))).otherwise(F.col("text")).alias("text"), "lang")
+    # Twice as many as wanted pass the hash, all of a label with few; what is left is small enough to rank.
+    counted = rows.join(F.broadcast(kinds) if n_labels <= BROADCAST_LABELS else kinds, "lang")
+    few = counted.where(F.col("drawn") / F.lit(float(1 << 62)) * F.col("kinds") < 2.0 * own + 50)
+    at = F.pmod("drawn", F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    stretch = F.when(F.length("text") > longest, F.substr("text", at.cast("int"), F.lit(longest))).otherwise(F.col("text"))
+    alike = few.select("lang", "drawn", stretch.alias("text")).groupBy("lang", "drawn").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    return alike.withColumn("place", place).where(F.col("place") <= own).select("text", "lang")
 
 
 def held_out():
@@ -178,7 +184,7 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = 400, max_order: int = 3, min_count: int = 16) -> ByteModel | None:
-    rows = training_rows(docs, per_language).orderBy("lang", "text").collect()  # bounded by per_language, longest and most
+    rows = training_rows(docs, per_language).orderBy("lang", "text").collect()  # at most per_language rows of each label, of at most longest characters
     return fit_bytes([r.text for r in rows], [r.lang for r in rows], max_order, min_count) if rows else None
 
 
