@@ -5,7 +5,7 @@ validated (check digit, octets, number ranges, calendar). Card numbers are sough
 groups, and only those with a right check digit are taken, so that digits beside another value don't hide it; the other
 kinds are found in one pass over the rest, by patterns that only match what is valid. Dates are yyyy-mm-dd, dd-mm-yyyy
 or, where the second number is over 12, mm-dd-yyyy, with ``-``, ``/`` or ``.``. A value becomes an array of symbols with
-a modulus each: letters 26, digits 10, octets 256, days of two centuries 17 x 4297. Eight keyed Feistel rounds move one half of
+a modulus each: letters as many as their script's run of them has, digits 10, octets 256, days of two centuries 17 x 4297. Eight keyed Feistel rounds move one half of
 the array by a key stream drawn from SHA-256 over key, kind, round and the other half, each symbol inside its modulus,
 which is a permutation of all values of that shape. The pseudonym has the same format, and equal values give equal
 pseudonyms in every document. Mail domains stay, as do a telephone's country code and every value that is not valid.
@@ -28,7 +28,7 @@ from .shared import rows_of
 #: Even, so that the halves end in their places.
 ROUNDS = 8
 #: Fixed patterns, in Java's syntax. A value must not touch a letter, digit or joining sign on its left.
-EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}\p{M}0-9._%+-]++@[\p{L}0-9](?:[\p{L}\p{M}0-9.-]*[\p{L}\p{M}0-9])?\.\p{L}{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 IP = rf"(?<![\p{{L}}0-9.-]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}0-9-]|\.\d)"
 SSN = r"(?<![\p{L}0-9.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}0-9-])"
@@ -45,6 +45,14 @@ MARK = "\ufdd0"
 KINDS = {"marked": f"{MARK}[0-9 -]+{MARK}", "email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "phone": PHONE, "abroad": ABROAD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 PLAIN = "|".join(f"(?:{p})" for k, p in {**KINDS, "card": CARD}.items() if k != "marked")
+#: Country codes of telephone numbers: those of one and two digits; all others have three.
+COUNTRY = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Runs of code points within which a letter or digit of a mail address is permuted: first and last. A letter of none of
+#: them moves among the sixteen code points that share all but the last hexadecimal digit.
+LETTERS = (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F),
+    (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
 FIRST_DAY, YEARS, DAYS = "1900-01-01", (17, 4297), 17 * 4297
 #: Steps within which every date whose day is over 12 comes to another such date.
 WALK = 64
@@ -59,12 +67,21 @@ def feistel(v: str, m: str, kind: str, key: str) -> str:
     """SQL of the permuted array: names of arrays of int of one length (values and moduli) and of the kind.
 
     The halves change places after each round, so that one expression moves both; after an even number they are back.
+    A single symbol has no other half: it goes to its place in the order of keyed digests of all symbols.
     """
     half = f"cast(ceil(size({v}) / 2.0D) as int)"
     stream = f"sha2(concat_ws('|', '{key}', {kind}, cast(r as string), array_join(transform(s.r, o -> cast(o as string)), ',')), 256)"
     moved = _let(stream, "h", "transform(s.l, (x, i) -> cast((x + cast(conv(substr(h, 1 + 4 * (i % 16), 4), 16, 10) as int)) % s.m[i] as int))")
     start = f"named_struct('l', slice({v}, 1, {half}), 'r', slice({v}, {half} + 1, size({v})), 'm', slice({m}, 1, {half}), 'n', slice({m}, {half} + 1, size({m})))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> named_struct('l', s.r, 'r', {moved}, 'm', s.n, 'n', s.m), s -> concat(s.l, s.r))"
+    rounds = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> named_struct('l', s.r, 'r', {moved}, 'm', s.n, 'n', s.m), s -> concat(s.l, s.r))"
+    digests = f"array_sort(transform(sequence(0, {m}[0] - 1), i -> named_struct('h', sha2(concat_ws('|', '{key}', {kind}, 'one', cast({m}[0] as string), cast(i as string)), 256), 'i', i)))"
+    return f"if(size({v}) = 1, array(cast(array_position(transform({digests}, d -> d.i), {v}[0]) as int) - 1), {rounds})"
+
+
+def _of_class(x: str, first: str, last: str, else_: str) -> str:
+    """SQL that picks what to give of the run of code points that holds the character x; n is its code point."""
+    runs = " ".join(f"when n between {a} and {b} then {first.format(a=a, b=b)}" for a, b in LETTERS)
+    return _let(f"ascii({x})", "n", f"case {runs} when {x} rlike '[\\\\p{{L}}]' then {last} else {else_} end")
 
 
 def _luhn(digits: str) -> str:
@@ -92,11 +109,11 @@ def _parsed(x: str) -> str:
     digits = _digits(x)
     card = _let(digits, "d", f"if({_luhn('d')} % 10 = 0, slice(d, 1, size(d) - 1), null)")
     # All but the country code.
-    head = f"regexp_extract({x}, '^([+][0-9]{{1,3}}[ .-]?)?', 0)"
+    head = f"regexp_extract({x}, '^([+]({COUNTRY})[ .-]?)?', 0)"
     number = f"substr({x}, length({head}) + 1)"
     local = f"split(substring_index({x}, '@', 1), '')"
-    code = "transform(c, x -> case when x between '0' and '9' then ascii(x) - 48 when x between 'a' and 'z' then ascii(x) - 97 when x between 'A' and 'Z' then ascii(x) - 65 else 0 end)"
-    wide = "transform(c, x -> case when x between '0' and '9' then 10 when x between 'a' and 'z' or x between 'A' and 'Z' then 26 else 1 end)"
+    code = f"transform(c, x -> {_of_class('x', 'n - {a}', 'n % 16', '0')})"
+    wide = f"transform(c, x -> {_of_class('x', '{b} - {a} + 1', '16', '1')})"
 
     def row(kind: str, v: str, m: str, parts: str) -> str:
         return _let(v, "v", f"if(v is null, null, named_struct('kind', '{kind}', 'v', v, 'm', {m}, 'parts', {parts}))")
@@ -116,7 +133,8 @@ def _written(v: str, kind: str, parts: str) -> str:
     new = f"date_add(date'{FIRST_DAY}', {v}[0] * {YEARS[1]} + {v}[1])"
     form = f"date_format({new}, case when length({parts}[0]) = 4 then 'yyyy-MM-dd' when int({parts}[1]) > 12 then 'MM-dd-yyyy' else 'dd-MM-yyyy' end)"
     form = f"replace(if(length({parts}[0]) = 1 or length({parts}[1]) = 1, regexp_replace({form}, '(^|-)0', '$1'), {form}), '-', {parts}[3])"
-    email = f"concat(array_join(transform(slice({parts}, 1, size({v})), (x, i) -> case when x between '0' and '9' then char(48 + {v}[i]) when x between 'a' and 'z' then char(97 + {v}[i]) when x between 'A' and 'Z' then char(65 + {v}[i]) else x end), ''), element_at({parts}, -1))"
+    sign = _let(_of_class("x", f"{{a}} + {v}[i]", f"n - n % 16 + {v}[i]", "n"), "u", "if(u < 128, char(u), decode(unhex(lpad(hex(u), 8, '0')), 'UTF-32'))")
+    email = f"concat(array_join(transform(slice({parts}, 1, size({v})), (x, i) -> {sign}), ''), element_at({parts}, -1))"
     check = f"concat({v}, array((10 - {_luhn(f'concat({v}, array(0))')} % 10) % 10))"
     # Digits over those of the format, in order.
     filled = _let(f"if({kind} = 'card', {check}, {v})", "d", f"aggregate({parts}, named_struct('o', cast(array() as array<string>), 'n', 0), (a, x) -> if(x between '0' and '9' and length(x) = 1, named_struct('o', concat(a.o, array(cast(d[a.n] as string))), 'n', a.n + 1), named_struct('o', concat(a.o, array(x)), 'n', a.n)), a -> array_join(a.o, ''))")
