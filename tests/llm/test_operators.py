@@ -4,11 +4,14 @@ import hashlib
 import itertools
 import math
 import re
+import unicodedata
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import chroma, decontaminate, html_blocks, langid, pieces, pii, secret_scan, simhash, substrings, url_filter
@@ -64,6 +67,19 @@ def test_secrets(spark):
     assert spark.sql(f"select {secret_scan.most_entropy(chr(39) + word + chr(39))}").first()[0] == pytest.approx(best)
 
 
+def test_secrets_planted(spark):
+    """Keys between words, beside placeholders and with an alphabet inside are found; placeholders, paths and UUIDs are not."""
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n: "a1" + "".join(rng.choice(letters, n))
+    planted = [f"use {key(30)} here" for _ in range(60)] + [f"{key(27)}/example/{key(27)}" for _ in range(20)] + [f"{key(12)}12345678{key(12)}" for _ in range(20)] + [f"xxxxxxxx{key(24)}" for _ in range(20)]
+    clean = ["your_api_key_example_12345678", "path/to/some/module/without/digits", "123e4567-e89b-12d3-a456-426614174000", "xxxxxxxxxxxxxxxxxxxx1a", "placeholder_placeholder_1", "0000000000000000000000a1", "aaaaaaaaaaaaaaaaaaaaaaaa1", "changeme-changeme-changeme-9"] * 5
+    rows = secret_scan.scan(table(spark, list(enumerate(planted + clean)))).collect()
+    hit = [any(x.kind == "entropy" for x in r.secrets) for r in sorted(rows, key=lambda r: r.doc_id)]
+    recall, found = np.mean(hit[: len(planted)]), sum(hit)
+    assert recall >= 0.95 and sum(hit[: len(planted)]) / found >= 0.95
+
+
 def test_secrets_long_candidate(spark):
     """Every window counted anew, on a candidate of thousands of characters, and many matches of one kind."""
     rng = np.random.default_rng(8)
@@ -127,6 +143,30 @@ def test_pii_neighbours(spark):
     assert len(set(new)) == len(new) > 40000 and all(n[3:5] > "12" for n in new)
 
 
+def test_pii_mailboxes_of_any_script(spark):
+    """No letter stays for want of a modulus, and every run of letters is permuted within itself."""
+    boxes = ["张伟", "张", "josé.é", "Ωmega", "иван", "ß", "नमन", "うえ", "한글", "e\u0301ric"]
+    rows = pii.pseudonymise(table(spark, [(i, f"to {b}@example.com now") for i, b in enumerate(boxes)]), KEY).collect()
+    for r in rows:
+        old, new = boxes[r.doc_id], r.text.split("@")[0].removeprefix("to ")
+        assert [e.kind for e in r.entities] == ["email"] and len(new) == len(old) and r.text.endswith("@example.com now") and new != old
+        assert [unicodedata.category(c) for c in old] == [unicodedata.category(c) for c in new]
+    letters = [chr(c) for a, b in pii.LETTERS if b < 0x900 for c in range(a, b + 1)]
+    values = spark.createDataFrame([(f"{a}@x.de",) for a in letters] + [(f"{a}{b}@x.de",) for a in "aé7" for b in letters], "v string")
+    made = [r.new for r in values.selectExpr(f"{pii.pseudonym('v', KEY)}.new as new").collect()]
+    assert len(set(made)) == len(made)
+    ones = made[letters.index("a") : letters.index("z") + 1]
+    assert sorted(x[0] for x in ones) == [chr(97 + i) for i in range(26)] and len({(ord(x[0]) - 97 - i) % 26 for i, x in enumerate(ones)}) > 5  # no constant shift
+
+
+def test_pii_country_codes(spark):
+    numbers = {"+15557130042": "+1", "+447911123456": "+44", "+74951234567": "+7", "+998901234567": "+998", "+1 (706) 555-3138": "+1 ", "+351912345678": "+351"}
+    rows = pii.pseudonymise(table(spark, list(enumerate(numbers))), KEY).collect()
+    for r, (old, code) in zip(rows, numbers.items()):
+        assert r.text.startswith(code) and len(r.text) == len(old)
+        assert sum(a != b for a, b in zip(r.text[len(code) :], old[len(code) :])) >= 4
+
+
 def test_substrings(spark):
     shared = "The shared passage goes on " + " ".join(f"word{i}" for i in range(50)) + ". It ends."
     rows = [(101, f"first text before {shared} after it"), (102, f"another opening here {shared}\nown words"), (103, "short line"), (104, "short line"), *ODD]
@@ -137,6 +177,15 @@ def test_substrings(spark):
     assert by[103].text == by[104].text == "short line" and len(got) == len(rows)
 
 
+def test_substrings_rows_alike_give_each_span_once(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    docs = table(spark, [(1, passage + "\nown line of the first")] + [(2, "another line here\n" + passage)] * 300)
+    spans = substrings.repeated_spans(docs).groupBy("k", "th").agg(F.count("*").alias("n"), F.countDistinct("start", "end").alias("distinct")).where("k = 2").first()
+    assert spans.n == 300 * spans.distinct
+    rows = [r for r in substrings.deduplicate(docs).collect() if r.doc_id == 2]
+    assert len(rows) == 300 and {r.text.strip() for r in rows} == {"another line here"}
+
+
 def test_substrings_short_lines(spark):
     line, han, block = "Licensed under the terms of this file.", "本文件依照許可證條款授權使用請勿移除", "Tiny one\n  two here"
     rows = [(1, f"own words of one\n{line}\nmore of one\n\n{han}"), (2, f"other words of two\n  {line.upper()}\nmore of two\n{han}\nend of two"), (3, f"third opening\n\n{block}\n\nits end"), (4, f"fourth opening\n\n{block}\n\nan end of four"), (5, f"{line}\nbetween the two\n{line}")]
@@ -366,6 +415,21 @@ def _plain(model, text):
     return bits
 
 
+def test_langid_sample_is_bounded_and_leaves_no_label_out(spark):
+    a, b, c = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    cases = {
+        "ids null": [(None, f"text number {i}", "en") for i in range(3000)],
+        "one id": [(a, f"text number {i}", "en") for i in range(3000)],
+        "rows alike": [(b, "the same text", "en")] * 3000,
+        "many and few": [(i, f"text {i}", "en") for i in range(3000)] + [(c, "ein Satz", "de")] * 5,
+    }
+    for name, rows in cases.items():
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("coalesce(pmod(crc32(cast(doc_id as string)), 4), 0) <> 2").repartition(4)
+        got = {r.lang: r.n for r in langid.training_rows(docs, 100).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        assert set(got) == {r.lang for r in docs.select("lang").distinct().collect()}, name
+        assert got["en"] == (1 if name == "rows alike" else 100), name
+
+
 def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = [r.doc_id for r in out]
