@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each column, in one pass."""
@@ -152,10 +154,9 @@ def weights_table(spark, weights: dict[str, tuple[float, float, float]]) -> Data
 def evaluate(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Confusion counts, rates, ROC-AUC (average ranks; 0.5 for one class) and Brier score of y, pred, p, whole or by columns."""
     by = by or []
-    # Sums of ranks come from counts at each score, so that no window sees all rows of a slice.
+    # Sums of ranks come from counts at each score and a prefix sum over ranges of scores: no task sees all of them.
     at = df.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = at.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = ranks.before(at, "p", "n", by)
     rank_sum = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_r"))
     cell = lambda y, p: F.count_if((F.col("y") == y) & (F.col("pred") == p))
     agg = df.groupBy(*by).agg(F.count("*").alias("n"), cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier_score"))
@@ -194,8 +195,7 @@ def anomalies(df: DataFrame, human: DataFrame, weights: dict[str, tuple[float, f
 
 
 def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, mean, std (population, tiny counts as 1), median, p10, p90 (linear)."""
-    shares = F.array(*map(F.lit, (0.5, 0.1, 0.9)))
-    each = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.percentile(c, shares).alias("q")) for c in columns]
-    rows = df.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r"))  # all columns in one pass
-    return rows.select("r.feature", "r.mean", "r.std", *(F.col("r.q")[i].alias(n) for i, n in enumerate(("median", "p10", "p90")))).withColumn("std", F.when(F.col("std") <= 1e-6, 1.0).otherwise(F.col("std")))
+    """feature, mean, std (population, tiny counts as 1), median, p10, p90 (linear): exact, by repeated counts over ranges."""
+    stats, found = moments(df, columns), ranks.quantiles(df, columns, (0.5, 0.1, 0.9))
+    rows = [(c, *map(float, stats[c]), *found[c]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, mean double, std double, median double, p10 double, p90 double").withColumn("std", F.when(F.col("std") <= 1e-6, 1.0).otherwise(F.col("std")))
