@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import files
 from . import ranks
 
 
@@ -105,11 +107,68 @@ def contributions(df: DataFrame, weights: dict[str, tuple[float, float, float]],
 
 def fit_logistic(df: DataFrame, columns: list[str], label: str = "label", c: float = 1.0):
     """L2 logistic regression on standardised columns: weights (coefficient, mean, scale) by column, and the intercept."""
+    return fit_many(df, {"": columns}, label, c)[""]
+
+
+def fit_many(df: DataFrame, families: dict[str, list[str]], label: str = "label", c: float = 1.0, tolerance: float = 1e-9, most: int = 100) -> dict[str, tuple[dict[str, tuple[float, float, float]], float]]:
+    """L2 logistic regressions of several families of columns, all in the same scans: weights by column, and the intercept.
+
+    Newton steps on the sum of log losses times c plus half the squared weights (the intercept goes free). Each pass adds
+    up, in every task, the loss, gradient and Hessian of each family at its own point; the sums, of a size that columns
+    alone give, are solved on the driver. A step that makes the loss greater is halved. Nulls count as the mean.
+    """
+    columns = sorted({x for own in families.values() for x in own})
     stats = moments(df, columns)
-    ready = VectorAssembler(inputCols=columns, outputCol="x").transform(standardise(df, columns, stats)).select("x", F.col(label).cast("double").alias("label"))
-    n = ready.count()
-    m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(ready)
-    return {k: (float(w), stats[k][0], stats[k][1] or 1.0) for k, w in zip(columns, m.coefficients)}, float(m.intercept)
+    mean, scale = np.array([stats[x][0] for x in columns]), np.array([stats[x][1] or 1.0 for x in columns])
+    places = {name: np.array([columns.index(x) for x in own], int) for name, own in families.items()}
+    rows = df.select(*(F.col(x).cast("double").alias(x) for x in columns), F.col(label).cast("double").alias("_y")).where("_y is not null")
+    point = {name: np.zeros(len(own) + 1) for name, own in families.items()}  # the intercept comes last
+
+    def sums_at(points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        shipped = df.sparkSession.sparkContext.broadcast(points)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {name: np.zeros(1 + len(w) + len(w) ** 2) for name, w in shipped.value.items()}
+            for batch in batches:
+                x = np.stack([np.asarray(v.fill_null(np.nan), float) for v in batch.columns[:-1]], axis=1)
+                x = np.where(np.isnan(x), 0.0, (x - mean) / scale)
+                y = np.asarray(batch.columns[-1], float)
+                for name, w in shipped.value.items():
+                    own = np.column_stack([x[:, places[name]], np.ones(len(y))])
+                    logit = own @ w
+                    p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+                    total[name] += np.concatenate([[np.sum(np.logaddexp(0, logit) - y * logit)], own.T @ (p - y), (own.T @ (own * (p * (1 - p))[:, None])).ravel()])
+            for name, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.arange(len(v))), pa.array(v)], names=["family", "i", "v"])
+
+        out = {name: np.zeros(1 + len(w) + len(w) ** 2) for name, w in points.items()}
+        for r in rows.mapInArrow(run, "family string, i bigint, v double").groupBy("family", "i").agg(F.sum("v").alias("v")).collect():
+            out[r.family][r.i] = r.v
+        return out
+
+    def penalised(name: str, sums: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        ridge = np.append(np.ones(len(w) - 1), 0.0)
+        return c * sums[0] + 0.5 * float(ridge @ (w * w)), c * sums[1 : 1 + len(w)] + ridge * w, c * sums[1 + len(w) :].reshape(len(w), len(w)) + np.diag(ridge)
+
+    state = {name: penalised(name, v, point[name]) for name, v in sums_at(point).items()}
+    step = {name: -np.linalg.lstsq(state[name][2], state[name][1], rcond=None)[0] for name in families}
+    moving = set(families)
+    for _ in range(most):
+        if not moving:
+            break
+        tried = {name: point[name] + step[name] for name in moving}
+        for name, sums in sums_at(tried).items():
+            new = penalised(name, sums, tried[name])
+            if new[0] > state[name][0] + 1e-12 * abs(state[name][0]):
+                step[name] = step[name] / 2
+                if np.abs(step[name]).max() < tolerance:
+                    moving.discard(name)
+                continue
+            if np.abs(step[name]).max() < tolerance:
+                moving.discard(name)
+            point[name], state[name] = tried[name], new
+            step[name] = -np.linalg.lstsq(new[2], new[1], rcond=None)[0]
+    return {name: ({x: (float(w), stats[x][0], stats[x][1] or 1.0) for x, w in zip(own, point[name])}, float(point[name][-1])) for name, own in families.items()}
 
 
 def fit_forest(df: DataFrame, columns: list[str], label: str = "label", seed: int = 42):
@@ -125,25 +184,74 @@ def predict_forest(m, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({"p": p, "pred": F.when(p >= 0.5, 1).otherwise(0)}).drop("_x", "_p", "_raw", "_class")
 
 
-def permutation_importance(m, df: DataFrame, columns: list[str], label: str = "label", key: str = "doc_id", repeats: int = 10, seed: int = 42) -> DataFrame:
+def trees_of(m) -> list[dict[str, np.ndarray]]:
+    """The forest's trees as arrays by node: feature (-1: a leaf), threshold, left, right and share of class 1."""
+    path = f"{files.shared_dir(SparkSession.active())}/forest-{uuid.uuid4().hex}"
+    m.write().save(path)
+    by: dict[int, list] = {}
+    for r in SparkSession.active().read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():  # a node is a row: 127 at most for each tree of depth 6
+        by.setdefault(r.treeID, []).append(r)
+    out = []
+    for own in by.values():
+        own.sort(key=lambda r: r.id)
+        stats = np.array([r.impurityStats for r in own])
+        leaf = np.array([r.leftChild < 0 for r in own])
+        out.append({"feature": np.where(leaf, -1, [r.split.featureIndex for r in own]), "threshold": np.array([0.0 if r.leftChild < 0 else r.split.leftCategoriesOrThreshold[0] for r in own]), "left": np.array([r.leftChild for r in own]), "right": np.array([r.rightChild for r in own]), "share": stats[:, 1] / stats.sum(1)})
+    return out
+
+
+def tree_votes(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Share of class 1 in the leaf that each row falls in."""
+    at = np.zeros(len(x), int)
+    while True:
+        feature = tree["feature"][at]
+        inner = np.flatnonzero(feature >= 0)
+        if not len(inner):
+            return tree["share"][at]
+        own = at[inner]
+        at[inner] = np.where(x[inner, feature[inner]] <= tree["threshold"][own], tree["left"][own], tree["right"][own])
+
+
+def permutation_importance(m, df: DataFrame, columns: list[str], label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, mean and std of the accuracy lost where a column's values are dealt anew, over repeats.
 
-    Rows stand in the order of a seeded hash; each repeat takes a column's values from the row a drawn number of places
-    on, round the end. All columns and repeats are one plan: rows x columns x repeats, meant for evaluation sets.
+    Rows get numbers in the parts they are in; each repeat joins every row once with the one that a keyed permutation
+    gives it, and all columns are tried on that pair: for each, only the trees that ask for it vote again. Tasks add up
+    how often they are right.
     """
-    values = F.array(*(F.col(c).cast("double") for c in columns))
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1
-    rows = df.select(values.alias("v"), F.col(label).cast("int").alias("y"), place.alias("at"))
-    n = df.count()
-    steps = np.random.RandomState(seed).randint(1, max(n, 2), repeats).tolist()
-    tries = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(s).alias("s")) for r, s in enumerate(steps)))).alias("t")
-    asked = rows.select("v", "y", "at", tries).select("v", "y", "t.r", F.pmod(F.col("at") + F.col("t.s"), F.lit(max(n, 1))).alias("at"))
-    dealt = asked.join(rows.select(F.col("v").alias("o"), "at"), "at").select("y", "r", F.explode(F.expr(f"transform(sequence(0, {len(columns) - 1}), k -> struct(k, transform(v, (x, i) -> if(i = k, o[i], x)) as v))")).alias("e")).select("y", "r", "e.k", "e.v")
-    as_columns = lambda d: d.select("*", *(F.col("v")[i].alias(c) for i, c in enumerate(columns)))
-    right = F.avg((F.col("pred") == F.col("y")).cast("double"))
-    base = predict_forest(m, as_columns(rows), columns).agg(right.alias("base"))
-    each = predict_forest(m, as_columns(dealt), columns).groupBy("k", "r").agg(right.alias("own")).crossJoin(F.broadcast(base))
-    return each.groupBy(F.element_at(F.array(*map(F.lit, columns)), F.col("k") + 1).alias("feature")).agg(F.avg(F.col("base") - F.col("own")).alias("permutation_mean"), F.stddev_pop(F.col("base") - F.col("own")).alias("permutation_std"))
+    trees, size = trees_of(m), len(columns)
+    asks = [np.unique(t["feature"][t["feature"] >= 0]) for t in trees]
+    rows, n = ranks.numbered(df.select(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns)).alias("v"), F.col(label).cast("int").alias("y")))
+    if not n:
+        return df.sparkSession.createDataFrame([], "feature string, permutation_mean double, permutation_std double")
+    shipped = df.sparkSession.sparkContext.broadcast((trees, asks))
+    turns = reduce(lambda a, b: a.unionByName(b), [rows.select(F.lit(r).alias("turn"), "v", "y", ranks.permuted(F.col("row"), n, seed, r).alias("row")) for r in range(repeats)])
+    dealt = turns.join(rows.select("row", F.col("v").alias("o")), "row").select("turn", "y", "v", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, asks = shipped.value
+        right = np.zeros((repeats, size + 1), np.int64)  # the last: nothing dealt anew
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            x, o = flat("v"), flat("o")
+            turn, y = (np.asarray(batch.column(c)) for c in ("turn", "y"))
+            votes = [tree_votes(t, x) for t in trees]
+            whole = np.sum(votes, axis=0)
+            for k in range(size + 1):
+                changed = whole
+                if k < size:
+                    swapped = x.copy()
+                    swapped[:, k] = o[:, k]
+                    changed = whole + sum((tree_votes(t, swapped) - v for t, v, a in zip(trees, votes, asks) if k in a), np.zeros(len(x)))
+                right[:, k] += np.bincount(turn, (changed >= 0.5 * len(trees) - 1e-9) == y, repeats).astype(np.int64)
+        i, k = np.divmod(np.arange(right.size), size + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(right.ravel())], names=["turn", "k", "hits"])
+
+    hits = np.zeros((repeats, size + 1))
+    for r in dealt.mapInArrow(run, "turn int, k int, hits bigint").groupBy("turn", "k").agg(F.sum("hits").alias("hits")).collect():  # repeats x (columns + 1) rows
+        hits[r.turn, r.k] = r.hits / n
+    lost = hits[:, -1:] - hits[:, :-1]
+    return df.sparkSession.createDataFrame([(c, float(lost[:, k].mean()), float(lost[:, k].std())) for k, c in enumerate(columns)], "feature string, permutation_mean double, permutation_std double")
 
 
 def weights_table(spark, weights: dict[str, tuple[float, float, float]]) -> DataFrame:

@@ -524,11 +524,11 @@ def lr_fit(spark, d):
 
 @query()
 def rf_fit(spark, d):
-    """Gini and permutation importance of the 48 measurements."""
-    t, _ = _essays(spark, d)
-    m = model.fit_forest(t, COLUMNS)
+    """Gini importance of the 48 measurements in a forest fitted on the train groups, and permutation importance on the validation ones."""
+    split = files.stage(corpus.grouped_split(_essays(spark, d)[0]))
+    m = model.fit_forest(split.where("split = 'train'"), COLUMNS)
     gini = spark.createDataFrame([(c, float(v)) for c, v in zip(COLUMNS, m.featureImportances.toArray())], "feature string, importance double")
-    return gini.join(model.permutation_importance(m, t, COLUMNS), "feature", "left").orderBy(F.desc("importance"), "feature")
+    return gini.join(model.permutation_importance(m, split.where("split = 'val'"), COLUMNS), "feature", "left").orderBy(F.desc("importance"), "feature")
 
 
 @query()
@@ -543,11 +543,12 @@ FAMILIES = {"surface": list(documents.SURFACE), "discourse": list(documents.DISC
 @query()
 def ablation(spark, d):
     """Each family of measurements by both models, fitted on the train groups and evaluated on the others."""
-    split = corpus.grouped_split(_essays(spark, d)[0]).withColumn("y", F.col("label"))
+    split = files.stage(corpus.grouped_split(_essays(spark, d)[0]).withColumn("y", F.col("label")))
     train, test = split.where("split = 'train'"), split.where("split <> 'train'")
+    linear_fits = model.fit_many(train, FAMILIES)  # all families in the same scans
     out = None
     for name, columns in FAMILIES.items():
-        weights, b = model.fit_logistic(train, columns)
+        weights, b = linear_fits[name]
         linear = model.score(test, weights, b).withColumn("p", F.col("probability")).withColumn("pred", F.when(F.col("p") >= 0.5, 1).otherwise(0))
         for kind, rows in (("logistic", linear), ("forest", model.predict_forest(model.fit_forest(train, columns), test, columns))):
             one = model.evaluate(rows).select(F.lit(name).alias("family"), F.lit(kind).alias("model"), F.lit(len(columns)).alias("n_features"), "*")

@@ -9,18 +9,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def stage(df: DataFrame) -> DataFrame:
-    """df written once to the folder that spark.checkpoint.dir names (a local one only in local mode) and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where that is unset in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not named:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(named)
-    path = f"{named.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 CORPUS = "essay_id string, group_id string, label string, text string, topic_category string, model_family string, generation_prompt string, esl_metadata string, provenance struct<source_dataset:string,license:string,is_synthetic:boolean>, word_count bigint, text_hash string, binary_label int"

@@ -134,12 +134,6 @@ def test_integrity_and_tallies(spark):
     assert sorted(tuple(r) for r in corpus.split_stats(df).collect()) == [("test", 2, 2, 0.5, 1, 1), ("train", 1, 2, 0.5, 1, 1)]
 
 
-def test_permutation_importance(spark):
-    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(60)], "doc_id long, a double, b double, label int")
-    got = {r.feature: r.permutation_mean for r in model.permutation_importance(model.fit_forest(df, ["a", "b"]), df, ["a", "b"]).collect()}
-    assert got["a"] > 0.2 > abs(got["b"])
-
-
 def test_baseline(spark):
     rng = X.F.rand(1)
     df = spark.range(200).select("id", X.F.randn(1).alias("a"), X.F.randn(2).alias("b"), (rng * 3).alias("c"))
