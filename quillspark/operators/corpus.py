@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.files import stage
+from . import ranks
 from .documents import clean
 
 
@@ -61,38 +63,43 @@ def integrity(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """One row: rows in, dropped at each step, and kept."""
-    good = drop_malformed(df)
-    unique = exact_dedupe(good)
+    """One row: rows in, dropped at each step, and kept. Texts are cleaned once: what passes is staged for the next step."""
+    good = stage(drop_malformed(df).select("doc_id", "cleaned"))
+    unique = stage(exact_dedupe(good))
     kept = near_dedupe(unique)
     n = lambda d, name: d.agg(F.count("*").alias(name))
-    row = n(df, "total").crossJoin(n(good, "good")).crossJoin(n(unique, "unique")).crossJoin(n(kept, "kept"))
+    row = n(df, "total").crossJoin(n(good, "good")).crossJoin(n(unique, "unique")).crossJoin(n(kept, "kept"))  # single rows
     return row.select("total", (F.col("total") - F.col("good")).alias("malformed"), (F.col("good") - F.col("unique")).alias("exact_duplicates"), (F.col("unique") - F.col("kept")).alias("near_duplicates"), "kept")
 
 
+def deal(sizes: list[int], shares: tuple[float, ...] = (0.7, 0.15), seed: int = 42) -> list[int]:
+    """The split of each group: groups in a seeded order go to the first split whose share of all rows still has room for them.
+
+    The last split takes what fits nowhere; each of the others takes its first group whatever its size.
+    """
+    total, taken, out = sum(sizes), [0] * len(shares), [len(shares)] * len(sizes)
+    empty = [True] * len(shares)
+    for i in np.random.RandomState(seed).permutation(len(sizes)).tolist():
+        for k, share in enumerate(shares):
+            if taken[k] + sizes[i] <= total * share or empty[k]:
+                taken[k], empty[k], out[i] = taken[k] + sizes[i], False, k
+                break
+    return out
+
+
 def grouped_split(df: DataFrame, group: str = "source", order: str = "doc_id", train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds split: whole groups, shuffled by a seeded permutation and dealt greedily (a later small group may still fit).
+    """Adds split: whole groups, in a seeded order, dealt greedily (a later small group may still fit).
 
-    Groups, not rows, come to the driver; their order is that of first appearance.
+    Groups are numbered by first appearance on the executors; only their sizes, one number for each, come to the driver,
+    and only split numbers go back.
     """
-    groups = df.groupBy(group).agg(F.count("*").alias("n"), F.min(order).alias("_at")).orderBy("_at").collect()
-    sizes, total = {r[0]: r.n for r in groups}, sum(r.n for r in groups)
-    names = np.empty(len(groups), object)
-    names[:] = [r[0] for r in groups]
-    in_train = in_val = 0
-    has_train = has_val = False
-    dealt = []
-    for i in np.random.RandomState(seed).permutation(len(names)):
-        g, n = names[i], sizes[names[i]]
-        if in_train + n <= total * train or not has_train:
-            in_train, has_train, name = in_train + n, True, "train"
-        elif in_val + n <= total * val or not has_val:
-            in_val, has_val, name = in_val + n, True, "val"
-        else:
-            name = "test"
-        dealt.append((g, name))
-    table = df.sparkSession.createDataFrame(dealt, f"{group} {dict(df.dtypes)[group]}, split string")
-    return df.join(table, df[group].eqNullSafe(table[group]), "left").drop(table[group])
+    found = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"), F.min(order).alias("_at")).withColumns({"_o": F.struct(F.col("_at").isNull(), "_at", "_group"), "_one": F.lit(1)})
+    places = stage(ranks.before(found, "_o", "_one", name="_place").select("_group", "_n", "_place"))
+    sizes = places.orderBy("_place").select("_n").toPandas()["_n"].tolist()
+    names = ("train", "val", "test")
+    dealt = df.sparkSession.createDataFrame([(i, names[k]) for i, k in enumerate(deal(sizes, (train, val), seed))], "_place long, split string")
+    table = places.join(dealt, "_place").select("_group", "split")
+    return df.join(table, df[group].eqNullSafe(table["_group"]), "left").drop("_group")
 
 
 def leaks(df: DataFrame, group: str = "source") -> DataFrame:

@@ -135,12 +135,12 @@ def discourse(df: DataFrame) -> DataFrame:
     n = F.greatest(F.size(w), F.lit(1))
     windows = F.transform(F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(L.FIRST_PERSON)), lambda s: F.slice(w, s["i"] + 1, F.lit(4)))
     near = lambda values: F.size(F.filter(windows, lambda a: F.exists(a, lambda x: x.isin(values)))) / n * 100.0
-    # Starts of matches: lengths of what lies before each, with what was matched earlier.
+    # Starts of matches: gaps and matches take turns, so that sums of what stands before each second piece are the starts.
     def places(p: str) -> Column:
         gaps, hits = F.split(low, f"(?dU){p}", -1), F.regexp_extract_all(low, F.lit(f"(?dU){p}"), F.lit(0))
-        both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-        walk = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")), lambda s: s["out"])
-        return F.when(low.rlike(f"(?dU){p}"), walk).otherwise(F.array().cast("array<int>"))
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+        found = X.let(lengths, lambda z: F.zip_with(X.starts(F.transform(z, lambda x: x["g"] + x["h"])), z, lambda at, x: at + x["g"]))
+        return F.when(low.rlike(f"(?dU){p}"), found).otherwise(F.array().cast("array<bigint>"))
 
     df = df.withColumn("_r", F.transform(F.concat(*map(places, L.REFLECTION)), lambda x: x / F.greatest(F.length(low), F.lit(1))))
     r, found = F.col("_r"), F.size("_r")

@@ -287,19 +287,30 @@ def disparity(df: DataFrame, column: str, group_a, group_b) -> DataFrame:
     return row.select(F.when(known, "EVALUATED").otherwise("INSUFFICIENT_METADATA").alias("status"), F.when(known, F.col("ra")).alias("fpr_a"), F.when(known, F.col("rb")).alias("fpr_b"), F.when(known, F.col("ra") / F.greatest("rb", F.lit(1e-5))).alias("ratio"))
 
 
-def failures(df: DataFrame, k: int = 10) -> DataFrame:
-    """The k surest false positives and false negatives, with a snippet. A report: the limit is its feature."""
+def failures(df: DataFrame, k: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The k surest false positives and false negatives, with a snippet and the columns to carry. A report: the limit is its feature."""
     snippet = F.concat(F.substring("text", 1, 300), F.lit("..."))
-    own = ["doc_id", "p", "y", "pred", *(c for c in ("lang", "source", "words") if c in df.columns), snippet.alias("snippet")]
+    own = ["doc_id", "p", "y", "pred", *(c for c in ("lang", "source", "words") if c in df.columns), snippet.alias("snippet"), *carry]
     fp = df.where("y = 0 and pred = 1").orderBy(F.desc("p"), "doc_id").limit(k).select(F.lit("false_positive").alias("kind"), *own)
     fn = df.where("y = 1 and pred = 0").orderBy("p", "doc_id").limit(k).select(F.lit("false_negative").alias("kind"), *own)
     return fp.unionByName(fn)
 
 
-def anomalies(df: DataFrame, human: DataFrame, weights: dict[str, tuple[float, float, float]], top: int = 4) -> DataFrame:
-    """The features of each row that stand out most against human rows (sample deviation, zero counts as 1)."""
+def anomalies(failed: DataFrame, human: DataFrame, weights: dict[str, tuple[float, float, float]], top: int = 4) -> DataFrame:
+    """Adds top_features to failed rows: the ``top`` measurements of the largest impact, either way, of how far they are from human rows.
+
+    Array of struct(feature, value, human_mean, z_score, model_impact). z is (value - mean) over the sample deviation of
+    human rows (zero counts as 1), not clipped; the impact is z times the coefficient. Ties go to the earlier feature.
+    """
     row = human.agg(*(f(c).alias(f"{n}_{c}") for c in weights for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
-    return contributions(df, {c: (w, row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c, (w, _, _) in weights.items()}, top)
+
+    def one(i: int, c: str, w: float) -> Column:
+        mean, std = row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0
+        z = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - mean) / std
+        own = F.struct(F.lit(c).alias("feature"), F.round(c, 4).alias("value"), F.lit(round(mean, 4)).alias("human_mean"), F.round(z, 2).alias("z_score"), F.round(z * w, 3).alias("model_impact"))
+        return F.struct((-F.abs(F.round(z * w, 3))).alias("least"), F.lit(i).alias("ord"), own.alias("own"))
+
+    return failed.withColumn("top_features", F.transform(F.slice(F.array_sort(F.array(*(one(i, c, w) for i, (c, (w, _, _)) in enumerate(weights.items())))), 1, top), lambda x: x["own"]))
 
 
 def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:

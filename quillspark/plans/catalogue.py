@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,7 +219,22 @@ _discourse("causal_temporal", "causal_density", "temporal_density", sql=f"{_P} S
 _discourse("abstract_concrete", "abstract_vocab_density", "concrete_density", "concrete_abstract_ratio", sql=f"{_T}, k AS (SELECT doc_id, greatest(n, 1) AS n, len(list_filter(w, lambda x: x IN {_list(L.ABSTRACT)})) AS a, len(list_filter(w, lambda x: x IN {_list(L.CONCRETE)})) + len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS c FROM t) SELECT doc_id, round(a / n * 100.0, 6) AS abstract_vocab_density, round(c / n * 100.0, 6) AS concrete_density, round((c / n * 100.0) / greatest((a + c) / n * 100.0, 1e-5), 6) AS concrete_abstract_ratio FROM k")
 
 
-@query()
+def _places(i: int, pattern: str) -> str:
+    """Matches with the rest of their last word and what lies between them; a match counts if it is the pattern alone, as a whole word."""
+    body = pattern.replace(r"\b", "")
+    whole = body + r"[\p{L}\p{N}_]*"
+    return f"SELECT doc_id, low, {i} AS pattern, '{body}' AS body, string_split_regex(low, '{whole}') AS gaps, regexp_extract_all(low, '{whole}') AS hits FROM t"
+
+
+_REFLECTED = (
+    f"{_T}, raw_hits AS ({' UNION ALL '.join(_places(i, p) for i, p in enumerate(L.REFLECTION))}), one AS (SELECT doc_id, low, pattern, body, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM raw_hits), "
+    "placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY doc_id, pattern ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM one WINDOW w AS (PARTITION BY doc_id, pattern ORDER BY i)), "
+    r"bounded AS (SELECT doc_id, start / greatest(length(low), 1) AS r FROM placed WHERE regexp_full_match(hit, body) AND (start = 0 OR NOT regexp_matches(substr(low, CAST(start AS BIGINT), 1), '[\p{L}\p{N}_]'))), "
+    "share AS (SELECT doc_id, count(*) AS n, count_if(r < 0.33) AS a, count_if(r >= 0.33 AND r < 0.67) AS b, count_if(r >= 0.67) AS c, avg(r) AS mean FROM bounded GROUP BY doc_id)"
+)
+
+
+@query(f"{_REFLECTED} SELECT doc_id, " + ", ".join(f"round(coalesce({c} / n, 0.0), 6) AS discourse_reflection_{k}" for c, k in (("a", "intro_ratio"), ("b", "body_ratio"), ("c", "conclusion_ratio"))) + ", round(coalesce(mean, 0.5), 6) AS discourse_reflection_mean_pos FROM documents LEFT JOIN share USING (doc_id)")
 def reflection_position(spark, d):
     return rounded(documents.discourse(docs(spark, d)).select("doc_id", *(f"discourse_reflection_{k}" for k in ("intro_ratio", "body_ratio", "conclusion_ratio", "mean_pos"))), "doc_id")
 
@@ -317,27 +333,25 @@ def response_metadata(spark, d):
     return out.select("doc_id", "status", "code", *response.METADATA, offsets.alias("offsets_md5"))
 
 
-def _cleaned(spark, d) -> DataFrame:
-    return docs(spark, d).withColumn("cleaned", X.strip(F.coalesce("text", F.lit(""))))
-
-
-_CLEANED = rf"SELECT doc_id, regexp_replace(coalesce(text, ''), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS cleaned FROM documents"
+#: Cleaned texts that are long enough, one of each, and one of those that begin alike.
+_GOOD = _CLEAN.rsplit(", documents AS (", 1)[0] + rf""", good AS (SELECT doc_id, cleaned FROM gated WHERE length(regexp_replace(raw, '^{_SPACES}+|{_SPACES}+$', '', 'g')) >= 50 AND cleaned <> '' AND word_count >= 30),
+uniq AS (SELECT min(doc_id) AS doc_id, cleaned FROM good GROUP BY cleaned), keyed AS (SELECT doc_id, regexp_replace(lower(substr(cleaned, 1, 60)), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS k FROM uniq),
+kept AS (SELECT min(doc_id) AS doc_id FROM keyed WHERE length(k) >= 30 GROUP BY k UNION ALL SELECT doc_id FROM keyed WHERE length(k) < 30)"""
 
 
-@query(f"WITH a AS ({_CLEANED}) SELECT min(doc_id) AS doc_id, sha256(cleaned) AS text_hash FROM a GROUP BY cleaned")
+@query(f"{_GOOD} SELECT doc_id, sha256(cleaned) AS text_hash FROM uniq")
 def exact_dedupe(spark, d):
-    return corpus.exact_dedupe(_cleaned(spark, d)).select("doc_id", "text_hash")
+    """Of documents long enough the first of each cleaned text."""
+    return corpus.exact_dedupe(corpus.drop_malformed(docs(spark, d)).select("doc_id", "cleaned")).select("doc_id", "text_hash")
 
 
-_NEARSQL = rf"WITH a AS ({_CLEANED}), b AS (SELECT min(doc_id) AS doc_id, cleaned FROM a GROUP BY cleaned), c AS (SELECT doc_id, regexp_replace(lower(substr(cleaned, 1, 60)), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS k FROM b), e AS (SELECT min(doc_id) AS doc_id FROM c WHERE length(k) >= 30 GROUP BY k UNION ALL SELECT doc_id FROM c WHERE length(k) < 30)"
-
-
-@query(f"{_NEARSQL} SELECT doc_id FROM e")
+@query(f"{_GOOD} SELECT doc_id FROM kept")
 def near_dedupe(spark, d):
-    return corpus.near_dedupe(corpus.exact_dedupe(_cleaned(spark, d))).select("doc_id")
+    """Of those the first of each beginning."""
+    return corpus.near_dedupe(corpus.exact_dedupe(corpus.drop_malformed(docs(spark, d)).select("doc_id", "cleaned"))).select("doc_id")
 
 
-@query()
+@query(f"{_GOOD} SELECT total, total - good AS malformed, good - uniq AS exact_duplicates, uniq - kept AS near_duplicates, kept FROM (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM good) AS good, (SELECT count(*) FROM uniq) AS uniq, (SELECT count(*) FROM kept) AS kept)")
 def audit(spark, d):
     return corpus.audit(docs(spark, d))
 
@@ -347,12 +361,31 @@ def audit_tallies(spark, d):
     return rounded(docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 350).alias("short"), F.avg("n_chars").alias("mean_chars")), "lang", "source")
 
 
-@query()
+def _split_sql(rows: str, most: int = 64) -> str:
+    """SQL that deals the groups of rows (doc_id, source, ...) one after the other, as the split does.
+
+    The seeded order comes as a list for each number of groups, as SQL has no such generator.
+    """
+    orders = ", ".join(f"({n}, {np.random.RandomState(42).permutation(n).tolist()})" for n in range(1, most + 1))
+    return (
+        f"WITH RECURSIVE rows_ AS ({rows}), orders(n, o) AS (VALUES {orders}), g AS (SELECT source, count(*) AS k, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS place FROM rows_ GROUP BY source), "
+        "total AS (SELECT sum(k) AS all_, count(*) AS n FROM g), turn AS (SELECT unnest(o) AS place, generate_subscripts(o, 1) AS t FROM orders JOIN total USING (n)), seq AS (SELECT t, source, k FROM turn JOIN g USING (place)), "
+        "walk(t, source, split, a, b) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) UNION ALL "
+        "SELECT seq.t, seq.source, CASE WHEN w.a < 0 OR w.a + k <= all_ * 0.7 THEN 'train' WHEN w.b < 0 OR w.b + k <= all_ * 0.15 THEN 'val' ELSE 'test' END, CASE WHEN w.a < 0 OR w.a + k <= all_ * 0.7 THEN greatest(w.a, 0) + k ELSE w.a END, "
+        "CASE WHEN w.a < 0 OR w.a + k <= all_ * 0.7 THEN w.b WHEN w.b < 0 OR w.b + k <= all_ * 0.15 THEN greatest(w.b, 0) + k ELSE w.b END FROM walk w JOIN seq ON seq.t = w.t + 1, total), "
+        "dealt AS (SELECT r.*, w.split FROM rows_ r JOIN walk w ON w.t > 0 AND r.source IS NOT DISTINCT FROM w.source)"
+    )
+
+
+_SPLIT = _split_sql("SELECT doc_id, source FROM documents")
+
+
+@query(f"{_SPLIT} SELECT doc_id, source, split FROM dealt")
 def grouped_split(spark, d):
     return corpus.grouped_split(docs(spark, d)).select("doc_id", "source", "split")
 
 
-@query("SELECT 'x' AS source, CAST(0 AS BIGINT) AS splits WHERE false")
+@query(f"{_SPLIT} SELECT source, count(DISTINCT split) AS splits FROM dealt GROUP BY source HAVING count(DISTINCT split) > 1")
 def leakage_check(spark, d):
     return corpus.leaks(corpus.grouped_split(docs(spark, d)))
 
@@ -422,7 +455,13 @@ def process_text(spark, d):
     return documents.process(docs(spark, d)).select("doc_id", "word_count", "char_count")
 
 
-@query()
+_TRIM = lambda c: f"regexp_replace({c}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+_LINE = _TRIM(r"regexp_replace(x, '[ \t]+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, {_TRIM(f"array_to_string(list_transform(string_split({_TRIM("coalesce(text, '')")}, chr(10)), lambda x: {_LINE}), chr(10))")} AS display_text FROM documents")
 def display_text(spark, d):
     """Texts with single spaces and no outer ones within lines."""
     return documents.process(docs(spark, d)).select("doc_id", "display_text")
@@ -433,7 +472,7 @@ def value_tallies(spark, d):
     return corpus.tallies(docs(spark, d), "lang", "source")
 
 
-@query()
+@query(_split_sql("SELECT doc_id, source, 1 - quality AS label FROM documents JOIN labels USING (doc_id)") + " SELECT split, count(DISTINCT source) AS groups, count(*) AS rows, round(count(*) / any_value(all_), 6) AS share, CAST(count_if(label = 0) AS BIGINT) AS human, CAST(count_if(label = 1) AS BIGINT) AS machine FROM dealt, total GROUP BY split")
 def split_stats(spark, d):
     rows = corpus.grouped_split(docs(spark, d).join(_labels(spark, d), "doc_id"))
     return rounded(corpus.split_stats(rows), "split")
@@ -490,11 +529,32 @@ def reference_stats(spark, d):
     return rounded(model.quantiles(_essays(spark, d)[0].where("label = 0"), COLUMNS), "feature")
 
 
-@query()
+_FAILED = (
+    f"{_SCORED}, j AS (SELECT f.*, y.p, 1 - quality AS y, CASE WHEN y.p >= 0.5 THEN 1 ELSE 0 END AS pred FROM f JOIN y USING (doc_id) JOIN labels USING (doc_id)), "
+    "bad AS (SELECT * FROM (SELECT 'false_positive' AS kind, * FROM j WHERE y = 0 AND pred = 1 ORDER BY p DESC, doc_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'false_negative' AS kind, * FROM j WHERE y = 1 AND pred = 0 ORDER BY p, doc_id LIMIT 10)), "
+    f"h AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_samp({c}), 0) = 0 THEN 1.0 ELSE stddev_samp({c}) END AS s_{c}' for c in SCALARS)} FROM j WHERE y = 0), "
+    "u AS (" + " UNION ALL ".join(f"SELECT kind, doc_id, p, {i} AS ord, '{c}' AS feature, round({c}, 4) AS value, round(m_{c}, 4) AS human_mean, round(({c} - m_{c}) / s_{c}, 2) AS z_score, round(({c} - m_{c}) / s_{c} * {k}, 3) AS model_impact FROM bad, h" for i, (c, (k, _, _)) in enumerate(WEIGHTS.items())) + "), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY kind, doc_id ORDER BY abs(model_impact) DESC, ord) AS rank FROM u)"
+)
+
+
+@query(f"{_FAILED} SELECT kind, doc_id, round(p, 6) AS p, feature, value, human_mean, z_score, model_impact, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 4")
 def anomaly_topk(spark, d):
-    t, _ = _essays(spark, d)
-    weights, _ = model.fit_logistic(t, COLUMNS)
-    return model.anomalies(t, t.where("label = 0"), weights)
+    """Of the surest failures of the fixed linear model the four measurements that drove each, by their distance from rows of label 0."""
+    rows = scored(spark, d).join(_labels(spark, d), "doc_id").withColumns({"p": F.col("probability"), "y": F.col("label")}).withColumn("pred", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+    rows = files.stage(rows.select("doc_id", "text", "p", "y", "pred", *SCALARS))
+    found = model.anomalies(model.failures(rows, carry=tuple(SCALARS)), rows.where("y = 0"), WEIGHTS)
+    return found.select("kind", "doc_id", F.round("p", 6).alias("p"), F.posexplode("top_features").alias("i", "x")).select("kind", "doc_id", "p", "x.*", (F.col("i") + 1).cast("long").alias("rank"))
+
+
+@query()
+def failure_cases(spark, d):
+    """The surest failures on the groups outside of train, by a model fitted on all 48 measurements, each with what drove it."""
+    split = files.stage(corpus.grouped_split(_essays(spark, d)[0]).withColumn("y", F.col("label")))
+    train = split.where("split = 'train'")
+    weights, intercept = model.fit_logistic(train, COLUMNS)
+    test = model.score(split.where("split <> 'train'"), weights, intercept).withColumn("p", F.col("probability")).withColumn("pred", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+    return rounded(model.anomalies(model.failures(test, carry=tuple(COLUMNS)), train.where("y = 0"), weights).drop(*COLUMNS), "kind", "doc_id")
 
 
 @query()

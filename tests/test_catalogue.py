@@ -28,7 +28,7 @@ def canon(rows):
     return sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe", "sentence_evidence", "severity_counts", "response_metadata"])
+@pytest.mark.parametrize("name", ["word_tokens", "sentence_spans", "bigram_entropy", "agency", "causal_temporal", "near_dedupe", "contributions_topk", "confusion_metrics", "topic_slices", "prefix_suffix_strip", "analysis", "gates", "clean_audit", "exact_dedupe", "sentence_evidence", "severity_counts", "response_metadata", "reflection_position", "audit", "grouped_split", "split_stats", "display_text", "anomaly_topk"])
 def test_matches_sql(spark, db, name):
     got = catalogue.QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
@@ -180,3 +180,43 @@ def test_evaluate(spark):
     assert (r.accuracy, r.fp, r.false_positive_rate, r.false_negative_rate, r.roc_auc) == (0.75, 1, 0.5, 0.0, 1.0)
     one = model.evaluate(spark.createDataFrame([(0, 0, 0.1)], "y int, pred int, p double")).first()
     assert one.roc_auc == 0.5 and one.accuracy == 1
+
+
+def test_reflection_positions_sql(spark, tmp_path):
+    """The driver's texts hold few of the words: these hold every pattern, next to each other, in other words and thousands of times."""
+    words = ["realized", "discovering", "understanding", "understood", "learnt", "taught me", "perspective shifted", "concluded", "epiphany", "illuminate", "insight", "came to know", "opened my eyes"]
+    made = [" ".join(["x"] * i + words[i % 13 :] + ["é" * i]) for i in range(40)] + ["unlearned learned. misunderstanding? INSIGHT insights", "insight " * 8000, "", None, "nothing", "Étaught me taught meé taught me"]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    got = catalogue.QUERIES["reflection_position"](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    assert canon(tuple(r) for r in got.select(cols).collect()) == canon(tuple(r[c] for c in cols) for r in con.sql(catalogue.ORACLE_SQL["reflection_position"]).to_arrow_table().select(cols).to_pylist())
+
+
+def test_anomalies_are_not_clipped(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 6))
+    x[:, 5] = 3.0
+    weights = {f"f{k}": (w, 0.0, 1.0) for k, w in enumerate((0.5, -2.0, 0.1, 1.0, -0.3, 4.0))}
+    human = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in weights))
+    failed = [(1, 40.0, 0.1, 0.0, -9.0, 2.0, 3.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 8.0)]
+    for r in model.anomalies(spark.createDataFrame(failed, "doc_id long, " + ", ".join(f"{c} double" for c in weights)), human, weights).collect():
+        std = x.std(0, ddof=1)
+        z = (np.array(failed[r.doc_id - 1][1:]) - x.mean(0)) / np.where(std == 0, 1, std)
+        impact = [round(a * w, 3) for a, (w, _, _) in zip(z, weights.values())]
+        order = sorted(range(6), key=lambda k: -abs(impact[k]))[:4]
+        assert [(t.feature, t.model_impact) for t in r.top_features] == [(f"f{k}", pytest.approx(impact[k], abs=1e-3)) for k in order]
+    assert abs(impact[5]) > 3.5 * 4
+
+
+def test_deal_is_greedy():
+    for sizes in ([3] * 12, [50, 1, 1, 1], [1], [2, 9, 4, 4, 1, 7]):
+        order, total, want = np.random.RandomState(42).permutation(len(sizes)), sum(sizes), [2] * len(sizes)
+        train = val = 0
+        for n, i in enumerate(order):
+            if n == 0 or train + sizes[i] <= 0.7 * total:
+                want[i], train = 0, train + sizes[i]
+            elif 1 not in want or val + sizes[i] <= 0.15 * total:
+                want[i], val = 1, val + sizes[i]
+        assert corpus.deal(sizes) == want
