@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import mapped, rows_of, struct
+from .shared import documents, mapped, rows_of, struct
 
 UNDETERMINED = "und"
 CHUNK = 256
@@ -219,5 +219,5 @@ def identify(docs: DataFrame, model: ByteModel | None) -> DataFrame:
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return identify(docs, fit(docs))

@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import rows_of
+from .shared import documents, rows_of
 
 #: Even, so that the halves end in their places.
 ROUNDS = 8
@@ -218,6 +218,6 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string"), key_of(spark))
+    out = pseudonymise(rows_of(documents(spark, sf_dir), doc_id="long", text="string"), key_of(spark))
     spans: Column = F.expr("array_join(transform(entities, e -> concat_ws(':', e.kind, e.start, e.end)), ',')")
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of
+from .shared import documents, rows_of
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,7 +105,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(documents(spark, sf_dir))
 
     def many(kind: str) -> Column:
         return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

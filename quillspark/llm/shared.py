@@ -80,7 +80,9 @@ def rows_of(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, dealt over all cores where its files can't be split that far (few row groups); one of more splits stays as it is."""
+    df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def struct(**kinds: T.DataType) -> T.StructType:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mapped, rows_of, staged, struct, unstage
+from .shared import documents, mapped, rows_of, staged, struct, unstage
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # (lowest bit, width)
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -248,4 +248,4 @@ def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(documents(spark, sf_dir))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, rows_of, staged
+from .shared import documents, mapped, rows_of, staged
 
 WORD = re.compile(r"\S+")
 MIN_WORDS = 25
@@ -155,5 +155,5 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
-    out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = deduplicate(documents(spark, sf_dir))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.expr("array_join(transform(removed, r -> concat_ws(':', r.start, r.end)), ',')").alias("spans"))
