@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable
@@ -50,11 +51,22 @@ def n_char(text: Column, char: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
 
 
+def anchor(pattern: str) -> str:
+    """The longest piece of a phrase pattern that every match holds as it stands."""
+    plain = re.sub(r"\\b|\(\?:[^)]*\)\??|.\?|\.\+", "\0", pattern)
+    return max(plain.split("\0"), key=len)
+
+
+def holds(low: Column, pattern: str) -> Column:
+    """Whether the lower-case text matches; \\b and \\s are Unicode's, . stops at \\n only. The pattern is tried only where its anchor stands."""
+    return low.contains(anchor(pattern)) & low.rlike(f"(?dU){pattern}")
+
+
 def n_matches(text: Column | str, patterns: Iterable[str]) -> Column:
-    """Matches of every pattern in the lower-case text; \\b and \\s are Unicode's, . stops at \\n only."""
-    total = F.lit(0)
+    """Matches of every pattern in the lower-case text, each tried only where its anchor stands."""
+    low, total = F.lower(_col(text)), F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(F.lower(_col(text)), F.lit(f"(?dU){p}"))
+        total = total + F.when(low.contains(anchor(p)), F.regexp_count(low, F.lit(f"(?dU){p}"))).otherwise(0)
     return total.cast("long")
 
 

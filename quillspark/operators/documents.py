@@ -140,7 +140,7 @@ def discourse(df: DataFrame) -> DataFrame:
         gaps, hits = F.split(low, f"(?dU){p}", -1), F.regexp_extract_all(low, F.lit(f"(?dU){p}"), F.lit(0))
         lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
         found = X.let(lengths, lambda z: F.zip_with(X.starts(F.transform(z, lambda x: x["g"] + x["h"])), z, lambda at, x: at + x["g"]))
-        return F.when(low.rlike(f"(?dU){p}"), found).otherwise(F.array().cast("array<bigint>"))
+        return F.when(X.holds(low, p), found).otherwise(F.array().cast("array<bigint>"))
 
     df = df.withColumn("_r", F.transform(F.concat(*map(places, L.REFLECTION)), lambda x: x / F.greatest(F.length(low), F.lit(1))))
     r, found = F.col("_r"), F.size("_r")
@@ -200,7 +200,7 @@ def evidence_array(text: Column, mean: float = 1.5, std: float = 1.2) -> Column:
 
     def measured(s: Column, w: Column) -> Column:
         low = F.lower(s["text"])
-        phrase = reduce(lambda c, p: c.when(low.rlike(f"(?dU){p}"), _phrase(p)), L.FORMULAIC[1:], F.when(low.rlike(f"(?dU){L.FORMULAIC[0]}"), _phrase(L.FORMULAIC[0])))
+        phrase = reduce(lambda c, p: c.when(X.holds(low, p), _phrase(p)), L.FORMULAIC[1:], F.when(X.holds(low, L.FORMULAIC[0]), _phrase(L.FORMULAIC[0])))
         return F.struct(F.greatest(F.size(w), lit(1)).alias("n"), hits(w, L.ABSTRACT).alias("a"), hits(w, L.CONCRETE).alias("k"), F.size(hits(w, L.PASSIVE_STATE_VERBS)).alias("passive"), F.size(hits(w, L.ACTION_VERBS)).alias("action"), F.exists(w, lambda x: x.isin(L.FIRST_PERSON)).alias("person"), phrase.alias("phrase"))
 
     def judged(s: Column, i: Column, m: Column) -> Column:

@@ -21,7 +21,7 @@ SCALARS = list(WEIGHTS)
 
 
 def docs(spark, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return files.spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def query(sql: str | None = None):

@@ -27,6 +27,15 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files can't be split that far (a few row groups): each text costs far more to measure than to move.
+
+    A table of as many splits as cores stays as it is, so that nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 CORPUS = "essay_id string, group_id string, label string, text string, topic_category string, model_family string, generation_prompt string, esl_metadata string, provenance struct<source_dataset:string,license:string,is_synthetic:boolean>, word_count bigint, text_hash string, binary_label int"
 
 
