@@ -67,11 +67,28 @@ def sentence_spans(df: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("i").cast("long").alias("sentence_idx"), "s.paragraph_idx", F.col("s.start").alias("start_char"), (F.col("s.start") + F.length("s.text")).alias("end_char"), "s.text")
 
 
-def sentence_at(spans: DataFrame, offsets: DataFrame) -> DataFrame:
-    """doc_id, offset, sentence_idx of the span with start <= offset < end, else null."""
-    inside = (F.col("offset") >= F.col("start_char")) & (F.col("offset") < F.col("end_char"))
-    hit = offsets.join(spans.select("doc_id", "sentence_idx", "start_char", "end_char"), "doc_id").where(inside).select("doc_id", "offset", "sentence_idx")
-    return offsets.join(hit, ["doc_id", "offset"], "left")
+#: Halvings that find a place among 2^31 spans.
+HALVINGS = 31
+
+
+def sentence_at(df: DataFrame, offsets: DataFrame, most: int = 4096) -> DataFrame:
+    """doc_id, offset, sentence_idx of the sentence with start <= offset < end, else null; a row for each row of offsets.
+
+    The offsets of a document meet its text as arrays of at most ``most`` places each, so that neither a document with
+    many offsets nor one with many sentences is exploded: each offset is found by halving the sorted spans in the row.
+    """
+    asked = offsets.where("doc_id is not null").groupBy("doc_id", F.floor(F.col("offset") / most).alias("_part")).agg(F.collect_set("offset").alias("_asked"))
+    spans = F.transform(sentences(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["start"].cast("long").alias("start"), (s["start"] + F.length(s["text"])).cast("long").alias("end")))
+
+    def found(z: Column, x: Column) -> Column:
+        """The last span that starts at x or before, by halving; null if x isn't in it."""
+        step = lambda s, _: F.when(s["lo"] < s["hi"], X.let(F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int"), lambda m: F.when(F.get(z, m)["start"] <= x, F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (m - 1).alias("hi"))))).otherwise(s)
+        place = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(-1).alias("lo"), (F.size(z) - 1).alias("hi")), step, lambda s: s["lo"])
+        return X.let(place, lambda i: F.when((i >= 0) & (x < F.get(z, i)["end"]), i.cast("long")))
+
+    met = asked.join(df.select("doc_id", "text"), "doc_id").select("doc_id", "_asked", spans.alias("_z"))
+    hits = met.select("doc_id", F.explode(F.transform("_asked", lambda x: F.struct(x.alias("offset"), found(F.col("_z"), x).alias("sentence_idx")))).alias("h")).select("doc_id", "h.*")
+    return offsets.join(hits, ["doc_id", "offset"], "left")
 
 
 def surface(df: DataFrame) -> DataFrame:

@@ -97,12 +97,41 @@ def score(df: DataFrame, weights: dict[str, tuple[float, float, float]], interce
     return out.withColumn("probability", F.greatest(F.lit(0.01), F.least(F.lit(0.99), 1 / (1 + F.exp(-F.col("logit"))))))
 
 
-def contributions(df: DataFrame, weights: dict[str, tuple[float, float, float]], top: int = 5) -> DataFrame:
-    """doc_id, feature, observed, impact, direction, rank: the largest impacts of either direction."""
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("observed"), F.round(F.greatest(F.lit(-3.5), F.least(F.lit(3.5), (F.col(c) - m) / (s if s >= 1e-6 else 1.0))) * k, 4).alias("impact")) for i, (c, (k, m, s)) in enumerate(weights.items())))
-    long = df.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").withColumn("direction", F.when(F.col("impact") > 0, "AI-skewed").otherwise("Human-skewed"))
+def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, ord, feature, observed: a row for each measurement."""
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("observed")) for i, c in enumerate(columns)))
+    return df.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+def impacts(long: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds impact and direction by looking each feature up in a model's table; one that it doesn't have counts nothing.
+
+    The table has a row for each feature: it is broadcast, and its size doesn't grow with the data.
+    """
+    known = table.select("feature", "coefficient", "mean", "scale")
+    of = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    z = (F.coalesce("observed", F.lit(0.0)) - of("mean", 0.0)) / F.when(of("scale", 1.0) >= 1e-6, F.col("scale")).otherwise(1.0)
+    impact = F.round(F.greatest(F.lit(-3.5), F.least(F.lit(3.5), F.coalesce(z, F.lit(0.0)))) * of("coefficient", 0.0), 4)
+    out = long.join(F.broadcast(known), "feature", "left").withColumn("impact", impact)
+    return out.withColumn("direction", F.when(F.col("impact") > 0, "AI-skewed").otherwise("Human-skewed")).drop("coefficient", "mean", "scale")
+
+
+def contributions(df: DataFrame, columns: list[str], table: DataFrame, top: int = 5) -> DataFrame:
+    """doc_id, feature, observed, impact, direction, rank: the largest impacts of either direction, by a model's table."""
+    long = impacts(long_form(df, columns), table)
     rank = F.row_number().over(Window.partitionBy("doc_id", "direction").orderBy(F.abs("impact").desc(), "ord")).cast("long")
-    return long.withColumn("rank", rank).where(F.col("rank") <= top).drop("ord")
+    return long.withColumn("rank", rank).where(F.col("rank") <= top).drop("ord").select("doc_id", "feature", "observed", "impact", "direction", "rank")
+
+
+def score_by_table(df: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
+    """Adds logit, probability and the model's version; the table comes as one row that holds its features as a map."""
+    entries = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("coefficient", "mean", "scale"))))
+    one = table.groupBy("version").agg(entries.alias("_m"))
+    value = lambda c, k, default: F.coalesce(F.col("_m")[c][k], F.lit(default))
+    clipped = lambda c: F.greatest(F.lit(-3.5), F.least(F.lit(3.5), (F.coalesce(c, F.lit(0.0)) - value(c, "mean", 0.0)) / F.when(value(c, "scale", 1.0) >= 1e-6, value(c, "scale", 1.0)).otherwise(1.0)))
+    logit = _sum([clipped(c) * value(c, "coefficient", 0.0) for c in columns]) + value(files.INTERCEPT, "coefficient", 0.0)
+    out = df.crossJoin(F.broadcast(one)).withColumn("logit", logit)
+    return out.withColumn("probability", F.greatest(F.lit(0.01), F.least(F.lit(0.99), 1 / (1 + F.exp(-F.col("logit")))))).drop("_m")
 
 
 def fit_logistic(df: DataFrame, columns: list[str], label: str = "label", c: float = 1.0):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,10 +150,11 @@ def punkt_untrained(spark, d):
     return punkt.sentence_spans(docs(spark, d))
 
 
-@query(_SENT + " SELECT d.doc_id, CAST(d.n_chars // 2 AS BIGINT) AS \"offset\", s.sentence_idx FROM documents d LEFT JOIN sent s ON s.doc_id = d.doc_id AND d.n_chars // 2 >= s.start_char AND d.n_chars // 2 < s.end_char")
+@query(_SENT + ", o AS (SELECT doc_id, unnest(range(0, n_chars + 40, 37)) AS \"offset\" FROM documents) SELECT o.doc_id, o.\"offset\", s.sentence_idx FROM o LEFT JOIN sent s ON s.doc_id = o.doc_id AND o.\"offset\" >= s.start_char AND o.\"offset\" < s.end_char")
 def sentence_at_offset(spark, d):
+    """The sentence at every 37th character of each document, and past its end."""
     t = docs(spark, d)
-    return documents.sentence_at(documents.sentence_spans(t), t.select("doc_id", F.expr("n_chars div 2").alias("offset")))
+    return documents.sentence_at(t, t.select("doc_id", F.explode(F.expr("sequence(0, n_chars + 39, 37)")).alias("offset")))
 
 
 @query(_SENT + " SELECT s.doc_id, count(DISTINCT paragraph_idx) AS paragraphs, count(*) AS sentences, CAST(count_if(substr(d.text, CAST(start_char + 1 AS BIGINT), CAST(end_char - start_char AS BIGINT)) <> s.text) AS BIGINT) AS unfaithful FROM sent s JOIN documents d USING (doc_id) GROUP BY s.doc_id")
@@ -283,7 +286,10 @@ _LONG = f"{_S}, u AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{c}'
 
 @query(f"{_LONG}, v AS (SELECT *, CASE WHEN impact > 0 THEN 'AI-skewed' ELSE 'Human-skewed' END AS direction FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, direction ORDER BY abs(impact) DESC, ord) AS rank FROM v) SELECT doc_id, feature, round(observed, 6) AS observed, impact, direction, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5")
 def contributions_topk(spark, d):
-    return model.contributions(scalars(spark, d), WEIGHTS).withColumn("observed", F.round("observed", 6)).select("doc_id", "feature", "observed", "impact", "direction", "rank")
+    """By the newest version of a model's table, to which the fixed model is added."""
+    path = f"{files.shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    files.add_version(spark, path, 1, WEIGHTS, INTERCEPT)
+    return model.contributions(scalars(spark, d), SCALARS, files.newest_version(spark, path)).withColumn("observed", F.round("observed", 6))
 
 
 @query()
@@ -518,8 +524,18 @@ def feature_table(spark, d):
     return rounded(_essays(spark, d)[0].select("doc_id", "label", "lang", "source", *COLUMNS), "doc_id", "label", "lang", "source")
 
 
-@query()
+@query(f"{_S} SELECT count(*) AS rows, " + ", ".join(f"CAST({' + '.join(f'count_if({test.format(c=c)})' for c in SCALARS)} AS BIGINT) AS {name}" for name, test in (("nulls", "{c} IS NULL"), ("nans", "isnan({c})"), ("infinite", "isinf({c})"))) + " FROM f")
 def integrity_check(spark, d):
+    """What the write of five measurements of every document counts in its own pass; a value that is none would make it fail."""
+    path = f"{files.shared_dir(spark)}/checked-{uuid.uuid4().hex}"
+    got = files.write_checked(scalars(spark, d).select("doc_id", *SCALARS), path, SCALARS)
+    files.delete(spark, path)
+    return spark.createDataFrame([tuple(got[k] for k in ("rows", "nulls", "nans", "infinite"))], "rows long, nulls long, nans long, infinite long")
+
+
+@query()
+def feature_integrity(spark, d):
+    """The same counts over the 48 measurements of the labelled documents."""
     return corpus.integrity(_essays(spark, d)[0], COLUMNS)
 
 
