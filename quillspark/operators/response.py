@@ -7,9 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import documents, model
 
 VERSION = "1"
+#: All 48 measurements in order.
+COLUMNS = [*documents.BASE, *documents.DISTANCES]
+
+
+def with_distances(df: DataFrame, base: dict, paragraphs_of: str = "text") -> DataFrame:
+    """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs."""
+    out = model.distances(df, list(documents.BASE), base).withColumnsRenamed({f"dist_{k}": f"dist_human_{k}" for k in ("euclidean", "mahalanobis", "cosine")})
+    many = df.select("doc_id", F.col(paragraphs_of).alias("text")).where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
+    spread = model.dispersion(documents.features(documents.paragraph_spans(many)), list(documents.BASE))
+    return out.join(spread, "doc_id", "left").fillna(0.0, ["dist_structural_dispersion"])
+
+
+def measured(rows: DataFrame, carry: list[str]) -> tuple[DataFrame, dict]:
+    """The 48 measurements of the cleaned texts of rows (doc_id, text, label), staged, and the baseline of label 0."""
+    # Staged, so that the cleaning isn't written out anew in each of the measurements that read its text.
+    cleaned = files.stage(documents.clean(rows).select("doc_id", *carry, "label", F.col("cleaned").alias("text")))
+    base44 = files.stage(documents.features(cleaned))
+    base = model.fit_baseline(base44.where("label = 0"), list(documents.BASE))
+    return files.stage(with_distances(base44, base)), base
+
+
+def train(essays: DataFrame, base: dict, version: str = VERSION) -> dict:
+    """What analyse() needs: weights and intercept fitted on the measured rows, the human reference (mean, deviation, median, p10, p90) and the baseline."""
+    weights, intercept = model.fit_logistic(essays, COLUMNS)
+    told = model.quantiles(essays.where("label = 0"), COLUMNS).collect()  # 48 rows
+    return {"version": version, "weights": weights, "intercept": intercept, "reference": {r.feature: (r["mean"], r.std, r.median, r.p10, r.p90) for r in told}, "baseline": base}
+
+
+def train_and_export(rows: DataFrame, path: str, version: str = VERSION) -> dict:
+    """Measures labelled rows, trains, and writes the artifact to path; files.load_artifact gives it again."""
+    artifact = train(*measured(rows, []), version)
+    files.save_artifact(rows.sparkSession, path, artifact["weights"], artifact["intercept"], version=version, reference=artifact["reference"], baseline=artifact["baseline"])
+    return artifact
+
+
+def analyse(df: DataFrame, artifact: dict) -> DataFrame:
+    """The response of every row of doc_id and text by a trained artifact."""
+    human = {c: v[0] for c, v in artifact["reference"].items()}
+    ready = files.stage(gated(df.select("doc_id", "text")))
+    return respond(ready, lambda rows: with_distances(documents.features(rows), artifact["baseline"], "raw"), artifact["weights"], artifact["intercept"], human, version=artifact["version"])
 
 
 def _drivers(weights: dict[str, tuple[float, float, float]], reference: dict[str, float]) -> Column:
@@ -40,7 +81,7 @@ def with_spans(df: DataFrame) -> DataFrame:
 METADATA = ("word_count", "char_count", "paragraph_count", "sentence_count", "flagged_sentence_count", "high_severity_count", "medium_severity_count")
 
 
-def respond(df: DataFrame, measure: Callable[[DataFrame], DataFrame], weights: dict[str, tuple[float, float, float]], intercept: float, reference: dict[str, float], top: int = 5) -> DataFrame:
+def respond(df: DataFrame, measure: Callable[[DataFrame], DataFrame], weights: dict[str, tuple[float, float, float]], intercept: float, reference: dict[str, float], top: int = 5, version: str = VERSION) -> DataFrame:
     """df: what gated() gives. doc_id, status, code, metadata, assessment, evidence, highlighted_spans, disclaimers of each row.
 
     Measurements are taken from the cleaned text, spans and their offsets, paragraphs and the dispersion of measurements
@@ -53,7 +94,7 @@ def respond(df: DataFrame, measure: Callable[[DataFrame], DataFrame], weights: d
     out = out.withColumn("_drivers", F.when(judged, _drivers(weights, reference)))
     way = lambda d: F.slice(F.filter("_drivers", lambda x: x["direction"] == d), 1, top)
     return out.select(
-        "doc_id", "status", "code", F.lit(VERSION).alias("model_version"),
+        "doc_id", "status", "code", F.lit(version).alias("model_version"),
         F.struct(*METADATA).alias("metadata"),
         F.when(read, F.struct("category", F.col("verdict").alias("verdict_code"), F.col("colour").alias("verdict_color"), F.col("confidence").alias("confidence_level"), F.round("probability", 4).alias("calibrated_ai_probability"), (~judged).alias("is_indeterminate"), F.round("logit", 4).alias("logit_score"), documents.summary(F.col("verdict"), F.col("flagged_sentence_count")).alias("summary"))).alias("assessment"),
         F.when(read, F.struct(way("AI-skewed").alias("top_ai_evidence"), way("Human-skewed").alias("top_human_evidence"), F.create_map(*(x for c in weights for x in (F.lit(c), F.round(c, 4)))).alias("all_feature_measurements"))).alias("evidence"),

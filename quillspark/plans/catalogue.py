@@ -491,8 +491,7 @@ def feature_registry(spark, d):
     return spark.createDataFrame(rows, "position int, feature string, family string, needs_baseline boolean")
 
 
-#: All measurements in order.
-COLUMNS = [*documents.BASE, *documents.DISTANCES]
+COLUMNS = response.COLUMNS
 
 
 def _labels(spark, d) -> DataFrame:
@@ -500,22 +499,9 @@ def _labels(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (1 - F.col("quality")).cast("int").alias("label"))
 
 
-def _with_distances(df: DataFrame, base: dict, paragraphs_of: str = "text") -> DataFrame:
-    """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs."""
-    out = model.distances(df, list(documents.BASE), base).withColumnsRenamed({f"dist_{k}": f"dist_human_{k}" for k in ("euclidean", "mahalanobis", "cosine")})
-    many = df.select("doc_id", F.col(paragraphs_of).alias("text")).where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
-    spread = model.dispersion(documents.features(documents.paragraph_spans(many)), list(documents.BASE))
-    return out.join(spread, "doc_id", "left").fillna(0.0, ["dist_structural_dispersion"])
-
-
 def _essays(spark, d) -> tuple[DataFrame, dict]:
     """Labelled documents with all 48 measurements of their cleaned texts, staged, and the baseline of label 0."""
-    rows = docs(spark, d).join(_labels(spark, d), "doc_id")
-    # Staged, so that the cleaning isn't written out anew in each of the measurements that read its text.
-    cleaned = files.stage(documents.clean(rows).select("doc_id", "lang", "source", "label", F.col("cleaned").alias("text")))
-    base44 = files.stage(documents.features(cleaned))
-    base = model.fit_baseline(base44.where("label = 0"), list(documents.BASE))
-    return files.stage(_with_distances(base44, base)), base
+    return response.measured(docs(spark, d).join(_labels(spark, d), "doc_id"), ["lang", "source"])
 
 
 @query()
@@ -653,12 +639,16 @@ def analysis(spark, d):
 @query()
 def analysis_response(spark, d):
     """The whole response of every document by a model fitted on all 48 measurements of the labelled ones."""
-    essays, base = _essays(spark, d)
-    weights, intercept = model.fit_logistic(essays, COLUMNS)
-    human = {r.feature: r["mean"] for r in model.quantiles(essays.where("label = 0"), COLUMNS).collect()}  # 48 rows
-    measure = lambda df: _with_distances(documents.features(df), base, "raw")
-    gated = files.stage(response.gated(docs(spark, d).select("doc_id", "text")))
-    return response.respond(gated, measure, weights, intercept, human)
+    return response.analyse(docs(spark, d), response.train(*_essays(spark, d)))
+
+
+@query()
+def exported_response(spark, d):
+    """The same from an artifact that was trained and written in one call and read again: status and score of every document."""
+    path = f"{files.shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    response.train_and_export(docs(spark, d).join(_labels(spark, d), "doc_id"), path)
+    out = response.analyse(docs(spark, d), files.load_artifact(spark, path))
+    return out.select("doc_id", "status", "model_version", F.col("assessment.verdict_code").alias("verdict"), F.col("assessment.calibrated_ai_probability").alias("probability"), F.size("highlighted_spans").cast("long").alias("spans"))
 
 
 @query()
