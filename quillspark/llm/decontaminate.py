@@ -11,12 +11,13 @@ in order; a paraphrase has fewer, but those of the item's answer (its last sente
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mapped, rows_of, staged
@@ -347,17 +348,28 @@ NAMES = ["doc_id", "item_id", "overlap", "cosine", "kind", "start_word", "end_wo
 OUTPUT = "doc_id bigint, item_id bigint, overlap double, cosine double, kind string, start_word bigint, end_word bigint"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = 20_000) -> DataFrame:
+#: Bytes that the items of one part take in every worker, as estimated before they are sent.
+PART_BYTES = 64 << 20
+
+
+def item_bytes(text: Column) -> Column:
+    """An estimate from above: a bit for each word value, and of every word a mask of the item's length and a few numbers."""
+    n = F.regexp_count(text, F.lit(r"\S+")).cast("double")
+    return F.lit(float(1 << 13)) + n * (n / 8 + 128) + 4.0 * RANK
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = 20_000, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each document and benchmark item found in it: overlap, cosine, kind and the words searched.
 
-    The benchmark goes to every task, in parts of about ``part_items`` items drawn by a hash, each searched in a pass of
-    its own over all documents. Null texts hold nothing and items without words are found nowhere; a document without
+    The benchmark goes to every task, in parts of about ``part_items`` items and ``part_bytes`` bytes at most, drawn by a
+    hash, each searched in a pass of its own over all documents. Null texts hold nothing and items without words are found nowhere; a document without
     doc_id gives rows with a null one; repeated rows give repeated results; of windows alike the first counts. Long
     texts are searched whole; further columns go; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     items = rows_of(benchmark, item_id="long", text="string").where(F.col("text").isNotNull())
-    parts = -(-items.count() // part_items)
+    n_items, size = items.agg(F.count("*"), F.coalesce(F.sum(item_bytes(F.col("text"))), F.lit(0.0))).first()
+    parts = max(-(-n_items // part_items), math.ceil(size / part_bytes))
     words = staged(hashed(docs), "words")
     space = latent_space(words)
     if space is None or not parts:
