@@ -135,7 +135,7 @@ def rhythm(df: DataFrame) -> DataFrame:
     ordered = F.array_sort(s)
     median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
     many = n > 1
-    out = {"sent_len_mean": mean, "sent_len_median": median, "sent_len_std": F.sqrt(var), "sent_len_cv": F.sqrt(var) / F.greatest(mean, F.lit(1e-5)), "sent_delta_variance": F.when(many, d_var).otherwise(0.0), "delta_mean_abs": F.when(many, X.total(F.transform("_d", F.abs)) / F.size("_d")).otherwise(0.0), "para_len_mean": p_mean, "para_len_std": F.sqrt(p_var)}
+    out = {"sent_len_mean": mean, "sent_len_median": median, "sent_len_std": F.sqrt(var), "sent_len_cv": F.sqrt(var) / F.greatest(mean, F.lit(1e-5)), "sent_delta_variance": F.when(many, d_var).otherwise(0.0), "sent_delta_mean_abs": F.when(many, X.total(F.transform("_d", F.abs)) / F.size("_d")).otherwise(0.0), "para_len_mean": p_mean, "para_len_std": F.sqrt(p_var)}
     return df.withColumns({f"surface_{k}": F.when(F.size(X.tokens(t)) > 0, c).otherwise(0.0) for k, c in out.items()}).drop("_p", "_pl", "_sl", "_d")
 
 
@@ -179,7 +179,7 @@ def features(df: DataFrame) -> DataFrame:
 
 
 #: The 44 base measurements in order, by family.
-SURFACE = tuple(f"surface_{n}" for n in "char_entropy word_entropy bigram_entropy compression_ratio sent_len_mean sent_len_median sent_len_std sent_len_cv sent_delta_variance delta_mean_abs ttr root_ttr hapax_ratio stopword_ratio top10_concentration pos_noun_ratio pos_verb_ratio pos_adj_ratio pos_adv_ratio pos_pronoun_ratio pos_prep_ratio passive_ratio comma_rate semicolon_rate colon_rate emdash_rate quote_rate parentheses_rate para_len_mean para_len_std".split())
+SURFACE = tuple(f"surface_{n}" for n in "char_entropy word_entropy bigram_entropy compression_ratio sent_len_mean sent_len_median sent_len_std sent_len_cv sent_delta_variance sent_delta_mean_abs ttr root_ttr hapax_ratio stopword_ratio top10_concentration pos_noun_ratio pos_verb_ratio pos_adj_ratio pos_adv_ratio pos_pronoun_ratio pos_prep_ratio passive_ratio comma_rate semicolon_rate colon_rate emdash_rate quote_rate parentheses_rate para_len_mean para_len_std".split())
 DISCOURSE = tuple(f"discourse_{n}" for n in "agency_action_density agency_passive_density agency_ratio reflection_density reflection_intro_ratio reflection_body_ratio reflection_conclusion_ratio reflection_mean_pos formulaic_moral_density causal_density temporal_density abstract_vocab_density concrete_density concrete_abstract_ratio".split())
 BASE = SURFACE + DISCOURSE
 DISTANCES = ("dist_human_euclidean", "dist_human_mahalanobis", "dist_human_cosine", "dist_structural_dispersion")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import registry
 from ..functions import text as X
 from ..operators import corpus, documents, model, punkt, response
 from ..sources import files
@@ -194,9 +195,9 @@ def compression_ratio(spark, d):
 _LEN = _SENT + f", l AS (SELECT doc_id, sentence_idx, CAST(len(regexp_extract_all(text, '{_W}')) AS DOUBLE) AS v FROM sent), dd AS (SELECT doc_id, v, v - lag(v) OVER (PARTITION BY doc_id ORDER BY sentence_idx) AS dv FROM l)"
 
 
-@query(_LEN + " SELECT doc_id, round(avg(v), 6) AS surface_sent_len_mean, round(median(v), 6) AS surface_sent_len_median, round(stddev_pop(v), 6) AS surface_sent_len_std, round(stddev_pop(v) / greatest(avg(v), 1e-5), 6) AS surface_sent_len_cv, round(coalesce(var_pop(dv), 0.0), 6) AS surface_sent_delta_variance, round(coalesce(avg(abs(dv)), 0.0), 6) AS surface_delta_mean_abs FROM dd GROUP BY doc_id")
+@query(_LEN + " SELECT doc_id, round(avg(v), 6) AS surface_sent_len_mean, round(median(v), 6) AS surface_sent_len_median, round(stddev_pop(v), 6) AS surface_sent_len_std, round(stddev_pop(v) / greatest(avg(v), 1e-5), 6) AS surface_sent_len_cv, round(coalesce(var_pop(dv), 0.0), 6) AS surface_sent_delta_variance, round(coalesce(avg(abs(dv)), 0.0), 6) AS surface_sent_delta_mean_abs FROM dd GROUP BY doc_id")
 def sentence_rhythm(spark, d):
-    names = ("sent_len_mean", "sent_len_median", "sent_len_std", "sent_len_cv", "sent_delta_variance", "delta_mean_abs")
+    names = ("sent_len_mean", "sent_len_median", "sent_len_std", "sent_len_cv", "sent_delta_variance", "sent_delta_mean_abs")
     return rounded(documents.rhythm(docs(spark, d)).select("doc_id", *(f"surface_{c}" for c in names)), "doc_id")
 
 
@@ -484,13 +485,6 @@ def split_stats(spark, d):
     return rounded(corpus.split_stats(rows), "split")
 
 
-@query()
-def feature_registry(spark, d):
-    """The 48 measurements in order, with family and whether they depend on a baseline."""
-    rows = [(i, n, n.split("_")[0], n in documents.DISTANCES[:3]) for i, n in enumerate(COLUMNS)]
-    return spark.createDataFrame(rows, "position int, feature string, family string, needs_baseline boolean")
-
-
 COLUMNS = response.COLUMNS
 
 
@@ -525,6 +519,15 @@ def feature_integrity(spark, d):
     return corpus.integrity(_essays(spark, d)[0], COLUMNS)
 
 
+@query()
+def feature_registry(spark, d):
+    """What each of the 48 measurements is, and its least and greatest value in the labelled documents."""
+    ranges = _essays(spark, d)[0].agg(F.array(*(F.struct(F.lit(c).alias("feature"), F.min(c).alias("least"), F.max(c).alias("greatest")) for c in COLUMNS)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    rows = [(i, c, c.split("_")[0], c in documents.DISTANCES[:3], *registry.FEATURES[c]) for i, c in enumerate(COLUMNS)]
+    told = spark.createDataFrame(rows, "position int, feature string, family string, needs_baseline boolean, definition string, unit_range string, interpretation string, limitations string")
+    return rounded(told.join(ranges, "feature"), "feature")
+
+
 @query()
 def reference_stats(spark, d):
     """Mean, deviation, median and tails of the 48 measurements over rows of label 0."""

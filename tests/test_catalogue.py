@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillspark.functions import lexicon
+from quillspark.functions import lexicon, registry
 from quillspark.functions import text as X
 from quillspark.operators import corpus, documents, model, response
 from quillspark.plans import catalogue
@@ -234,3 +234,10 @@ def test_train_and_export_in_one_call(spark, tmp_path):
     assert key(read) == key(made)
     human = [r for r in rows.where("label = 0").collect()]
     assert len(human) > 5 and set(read["weights"]) == set(response.COLUMNS)
+
+
+def test_registry_tells_of_every_measurement():
+    assert list(registry.FEATURES) == response.COLUMNS and all(len(t) == 4 and all(t) for t in registry.FEATURES.values())
+    for c, (_, span, _, _) in registry.FEATURES.items():
+        low, high = map(float, span.strip("[]").split(","))
+        assert low < high, c
