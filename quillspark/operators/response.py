@@ -15,8 +15,10 @@ VERSION = "1"
 COLUMNS = [*documents.BASE, *documents.DISTANCES]
 
 
-def with_distances(df: DataFrame, base: dict, paragraphs_of: str = "text") -> DataFrame:
-    """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs."""
+def with_distances(df: DataFrame, base: dict | None, paragraphs_of: str = "text") -> DataFrame:
+    """The four distances of rows with the base measurements and text; dispersion is that of a text's paragraphs. (0, 0, 1, 0) without a baseline."""
+    if base is None:
+        return df.withColumns(dict(zip(documents.DISTANCES, map(F.lit, (0.0, 0.0, 1.0, 0.0)))))
     out = model.distances(df, list(documents.BASE), base).withColumnsRenamed({f"dist_{k}": f"dist_human_{k}" for k in ("euclidean", "mahalanobis", "cosine")})
     many = df.select("doc_id", F.col(paragraphs_of).alias("text")).where(F.col("text").rlike(r"\n\n"))  # one paragraph has no dispersion
     spread = model.dispersion(documents.features(documents.paragraph_spans(many)), list(documents.BASE))

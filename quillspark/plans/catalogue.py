@@ -158,10 +158,16 @@ def sentence_at_offset(spark, d):
     return documents.sentence_at(t, t.select("doc_id", F.explode(F.expr("sequence(0, n_chars + 39, 37)")).alias("offset")))
 
 
-@query(_SENT + " SELECT s.doc_id, count(DISTINCT paragraph_idx) AS paragraphs, count(*) AS sentences, CAST(count_if(substr(d.text, CAST(start_char + 1 AS BIGINT), CAST(end_char - start_char AS BIGINT)) <> s.text) AS BIGINT) AS unfaithful FROM sent s JOIN documents d USING (doc_id) GROUP BY s.doc_id")
+_SPANTOKEN = f"{_W}(?:''{_W})?|[.,!?;:\"''—–-]"
+
+
+@query(_SENT + f" SELECT s.doc_id, count(DISTINCT paragraph_idx) AS paragraphs, count(*) AS sentences, CAST(sum(len(regexp_extract_all(s.text, '{_SPANTOKEN}'))) AS BIGINT) AS tokens, CAST(count_if(substr(d.text, CAST(start_char + 1 AS BIGINT), CAST(end_char - start_char AS BIGINT)) <> s.text) AS BIGINT) AS unfaithful FROM sent s JOIN documents d USING (doc_id) GROUP BY s.doc_id")
 def span_totals(spark, d):
-    s = documents.sentence_spans(docs(spark, d)).join(docs(spark, d).select("doc_id", F.col("text").alias("raw")), "doc_id")
-    return s.groupBy("doc_id").agg(F.countDistinct("paragraph_idx").alias("paragraphs"), F.count("*").alias("sentences"), F.count_if(F.expr("substring(raw, cast(start_char as int) + 1, cast(end_char - start_char as int)) <> text")).alias("unfaithful"))
+    """Paragraphs, sentences and tokens of each document, in the row, and spans that the text doesn't hold where they say."""
+    t = docs(spark, d).select("doc_id", "text", documents.sentences(F.coalesce("text", F.lit(""))).alias("s")).where(F.size("s") > 0)
+    tokens = F.aggregate(F.transform("s", lambda x: F.size(X.span_tokens(x["text"]))), F.lit(0), lambda a, n: a + n).cast("long")
+    wrong = F.size(F.filter("s", lambda x: F.substr("text", (x["start"] + 1).cast("int"), F.length(x["text"])) != x["text"])).cast("long")
+    return t.select("doc_id", F.size(F.array_distinct(F.transform("s", lambda x: x["paragraph_idx"]))).cast("long").alias("paragraphs"), F.size("s").cast("long").alias("sentences"), tokens.alias("tokens"), wrong.alias("unfaithful"))
 
 
 def _surface(name: str, *cols: str, sql: str):
@@ -501,7 +507,8 @@ def _essays(spark, d) -> tuple[DataFrame, dict]:
 @query()
 def feature_table(spark, d):
     """48 measurements of the labelled documents."""
-    return rounded(_essays(spark, d)[0].select("doc_id", "label", "lang", "source", *COLUMNS), "doc_id", "label", "lang", "source")
+    carried = ("doc_id", "label", "lang", "source", "word_count", "text")
+    return rounded(_essays(spark, d)[0].withColumn("word_count", X.n_whitespace_words("text")).select(*carried, *COLUMNS), *carried)
 
 
 @query(f"{_S} SELECT count(*) AS rows, " + ", ".join(f"CAST({' + '.join(f'count_if({test.format(c=c)})' for c in SCALARS)} AS BIGINT) AS {name}" for name, test in (("nulls", "{c} IS NULL"), ("nans", "isnan({c})"), ("infinite", "isinf({c})"))) + " FROM f")
@@ -519,6 +526,17 @@ def feature_integrity(spark, d):
     return corpus.integrity(_essays(spark, d)[0], COLUMNS)
 
 
+#: Prompts by the second part of a group's name, for some groups.
+PROMPTS = {"src1": "Write about a place.", "src7": "Write about a person."}
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'human_' ELSE 'ai_' END || substr(md5(text), 1, 8) AS essay_id, CAST(1 - quality AS INTEGER) AS binary_label, 'prompt_' || source AS group_id, CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PROMPTS.items()) + " ELSE 'Write an essay.' END AS generation_prompt FROM documents JOIN labels USING (doc_id)")
+def corpus_records(spark, d):
+    """Labelled documents as records of a corpus: ids of label and text, and the prompt of their group or the default."""
+    rows = docs(spark, d).join(_labels(spark, d), "doc_id").select("doc_id", "text", F.when(F.col("label") == 0, "human").otherwise("ai").alias("label"), F.concat(F.lit("prompt_"), "source").alias("group_id"))
+    return files.with_prompt(files.as_records(rows), PROMPTS, "Write an essay.").select("doc_id", "essay_id", "binary_label", "group_id", "generation_prompt")
+
+
 @query()
 def feature_registry(spark, d):
     """What each of the 48 measurements is, and its least and greatest value in the labelled documents."""

@@ -150,10 +150,22 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL).parquet(f"{path}/version={max(done)}").withColumn("version", F.lit(max(done)))
 
 
+#: What ids of records begin with, by label; others begin with the label.
+ID_PREFIX = {"synthetic_polished": "polished"}
+
+
+def as_records(df: DataFrame) -> DataFrame:
+    """Adds essay_id (label and eight digits of the text's MD5) and binary_label (0: human, also where there is no label)."""
+    label = F.coalesce("label", F.lit("human"))
+    prefix = label
+    for kind, name in ID_PREFIX.items():
+        prefix = F.when(label == kind, name).otherwise(prefix)
+    return df.withColumns({"essay_id": F.concat(prefix, F.lit("_"), F.substring(F.md5("text"), 1, 8)), "binary_label": F.when(label == "human", 0).otherwise(1)})
+
+
 def literal_corpus(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
-    """label, group_id and text as records with an id of the label and eight digits of the text's MD5."""
-    df = spark.createDataFrame(rows, "label string, group_id string, text string")
-    return df.withColumns({"essay_id": F.concat("label", F.lit("_"), F.substring(F.md5("text"), 1, 8)), "binary_label": F.when(F.coalesce("label", F.lit("human")) == "human", 0).otherwise(1)})
+    """label, group_id and text as records."""
+    return as_records(spark.createDataFrame(rows, "label string, group_id string, text string"))
 
 
 def with_prompt(df: DataFrame, prompts: dict[str, str], default: str) -> DataFrame:

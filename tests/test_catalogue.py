@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables, and rules on sentences of our own."""
 
+import json
 import os
 import re
 
@@ -241,3 +242,18 @@ def test_registry_tells_of_every_measurement():
     for c, (_, span, _, _) in registry.FEATURES.items():
         low, high = map(float, span.strip("[]").split(","))
         assert low < high, c
+
+
+def test_records_and_defaults(spark):
+    rows = [("human", "a_src1", "x"), ("ai", "a_zz", "y"), ("synthetic_polished", "a", "z"), (None, None, None)]
+    got = files.with_prompt(files.literal_corpus(spark, rows), {"src1": "one"}, "other").orderBy("text").collect()
+    assert [(r.essay_id and r.essay_id.split("_")[0], r.binary_label, r.generation_prompt) for r in got] == [(None, 0, "other"), ("human", 0, "one"), ("ai", 1, "other"), ("polished", 1, "other")]
+    one = response.with_distances(table(spark, "some text"), None).first()
+    assert [one[c] for c in documents.DISTANCES] == [0.0, 0.0, 1.0, 0.0]
+
+
+def test_documents_sink(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.5, None], {"k": 1}), ("b", [], {})], "s string, v array<double>, m map<string,int>")
+    files.write_document(df, f"{tmp_path}/d")
+    got = sorted((r.value for r in spark.read.text(f"{tmp_path}/d").collect()))
+    assert [json.loads(x) for x in got] == [{"s": "a", "v": [1.5, None], "m": {"k": 1}}, {"s": "b", "v": [], "m": {}}]
