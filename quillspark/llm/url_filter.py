@@ -17,8 +17,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BUCKETS, GRAM, STEPS, RATE, DECAY = 2048, 3, 60, 4.0, 0.0005
 #: The labelled table, of URLs of our own under names kept for examples: 1 is to be blocked.
 LABELLED = (
-    *((u, 1) for u in ("spam-farm.invalid/a/1", "www.spam-farm.invalid/b/22.html", "m.spam-farms.invalid/c/33", "cheap-pills.shop.example/buy/now", "free-casino-bonus.example/win", "online-casino.example/slots/play", "best-poker-bonus.example/join", "adult-cams.example/live", "xxx-videos.example/watch/1", "hot-porn.example/free", "win-free-prize.example/claim", "click-here-free.example/offer", "replica-watches.example/sale", "payday-loans.example/apply", "viagra-cheap.example/order", "warez-crack.example/download", "torrent-cracks.example/get/2", "link-farm.example/links/77", "seo-spam.example/backlinks", "betting-tips.example/odds", "spamblog.example/post/3", "free-gift-cards.example/win", "phishing-login.example/verify", "malware-downloads.example/setup.exe", "doorway-page.example/kw/9")),
-    *((u, 0) for u in ("www.riverside.invalid/en/story/", "blog.harbour.invalid/notes/27/", "m.meadow.invalid/en/57", "orchard.invalid/de/seite/", "lighthouse.invalid/fr/page/42/", "m.bakery.invalid/es/67/", "thinker.invalid/essays/52/", "www.weaver.invalid/en/86", "news.town.example/en/world/12", "docs.tool.example/guide/start", "wiki.town.example/en/History", "university.example/research/paper", "library.example/books/42", "museum.example/art/7", "blog.cook.example/2020/05/notes", "recipes.example/soup", "weather.example/today", "health.example/topics/sleep", "science.example/physics/1", "forum.garden.example/thread/88", "city.example/council/minutes", "school.example/lessons/3", "journal.example/article/15", "code.example/project/readme", "travel.example/fr/paris")),
+    *((u, 1) for u in ("content-mill.invalid/a/1", "www.junk-links.invalid/b/22.html", "m.spammy-offers.invalid/c/33", "cheap-pills.shop.example/buy/now", "free-casino-bonus.example/win", "online-casino.example/slots/play", "best-poker-bonus.example/join", "adult-cams.example/live", "xxx-videos.example/watch/1", "hot-porn.example/free", "win-free-prize.example/claim", "click-here-free.example/offer", "replica-watches.example/sale", "payday-loans.example/apply", "viagra-cheap.example/order", "warez-crack.example/download", "torrent-cracks.example/get/2", "link-farm.example/links/77", "seo-spam.example/backlinks", "betting-tips.example/odds", "spamblog.example/post/3", "free-gift-cards.example/win", "phishing-login.example/verify", "malware-downloads.example/setup.exe", "doorway-page.example/kw/9", "www.click-farm.example/en/41", "content-farm.example/fr/page/7/", "spam-site.example/de/3", "m.spammers.example/es/980/")),
+    *((u, 0) for u in ("www.riverside.invalid/en/story/", "blog.harbour.invalid/notes/27/", "m.meadow.invalid/en/57", "orchard.invalid/de/seite/", "lighthouse.invalid/fr/page/42/", "m.bakery.invalid/es/67/", "thinker.invalid/essays/52/", "www.weaver.invalid/en/86", "news.town.example/en/world/12", "docs.tool.example/guide/start", "wiki.town.example/en/History", "university.example/research/paper", "library.example/books/42", "museum.example/art/7", "blog.cook.example/2020/05/notes", "recipes.example/soup", "weather.example/today", "health.example/topics/sleep", "science.example/physics/1", "forum.garden.example/thread/88", "city.example/council/minutes", "school.example/lessons/3", "journal.example/article/15", "code.example/project/readme", "travel.example/fr/paris", "www.anderson.example/en/8601/", "m.thornton.example/fr/212", "blog.ingham.example/de/2980/", "hendrik.example/es/907", "www.rowan.example/en/45/", "m.estate.example/en/731")),
 )
 
 
