@@ -203,8 +203,8 @@ def test_urls(spark):
     assert got[4].host == got[5].path == "" and got[7].verdict == "block"
 
 
-def test_html(spark):
-    model = html_blocks.train()
+def test_html(spark, html_model):
+    model = html_model
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class='ad'>Buy now.</div><article><h1>A &amp; B</h1><p>One  two\nthree words of a text.<p>Second paragraph of the text.</article><footer>&copy; me</footer></body>"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_blocks.extract(rows, model).collect()}
