@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,9 +20,10 @@ def scored(spark: SparkSession, path: str, schema, weights: dict, intercept: flo
     return documents.verdict(out).select("doc_id", "word_count", "probability", "verdict", "confidence")
 
 
-def score_by_versions(stream: DataFrame, models: str, columns: list[str], out: str, checkpoint: str) -> StreamingQuery:
+def score_by_versions(stream: DataFrame, models: str, columns: list[str], out: str, checkpoint: str, measure: Callable[[DataFrame], DataFrame] = documents.features) -> StreamingQuery:
     """Scores doc_id and text as they arrive, each micro-batch by the newest version of the model's table at its beginning.
 
+    ``measure`` adds the columns that the model asks for to rows with text.
     Writes doc_id, version, probability and verdict to ``out``/batch=n: a batch that is run again after a failure, if by
     a newer version, replaces what it wrote.
     """
@@ -28,7 +31,7 @@ def score_by_versions(stream: DataFrame, models: str, columns: list[str], out: s
     def each(batch: DataFrame, number: int) -> None:
         table = files.newest_version(batch.sparkSession, models)
         gated = documents.gate(batch).withColumn("text", F.col("cleaned"))
-        judged = documents.verdict(documents.undecided(model.score_by_table(documents.features(gated), columns, table)))
+        judged = documents.verdict(documents.undecided(model.score_by_table(measure(gated), columns, table)))
         judged.select("doc_id", "version", "probability", "verdict").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

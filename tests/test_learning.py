@@ -29,6 +29,8 @@ def test_many_fits_in_the_same_scans(spark, data):
         w = np.append([got[name][0][c][0] for c in own], got[name][1])
         gradient = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.append(w[:-1], 0)
         assert np.abs(gradient).max() < 1e-6, name  # the one minimum of a convex loss
+        if name != "all":
+            continue
         ready = VectorAssembler(inputCols=own, outputCol="x").transform(model.standardise(df, own))
         m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / len(y), standardization=False, maxIter=1000, tol=1e-12).fit(ready)
         assert w[:-1] == pytest.approx(m.coefficients.toArray(), abs=1e-3) and w[-1] == pytest.approx(m.intercept, abs=1e-3)

@@ -11,13 +11,13 @@ WEIGHTS = {"surface_ttr": (-0.8, 0.6, 0.12), "surface_word_entropy": (0.5, 6.5,
 
 
 def test_scored_as_a_table(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(12)
     docs.write.parquet(f"{tmp_path}/in")
     query = score.scored(spark, f"{tmp_path}/in", "doc_id long, text string", WEIGHTS, 0.1).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     query.awaitTermination()
     gated = documents.gate(spark.read.parquet(f"{tmp_path}/in")).withColumn("text", F.col("cleaned"))
     want = documents.verdict(documents.undecided(model.score(documents.features(gated), WEIGHTS, 0.1))).select("doc_id", "word_count", "probability", "verdict", "confidence")
-    assert sorted(map(str, spark.table("scored").collect())) == sorted(map(str, want.collect())) and want.count() == 40
+    assert sorted(map(str, spark.table("scored").collect())) == sorted(map(str, want.collect())) and want.count() == 12
 
 
 def test_a_model_is_replaced_while_the_stream_runs(spark, tmp_path):
@@ -31,13 +31,13 @@ def test_a_model_is_replaced_while_the_stream_runs(spark, tmp_path):
         files.add_version(spark, models, version, weights, 0.1 * version)
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inside)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inside)
-        score.score_by_versions(stream, models, list(WEIGHTS), out, f"{tmp_path}/checkpoint").awaitTermination()
+        score.score_by_versions(stream, models, list(WEIGHTS), out, f"{tmp_path}/checkpoint", documents.surface).awaitTermination()
     spark._jvm.java.io.File(f"{models}/version=3").mkdirs()  # not finished: nobody reads it
     got = {r.doc_id: r for r in spark.read.parquet(out).collect()}
     assert {r.version for r in got.values()} == {1, 2} and len(got) == 30 and files.newest_version(spark, models).first().version == 2
     gated = documents.gate(spark.createDataFrame(texts, schema)).withColumn("text", F.col("cleaned"))
     for version, weights, own in ((1, WEIGHTS, texts[:15]), (2, heavier, texts[15:])):
-        want = {r.doc_id: r.probability for r in documents.undecided(model.score(documents.features(gated), weights, 0.1 * version)).collect()}
+        want = {r.doc_id: r.probability for r in documents.undecided(model.score(documents.surface(gated), weights, 0.1 * version)).collect()}
         for r in own:
             assert got[r.doc_id].version == version and got[r.doc_id].probability == pytest.approx(want[r.doc_id])
 
